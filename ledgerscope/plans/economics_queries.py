@@ -58,18 +58,6 @@ register(
                f"(SELECT *, {S.per_product('tenure_mo', P.TENURE_BANDS)} AS tenure_band FROM loans)"),
 )
 
-S.view("banded", "loans", f"""
-SELECT l.*, {S.per_product('tenure_mo', P.TENURE_BANDS)} AS tenure_band,
-  CASE WHEN NOT degenerate THEN {S.per_product('ticket_size', P.TICKET_BANDS)}
-       WHEN CAST(ticket_size AS DOUBLE) <= q1 THEN '<' || format('{{:,}}', CAST(q1 AS BIGINT))
-       WHEN CAST(ticket_size AS DOUBLE) <= q2 THEN format('{{:,}}', CAST(q1 AS BIGINT)) || '-' || format('{{:,}}', CAST(q2 AS BIGINT))
-       ELSE '>' || format('{{:,}}', CAST(q2 AS BIGINT)) END AS ticket_band
-FROM loans l JOIN (
-  SELECT product_type, count(*) < 3 OR min(n)/CAST(sum(n) AS DOUBLE) < 0.05 AS degenerate FROM (
-    SELECT product_type, {S.per_product('ticket_size', P.TICKET_BANDS)} AS doc, count(*) AS n FROM loans GROUP BY 1, 2) GROUP BY 1
-) USING (product_type) JOIN (
-  SELECT product_type, round_even(quantile_cont(CAST(ticket_size AS DOUBLE), {1/3!r}), 0) AS q1,
-    round_even(quantile_cont(CAST(ticket_size AS DOUBLE), {2/3!r}), 0) AS q2 FROM loans GROUP BY 1) USING (product_type)""")
 register(
     "v05_slice_c_ticket",
     lambda b: E.slice_report(E.ticket_bands_with_fallback(b.loans), ["product_type", "ticket_band"]),

@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerscope.plans.sql import with_views
-from ledgerscope.sources.views import Book
+from ledgerscope.plans.pipeline import Pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(name: str, build: Callable[[Book], DataFrame], views: str = "", sql: str | None = None) -> None:
+def register(name: str, build: Callable[[Pipeline], DataFrame], views: str = "", sql: str | None = None) -> None:
     if name in QUERIES:
         raise ValueError(f"query registered twice: {name}")
-    QUERIES[name] = lambda spark, folder: build(Book(spark, folder))
+    QUERIES[name] = lambda spark, folder: build(Pipeline(spark, folder))
     if sql is not None:
         ORACLES[name] = with_views(views, sql)

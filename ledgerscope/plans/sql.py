@@ -106,7 +106,7 @@ SELECT c_custkey AS customer_id, r_name AS region_type,
   CASE WHEN c_acctbal >= {_cuts[0]} THEN 'A' WHEN c_acctbal >= {_cuts[1]} THEN 'B'
        WHEN c_acctbal >= {_cuts[2]} THEN 'C' WHEN c_acctbal >= {_cuts[3]} THEN 'D' ELSE 'E' END AS credit_quality_indicator,
   {case('c_mktsegment', V.CHANNEL_OF_SEGMENT)} AS acquisition_channel,
-  {case('c_mktsegment', {k: V.CAC_OF_CHANNEL[v] for k, v in V.CHANNEL_OF_SEGMENT.items()})} AS cac
+  CAST({case('c_mktsegment', {k: V.CAC_OF_CHANNEL[v] for k, v in V.CHANNEL_OF_SEGMENT.items()})} AS BIGINT) AS cac
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
 
 view("latent_risk", "", "SELECT c_custkey AS customer_id, c_acctbal/1000 AS true_latent_risk FROM customer")
