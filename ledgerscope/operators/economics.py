@@ -101,15 +101,17 @@ def slice_report(loans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ticket_bands_with_fallback(
-    loans: DataFrame, table: dict | None = None, min_share: float = P.MIN_BAND_SHARE
+    loans: DataFrame, table: dict | None = None, min_share: float = P.MIN_BAND_SHARE, basis: DataFrame | None = None
 ) -> DataFrame:
     """Adds ticket_band. A product whose documented bands hold a share under ``min_share`` gets its own thirds.
 
     Counts per product and band decide; the thirds are exact quantiles. Both are tables of a few rows.
+    ``basis`` may name a cheaper frame with the same loans' product and ticket.
     """
     table = table or P.TICKET_BANDS
+    basis = loans if basis is None else basis
     documented = loans.withColumn("_doc", bands.ticket_band(table=table))
-    shares = documented.groupBy("product_type", "_doc").agg(F.count(F.lit(1)).alias("_n"))
+    shares = basis.withColumn("_doc", bands.ticket_band(table=table)).groupBy("product_type", "_doc").agg(F.count(F.lit(1)).alias("_n"))
     widths = {p: len(labels) for p, (_, labels) in table.items()}
     degenerate = shares.groupBy("product_type").agg(
         F.min("_n").alias("_min"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_bands")
@@ -117,7 +119,7 @@ def ticket_bands_with_fallback(
         "product_type",
         ((F.col("_bands") < value_map("product_type", widths)) | (F.col("_min") / F.col("_all") < min_share)).alias("_degenerate"),
     )
-    thirds = ranks.quantiles(loans, F.col("ticket_size").cast("double"), [1 / 3, 2 / 3], ["product_type"])
+    thirds = ranks.quantiles(basis, F.col("ticket_size").cast("double"), [1 / 3, 2 / 3], ["product_type"])
     q1 = half_even("q0", 0)
     q2 = half_even("q1", 0)
     dim = degenerate.join(thirds, "product_type").select(

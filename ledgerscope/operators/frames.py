@@ -39,12 +39,13 @@ def bucket_of_rank(rank: Column) -> Column:
 
 
 def loan_frame(
-    loans: DataFrame, customers: DataFrame, repayments: DataFrame, behaviour: DataFrame
+    loans: DataFrame, customers: DataFrame, repayments: DataFrame, behaviour: DataFrame,
+    basis: DataFrame | None = None,
 ) -> DataFrame:
     """One row per loan: outcomes, components, margin, bands, borrower profile, behaviour summary."""
     rank = F.coalesce(F.col("worst_delq_rank"), F.lit(0))
     borrower = customers.select("customer_id", *PROFILE).join(behaviour_summary(behaviour), "customer_id", "left")
-    banded = economics.ticket_bands_with_fallback(loans).withColumn("tenure_band", bands.tenure_band())
+    banded = economics.ticket_bands_with_fallback(loans, basis=basis).withColumn("tenure_band", bands.tenure_band())
     joined = banded.join(worst_delinquency(repayments), "loan_id", "left")
     return (
         joined.withColumn("worst_delq_rank", rank)

@@ -9,6 +9,7 @@ from ledgerscope import params as P
 from ledgerscope.functions import bands
 from ledgerscope.functions.numeric import decimal, half_even, mean, rate, ratio, value_map
 from ledgerscope.operators import panel, ranks
+from ledgerscope.sources.scratch import settle
 
 SPINE_COLUMNS = ["loan_id", "customer_id", "obs_month", "months_on_book", "product_type", "segment"]
 
@@ -121,7 +122,8 @@ def feature_matrix(
 
     The medians run over the whole matrix unless ``median_from`` restricts them (to training rows).
     """
-    raw = raw_matrix(labelled, behaviour, repayments)
+    # written once: the medians and every later step read it instead of repeating the joins
+    raw = settle(raw_matrix(labelled, behaviour, repayments))
     basis = raw if median_from is None else raw.filter(median_from)
     filled = {}
     # three level features, three exact medians in one pass over (feature, value)

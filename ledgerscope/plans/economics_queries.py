@@ -60,7 +60,7 @@ register(
 
 register(
     "v05_slice_c_ticket",
-    lambda b: E.slice_report(E.ticket_bands_with_fallback(b.loans), ["product_type", "ticket_band"]),
+    lambda b: E.slice_report(E.ticket_bands_with_fallback(b.loans, basis=b.originations), ["product_type", "ticket_band"]),
     "banded", report_sql("product_type, ticket_band", "banded"),
 )
 

@@ -30,7 +30,7 @@ def stand_in_score() -> Column:
 class Pipeline(V.Book):
     @cached_property
     def loan_frame(self) -> DataFrame:
-        return frames.loan_frame(self.loans, self.customers, self.repayments, self.behaviour)
+        return frames.loan_frame(self.loans, self.customers, self.repayments, self.behaviour, self.originations)
 
     @cached_property
     def customer_frame(self) -> DataFrame:
