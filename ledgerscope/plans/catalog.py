@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from ledgerscope.plans import economics_queries, frame_queries, warning_queries  # noqa: F401
+from ledgerscope.plans import economics_queries, frame_queries, gate_queries, lever_queries, warning_queries  # noqa: F401
 from ledgerscope.plans.registry import ORACLES, QUERIES  # noqa: F401
