@@ -423,7 +423,7 @@ def max_difference(old: DataFrame, new: DataFrame, key: str, columns: list[str])
     one_sided = F.col(f"a.{key}").isNull() | F.col(f"b.{key}").isNull()
     return joined.agg(
         F.count_if(one_sided).alias("n_unmatched"),
-        *[F.max(F.abs(F.col(f"a.{c}").cast("double") - F.col(f"b.{c}").cast("double"))).alias(f"diff_{c}") for c in columns],
+        *[F.max(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}"))).cast("double").alias(f"diff_{c}") for c in columns],
     )
 
 
