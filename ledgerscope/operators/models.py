@@ -49,51 +49,71 @@ class Scorecard:
     model: object = None
 
 
-def long_features(df: DataFrame, features: list[str], *keep: str) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
-    return df.select(*keep, F.explode(pairs).alias("_s")).select(*keep, "_s.feature", "_s.x")
+def fit_bins(df: DataFrame, features: list[str] = P.FEATURES, max_bins: int = P.MAX_BINS) -> dict[str, Bins]:
+    """Value bins for features with few values, exact quantile cuts for the others."""
+    return fit_bins_without(df, [F.lit(False)], features, max_bins)[0]
 
 
-def fit_bins(df: DataFrame, features: list[str] = P.FEATURES, max_bins: int = P.MAX_BINS) -> dict[str, Bins]:
-    """Value bins for features with few values, exact quantile cuts for the others.
+def fit_bins_without(
+    df: DataFrame, left_out: list[Column], features: list[str] = P.FEATURES, max_bins: int = P.MAX_BINS
+) -> list[dict[str, Bins]]:
+    """Bins on the rows outside each left-out condition, all from one ranking.
 
-    All features are ranked together, summed per (feature, value); a few rows per feature come back.
+    All features are ranked together, summed per (feature, value) with one weight per condition; a
+    few rows per feature come back.
     """
-    pos = settle(ranks.positions(long_features(df, features), F.col("x"), ["feature"]))
-    distinct = {r["feature"]: r["n"] for r in pos.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
-    few = [f for f in features if distinct.get(f, 0) <= max_bins]
-    out = {f: Bins(True, []) for f in few}
-    for r in pos.filter(F.col("feature").isin(few)).select("feature", "value").orderBy("feature", "value").collect():
-        out[r["feature"]].points.append(r["value"])
-    many = [f for f in features if f not in few]
-    if many:
-        probs = [i / max_bins for i in range(1, max_bins)]
-        n_all = F.col("n_all")
-        picks = []
+    kept = {f"w{i}": F.when(c, 0).otherwise(1) for i, c in enumerate(left_out)}
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
+    rows = df.select(*[c.alias(n) for n, c in kept.items()], F.explode(pairs).alias("_s")).select("_s.*", *kept)
+    pos = settle(ranks.positions(rows, F.col("x"), ["feature"], {n: F.col(n) for n in kept}))
+    probs = [i / max_bins for i in range(1, max_bins)]
+    aggs = []
+    for w in kept:
+        aggs.append(F.count_if(F.col(w) > 0).alias(f"{w}_distinct"))
+        aggs.append(F.max(f"{w}_all").alias(f"{w}_n"))
         for i, p in enumerate(probs):
-            h = F.lit(p) * (n_all - 1).cast("double")
+            h = F.lit(p) * (F.col(f"{w}_all") - 1).cast("double")
             for side, rank in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-                inside = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-                picks.append(F.max(F.when(inside, F.col("value"))).alias(f"{side}{i}"))
-        rows = pos.filter(F.col("feature").isin(many)).groupBy("feature").agg(F.max("n_all").alias("n"), *picks).collect()
-        for r in rows:
+                inside = (F.col(w) > 0) & (F.col(f"{w}_before") <= rank) & (rank < F.col(f"{w}_before") + F.col(w))
+                aggs.append(F.max(F.when(inside, F.col("value"))).alias(f"{w}_{side}{i}"))
+    summary = {r["feature"]: r for r in pos.groupBy("feature").agg(*aggs).collect()}
+    few = [f for f in features if any(summary[f][f"{w}_distinct"] <= max_bins for w in kept)]
+    # a feature with few values on one side has few on all, but for values seen in one fold only
+    listed = pos.filter(F.col("feature").isin(few)).orderBy("feature", "value").limit(len(features) * (max_bins + len(kept)) * max_bins).collect()
+    out = []
+    for w in kept:
+        bins = {}
+        for f in features:
+            r = summary[f]
+            if r[f"{w}_distinct"] <= max_bins:
+                bins[f] = Bins(True, [v["value"] for v in listed if v["feature"] == f and v[w] > 0])
+                continue
             cuts = set()
             for i, p in enumerate(probs):
-                h = p * (r["n"] - 1)
-                cuts.add(r[f"lo{i}"] + (r[f"hi{i}"] - r[f"lo{i}"]) * (h - math.floor(h)))
-            out[r["feature"]] = Bins(False, sorted(cuts))
+                h = p * (r[f"{w}_n"] - 1)
+                cuts.add(r[f"{w}_lo{i}"] + (r[f"{w}_hi{i}"] - r[f"{w}_lo{i}"]) * (h - math.floor(h)))
+            bins[f] = Bins(False, sorted(cuts))
+        out.append(bins)
     return out
 
 
 def bin_counts(df: DataFrame, bins: dict[str, Bins], label: str = "label") -> DataFrame:
     """Bad and good per feature and bin, in one grouped pass over all features."""
+    return bin_counts_without(df, [F.lit(False)], [bins], label).filter(F.col("part") == 0).drop("part")
+
+
+def bin_counts_without(df: DataFrame, left_out: list[Column], bins: list[dict[str, Bins]], label: str = "label") -> DataFrame:
+    """The same for several bin sets at once, each on the rows outside its left-out condition."""
     pairs = F.array(*[
-        F.struct(F.lit(f).alias("feature"), b.index(F.col(f).cast("double")).alias("bin"), F.col(f).cast("double").alias("x"))
-        for f, b in bins.items()
+        F.struct(
+            F.lit(i).alias("part"), F.lit(f).alias("feature"),
+            F.when(~skip, b.index(F.col(f).cast("double"))).alias("bin"), F.col(f).cast("double").alias("x"),
+        )
+        for i, (skip, own) in enumerate(zip(left_out, bins)) for f, b in own.items()
     ])
-    return df.select(F.col(label).alias("_y"), F.explode(pairs).alias("_s")).groupBy("_s.feature", "_s.bin").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_y").cast("long").alias("bad"),
-        half_even(F.avg("_s.x"), 6).alias("mean_x"),
+    long = df.select(F.col(label).alias("_y"), F.explode(pairs).alias("_s")).filter(F.col("_s.bin").isNotNull())
+    return long.groupBy("_s.part", "_s.feature", "_s.bin").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_y").cast("long").alias("bad"), half_even(F.avg("_s.x"), 6).alias("mean_x"),
     )
 
 
@@ -111,8 +131,11 @@ def monotone(values: list[float], weights: list[float], increasing: bool) -> lis
 
 
 def fit_woe(df: DataFrame, bins: dict[str, Bins], label: str = "label", smooth: float = P.WOE_SMOOTHING) -> Scorecard:
+    return woe_of_counts(bins, bin_counts(df, bins, label).collect(), smooth)
+
+
+def woe_of_counts(bins: dict[str, Bins], rows: list, smooth: float = P.WOE_SMOOTHING) -> Scorecard:
     """Monotone weight of evidence per bin, from at most max_bins rows per feature."""
-    rows = bin_counts(df, bins, label).collect()
     card = Scorecard(bins, {}, {}, {})
     for f in bins:
         own = sorted((r for r in rows if r["feature"] == f), key=lambda r: (r["mean_x"], r["bin"]))
@@ -156,12 +179,15 @@ def with_woe(df: DataFrame, card: Scorecard) -> DataFrame:
 
 
 def fit_scorecard(train: DataFrame, label: str = "label", features: list[str] = P.FEATURES) -> Scorecard:
-    """Bins, WOE and a logistic fit whose penalty equals a unit inverse-regularisation over n rows."""
-    card = fit_woe(train, fit_bins(train, features), label)
+    return fit_logistic(train, fit_woe(train, fit_bins(train, features), label), label)
+
+
+def fit_logistic(train: DataFrame, card: Scorecard, label: str = "label") -> Scorecard:
+    """Logistic on the WOE columns; the penalty equals a unit inverse-regularisation over n rows."""
     data = with_woe(train, card).select("woe", F.col(label).cast("double").alias("_y"))
     lr = LogisticRegression(
         featuresCol="woe", labelCol="_y", regParam=1.0 / max(train.count(), 1), elasticNetParam=0.0,
-        standardization=False, maxIter=1000, tol=1e-9,
+        standardization=False, maxIter=100, tol=1e-6,
     )
     card.model = lr.fit(data)
     card.betas = dict(zip(card.bins, card.model.coefficients.toArray().tolist()))
@@ -208,21 +234,48 @@ def fold_of(key: str, folds: int = 5) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(folds)).cast("int")
 
 
+def calibrate_scorecard(train: DataFrame, group: str = "loan_id", label: str = "label", folds: int = 5):
+    """Scorecard on all rows, an isotonic map fitted to out-of-fold scores, and those scores summed.
+
+    Whole groups share a fold. Bins and counts of all fits come from one ranking and one count.
+    """
+    fold = fold_of(group, folds)
+    left_out = [fold == k for k in range(folds)] + [F.lit(False)]
+    bins = fit_bins_without(train, left_out)
+    counts = bin_counts_without(train, left_out, bins, label).collect()
+    cards = [
+        fit_logistic(train.filter(~skip), woe_of_counts(b, [r for r in counts if r["part"] == i]), label)
+        for i, (skip, b) in enumerate(zip(left_out, bins))
+    ]
+    parts = None
+    for skip, card in zip(left_out[:-1], cards):
+        part = predict_scorecard(card, train.filter(skip), "_raw").select("_raw", label)
+        parts = part if parts is None else parts.unionByName(part)
+    summed = sum_scores(parts, label)
+    return cards[-1], fit_isotonic(summed), summed
+
+
+def sum_scores(scored: DataFrame, label: str) -> DataFrame:
+    """One weighted row per distinct score, so the isotonic fit does not see single rows."""
+    return settle(scored.groupBy(half_even("_raw", 6).alias("_raw")).agg(
+        F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"),
+    ))
+
+
+def fit_isotonic(summed: DataFrame):
+    return IsotonicRegression(featuresCol="_raw", labelCol="_y", weightCol="_w").fit(summed)
+
+
 def calibrate(train: DataFrame, fit, predict, group: str = "loan_id", label: str = "label", folds: int = 5):
-    """Out-of-fold scores with whole groups per fold, an isotonic map on them, and a refit on all rows."""
+    """The same for any model given by a fit and a predict function."""
     tagged = train.withColumn("_fold", fold_of(group, folds))
     parts = None
     for k in range(folds):
         model = fit(tagged.filter(F.col("_fold") != k))
         part = predict(model, tagged.filter(F.col("_fold") == k), "_raw").select("_raw", label)
         parts = part if parts is None else parts.unionByName(part)
-    # equal scores are summed first: the isotonic fit sees one weighted row per score
-    summed = settle(parts.groupBy(half_even("_raw", 6).alias("_raw")).agg(
-        F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"),
-        F.sum(F.col(label)).cast("long").alias("pos"), F.count(F.lit(1)).alias("n"),
-    ))
-    iso = IsotonicRegression(featuresCol="_raw", labelCol="_y", weightCol="_w").fit(summed)
-    return fit(train), iso, summed
+    summed = sum_scores(parts, label)
+    return fit(train), fit_isotonic(summed), summed
 
 
 def apply_calibration(iso, df: DataFrame, raw: str, name: str) -> DataFrame:
@@ -371,42 +424,55 @@ def prototype_cost(prototype: dict, gamma: float) -> Column:
     return d + gamma * miss
 
 
-def nearest(prototypes: list[dict], gamma: float) -> Column:
-    costs = F.array(*[F.struct(prototype_cost(p, gamma).alias("cost"), F.lit(i).alias("k")) for i, p in enumerate(prototypes)])
-    return F.array_min(costs)
+def nearest(df: DataFrame, prototypes: list[dict], gamma: float, name: str = "cluster_id") -> DataFrame:
+    """Adds the number of the cheapest prototype and its cost."""
+    costs = [f"_cost{i}" for i in range(len(prototypes))]
+    priced = df.select("*", *[prototype_cost(p, gamma).alias(c) for p, c in zip(prototypes, costs)])
+    priced = priced.withColumn("_least", F.least(*costs) if len(costs) > 1 else F.col(costs[0]))
+    pick = None
+    for i, c in enumerate(costs):
+        hit = F.col(c) == F.col("_least")
+        pick = F.when(hit, i) if pick is None else pick.when(hit, i)
+    return priced.select(*df.columns, pick.alias(name), F.col("_least").alias(f"{name}_cost"))
 
 
-def fit_prototypes(features: DataFrame, k: int, max_iter: int = 10, seed: int = 20260603, weight: Column | None = None, gamma: float = 0.5):
-    """Mixed-type k-prototypes: each round assigns by column expression and folds means and modes per cluster.
+def fit_prototypes(
+    features: DataFrame, k: int, max_iter: int = 10, seed: int = 20260603, weight: Column | None = None,
+    gamma: float = 0.5, values: dict[str, list[str]] | None = None,
+):
+    """Mixed-type k-prototypes: each round assigns by column expressions and folds means and category counts.
 
-    The prototypes (k rows) travel as literals; per round the driver sees k means and the category
-    counts, never rows. ``gamma`` is half the numeric spread, which is one after standardising.
+    The prototypes (k rows) travel as literals, and one hash aggregate per round returns k rows to the
+    driver: sums of the numeric columns and a count per category value. ``gamma`` is half the numeric
+    spread, which is one after standardising.
     """
     nums = [c for c in features.columns if c.startswith("z_")]
     cats = [c for c in features.columns if c.startswith("c_")]
+    values = values or categories(features, cats)
     w = F.lit(1.0) if weight is None else weight
     start = features.orderBy(F.xxhash64(F.lit(seed), F.col("customer_id")), "customer_id").limit(k).collect()
     prototypes = [{"num": {c: r[c] for c in nums}, "cat": {c: r[c] for c in cats}} for r in start]
-    cost = None
+    cells = [(c, v) for c in cats for v in values[c]]
+    cost = 0.0
     for _ in range(max_iter):
-        assigned = features.withColumn("_a", nearest(prototypes, gamma)).withColumn("_w", w)
-        k_of = F.col("_a.k").alias("k")
-        means = assigned.groupBy(k_of).agg(
-            F.sum("_w").alias("n"), F.sum(F.col("_a.cost") * F.col("_w")).alias("cost"),
-            *[(F.sum(F.col(c) * F.col("_w")) / F.when(F.sum("_w") > 0, F.sum("_w"))).alias(c) for c in nums],
+        rows = nearest(features.withColumn("_w", w), prototypes, gamma, "_k").groupBy("_k").agg(
+            F.sum("_w").alias("n"), F.sum(F.col("_k_cost") * F.col("_w")).alias("cost"),
+            *[F.sum(F.col(c) * F.col("_w")).alias(f"s_{i}") for i, c in enumerate(nums)],
+            *[F.sum(F.when(F.col(c) == v, F.col("_w")).otherwise(0.0)).alias(f"v_{i}") for i, (c, v) in enumerate(cells)],
         ).collect()
-        pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cats])
-        counts = assigned.select(k_of, "_w", F.explode(pairs).alias("s")).groupBy("k", "s.c", "s.v").agg(F.sum("_w").alias("n")).collect()
         new = [dict(p) for p in prototypes]
-        for r in means:
-            if r["n"]:
-                new[r["k"]] = {"num": {c: round(r[c], 9) for c in nums}, "cat": dict(prototypes[r["k"]]["cat"])}
-        best: dict = {}
-        for r in sorted(counts, key=lambda r: (r["k"], r["c"], -r["n"], r["v"])):
-            best.setdefault((r["k"], r["c"]), r["v"])
-        for (i, c), v in best.items():
-            new[i]["cat"][c] = v
-        cost = sum(r["cost"] or 0.0 for r in means)
+        for r in rows:
+            if not r["n"]:
+                continue
+            best: dict = {}
+            for i, (c, v) in enumerate(cells):
+                if c not in best or r[f"v_{i}"] > best[c][1]:
+                    best[c] = (v, r[f"v_{i}"])
+            new[r["_k"]] = {
+                "num": {c: round(r[f"s_{i}"] / r["n"], 9) for i, c in enumerate(nums)},
+                "cat": {c: v for c, (v, _) in best.items()},
+            }
+        cost = sum(r["cost"] or 0.0 for r in rows)
         if new == prototypes:
             break
         prototypes = new
@@ -414,7 +480,7 @@ def fit_prototypes(features: DataFrame, k: int, max_iter: int = 10, seed: int =
 
 
 def cluster_ids(features: DataFrame, prototypes: list[dict], gamma: float = 0.5) -> DataFrame:
-    return features.withColumn("cluster_id", nearest(prototypes, gamma)["k"])
+    return nearest(features, prototypes, gamma).drop("cluster_id_cost")
 
 
 def embedding(features: DataFrame, values: dict[str, list[str]]) -> DataFrame:
@@ -428,11 +494,12 @@ def embedding(features: DataFrame, values: dict[str, list[str]]) -> DataFrame:
 def k_sweep(features: DataFrame, ks: list[int], max_iter: int = 10) -> tuple[DataFrame, int]:
     """Silhouette (squared Euclidean on the one-hot embedding) per k, over all customers."""
     cats = [c for c in features.columns if c.startswith("c_")]
-    emb = embedding(features, categories(features, cats))
+    values = categories(features, cats)
+    emb = settle(embedding(features, values))
     judge = ClusteringEvaluator(featuresCol="embedding", predictionCol="cluster_id")
     rows = []
     for k in ks:
-        prototypes, cost = fit_prototypes(features, k, max_iter)
+        prototypes, cost = fit_prototypes(features, k, max_iter, values=values)
         rows.append((k, float(judge.evaluate(cluster_ids(emb, prototypes))), float(cost)))
     best = max(rows, key=lambda r: (r[1], -r[0]))[0]
     return features.sparkSession.createDataFrame(rows, "k int, silhouette double, cost double"), best
@@ -464,11 +531,12 @@ def tree_stability(frame: DataFrame, replicates: int = 25, min_leaf: int = 1000,
 
 
 def cluster_stability(features: DataFrame, k: int = 4, replicates: int = 3, max_iter: int = 10, seed: int = 20260603) -> DataFrame:
-    base = cluster_ids(features, fit_prototypes(features, k, max_iter)[0])
+    values = categories(features, [c for c in features.columns if c.startswith("c_")])
+    base = cluster_ids(features, fit_prototypes(features, k, max_iter, values=values)[0])
     out = None
     for b in range(replicates):
-        prototypes, _ = fit_prototypes(features, k, max_iter, seed, poisson_row_weight("customer_id", b, seed))
-        both = base.withColumn("other", nearest(prototypes, 0.5)["k"])
+        prototypes, _ = fit_prototypes(features, k, max_iter, seed, poisson_row_weight("customer_id", b, seed), values=values)
+        both = nearest(base, prototypes, 0.5, "other")
         one = adjusted_rand_index(both, "cluster_id", "other").select(F.lit(b).alias("replicate"), "ari")
         out = one if out is None else out.unionByName(one)
     return out

@@ -96,7 +96,7 @@ def _mixed_clusters(b):
 
 
 register("m05_mixed_clusters", _mixed_clusters)
-register("m06_cluster_count_sweep", lambda b: M.k_sweep(features_of(b), [4, 5, 6])[0])
+register("m06_cluster_count_sweep", lambda b: M.k_sweep(features_of(b), [4, 5, 6], 6)[0])
 
 
 def _cluster_profile(b):
@@ -196,7 +196,7 @@ register("m13_monotonicity_audit", _monotone)
 def _calibrated(b):
     data = settle(b.scored)
     train = data.filter(F.col("split_oot") == "train")
-    card, iso, oof = M.calibrate(train, M.fit_scorecard, M.predict_scorecard)
+    card, iso, oof = M.calibrate_scorecard(train)
     test = M.predict_scorecard(card, data.filter(F.col("split_oot") == "test"), "raw")
     scored = settle(M.apply_calibration(iso, test, "raw", "score_scorecard").drop("raw"))
     return scoring.by_population(scored, "score_scorecard").join(
