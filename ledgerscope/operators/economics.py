@@ -11,6 +11,7 @@ from ledgerscope.functions.numeric import (
     clip, decimal, exact, half_even, mean, money, rate, ratio, total, value_map,
 )
 from ledgerscope.operators import panel, ranks
+from ledgerscope.sources.scratch import settle
 
 COMPONENTS = ["nii", "fee", "loss", "servicing", "cac_charged"]
 
@@ -30,19 +31,21 @@ def loan_outcomes(repayments: DataFrame) -> DataFrame:
     )
 
 
-def value_proxy(loans: DataFrame, customers: DataFrame, repayments: DataFrame) -> DataFrame:
+def value_proxy(loans: DataFrame, customers: DataFrame | None, repayments: DataFrame) -> DataFrame:
     """Loans with default flag, months on book, the five components and their net value.
 
-    The rate is constant per loan, so balances are summed first and multiplied once.
+    The rate is constant per loan, so balances are summed first and multiplied once. Loans that
+    already carry their customer's ``cac`` need no customers.
     """
-    cac = customers.select("customer_id", "cac")
-    df = loans.join(loan_outcomes(repayments), "loan_id", "left").join(cac, "customer_id", "left")
+    df = loans.join(loan_outcomes(repayments), "loan_id", "left")
+    if customers is not None:
+        df = df.join(customers.select("customer_id", "cac"), "customer_id", "left")
     months = F.coalesce(F.col("months_on_book"), F.lit(0))
     spread = (F.col("interest_rate_apr") / 100.0 - P.COST_OF_FUNDS) / 12.0
     lost = (F.col("loan_status") == "Written-off") | F.coalesce(F.col("last_dpd") >= P.DEFAULT_DPD, F.lit(False))
     lgd = value_map("product_type", P.LGD)
     df = df.select(
-        *loans.columns,
+        *[c for c in loans.columns if c != "cac"],
         months.cast("int").alias("months_on_book"),
         F.coalesce((F.col("worst_dpd") >= P.DEFAULT_DPD).cast("int"), F.lit(0)).alias("default_flag"),
         F.col("last_balance"), F.col("last_dpd"),
@@ -293,18 +296,25 @@ def channel_economics(loans: DataFrame, customers: DataFrame, cac: str = "cac")
     df = loans.join(customers.select("customer_id", "acquisition_channel", "cac"), "customer_id")
     margin = margin_before_cac().cast("double")
     monthly = margin / clip(F.col("months_on_book").cast("double"), low=1.0)
-    df = df.withColumn("_margin", margin_before_cac()).withColumn(
-        "_payback", F.col(cac).cast("double") / clip(monthly, low=1.0)
-    )
+    # written once and narrow: the means and both medians read it
+    df = settle(df.select(
+        "acquisition_channel", F.col(cac).alias("_cac"), "default_flag", "value_proxy", margin_before_cac().alias("_margin"),
+        half_even(F.col(cac).cast("double") / clip(monthly, low=1.0), 6).alias("_payback"),
+    ))
     key = ["acquisition_channel"]
     base = df.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("loans"), half_even(mean(cac), 2).alias("avg_cac"),
+        F.count(F.lit(1)).alias("loans"), half_even(mean("_cac"), 2).alias("avg_cac"),
         half_even(rate(F.col("default_flag") == 1), 6).alias("default_rate"),
         half_even(mean("value_proxy"), 2).alias("avg_profit"),
-        half_even(ratio(F.sum("_margin").cast("double"), F.sum(cac)), 6).alias("clv_cac"),
+        half_even(ratio(F.sum("_margin").cast("double"), F.sum("_cac")), 6).alias("clv_cac"),
     )
-    profit = ranks.quantiles(df, F.col("value_proxy").cast("double"), [0.5], key)
-    payback = ranks.quantiles(df, half_even("_payback", 6), [0.5], key)
+    both = df.select(*key, F.explode(F.array(
+        F.struct(F.lit("profit").alias("m"), F.col("value_proxy").cast("double").alias("x")),
+        F.struct(F.lit("payback").alias("m"), F.col("_payback").alias("x")),
+    )).alias("s")).select(*key, "s.*")
+    medians = ranks.quantiles(both, F.col("x"), [0.5], [*key, "m"])
+    profit = medians.filter(F.col("m") == "profit").drop("m")
+    payback = medians.filter(F.col("m") == "payback").drop("m")
     out = base.join(profit.withColumnRenamed("q0", "_mp"), key).join(payback.withColumnRenamed("q0", "_pb"), key)
     median = half_even("_mp", 2)
     return out.select(

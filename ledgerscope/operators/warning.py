@@ -22,17 +22,43 @@ def loan_events(repayments: DataFrame) -> DataFrame:
     )
 
 
-def observation_spine(repayments: DataFrame, loans: DataFrame) -> DataFrame:
+def with_events(repayments: DataFrame) -> DataFrame:
+    """Every loan-month with its loan's D and L.
+
+    Loans of measured, modest length take them from the loan's own window, in the partitioning the
+    panel already has; otherwise they are aggregated and joined, which a very long loan survives.
+    """
+    if panel.is_short(repayments, "period_index", panel.CHUNK):
+        loan = Window.partitionBy("loan_id")
+        late = F.when(F.col("dpd") >= P.DEFAULT_DPD, F.col("period_index"))
+        return repayments.select("*", F.min(late).over(loan).alias("D"), F.max("period_index").over(loan).alias("L"))
+    return repayments.join(loan_events(repayments), "loan_id")
+
+
+def performing() -> Column:
+    """Seasoned and before the first 90+."""
+    month = F.col("period_index")
+    return (month >= P.MOB_FLOOR) & (month < F.coalesce(F.col("D"), month + 1))
+
+
+def observation_spine(repayments: DataFrame, loans: DataFrame, *keep: str) -> DataFrame:
     """Loan-months still performing and seasoned: month >= floor and before the first 90+."""
     attrs = loans.select("loan_id", "customer_id", "product_type", bands.frozen_segment().alias("segment"))
-    month = F.col("period_index")
-    performing = month < F.coalesce(F.col("D"), month + 1)
     return (
-        repayments.filter(month >= P.MOB_FLOOR).select("loan_id", "period_index", "obs_month")
-        .join(loan_events(repayments).select("loan_id", "D"), "loan_id")
-        .filter(performing)
-        .join(attrs, "loan_id", "left")
-        .select("loan_id", "customer_id", "obs_month", month.alias("months_on_book"), "product_type", "segment")
+        with_events(repayments).filter(performing()).join(attrs, "loan_id", "left")
+        .select("loan_id", "customer_id", "obs_month", F.col("period_index").alias("months_on_book"),
+                "product_type", "segment", *keep)
+    )
+
+
+def outcome_months(repayments: DataFrame, loans: DataFrame, horizon: int = P.LABEL_WINDOW) -> DataFrame:
+    """Spine, outcome and loan-side features in one pass: the panel is shuffled by loan once."""
+    runs = panel.run_length(repayments, "loan_id", "period_index", {"partial_run": "partial_payment_flag"})
+    attrs = loans.select("loan_id", "customer_id", "product_type", bands.frozen_segment().alias("segment"), "loan_status")
+    months = with_events(runs).filter(performing()).join(attrs, "loan_id", "left").withColumnRenamed("period_index", "months_on_book")
+    return months.select(
+        *SPINE_COLUMNS, label_outcome(horizon).alias("label"), "partial_run", F.col("dpd").cast("int").alias("dpd_current"),
+        F.col("missed_payments_cum").cast("long").alias("missed_cum_at_t"),
     )
 
 
@@ -109,14 +135,16 @@ def repayment_features(repayments: DataFrame) -> DataFrame:
     )
 
 
-def raw_matrix(labelled: DataFrame, behaviour: DataFrame, repayments: DataFrame) -> DataFrame:
+def raw_matrix(labelled: DataFrame, behaviour: DataFrame, repayments: DataFrame | None = None) -> DataFrame:
+    """Labelled months with behaviour, and with the loan-side features unless they are already there."""
     b = behaviour_features(behaviour).withColumnRenamed("month", "obs_month")
-    r = repayment_features(repayments)
-    return labelled.join(r, ["loan_id", "months_on_book"], "left").join(b, ["customer_id", "obs_month"], "left")
+    if repayments is not None:
+        labelled = labelled.join(repayment_features(repayments), ["loan_id", "months_on_book"], "left")
+    return labelled.join(b, ["customer_id", "obs_month"], "left")
 
 
 def feature_matrix(
-    labelled: DataFrame, behaviour: DataFrame, repayments: DataFrame, median_from: Column | None = None
+    labelled: DataFrame, behaviour: DataFrame, repayments: DataFrame | None = None, median_from: Column | None = None
 ) -> DataFrame:
     """Exact joins, then fills: level features by their median, the rest by zero.
 

@@ -49,17 +49,21 @@ class Pipeline(V.Book):
     def spine(self) -> DataFrame:
         return warning.observation_spine(self.repayments, self.originations)
 
+    @cached_property
+    def outcome_months(self) -> DataFrame:
+        return warning.outcome_months(self.repayments, self.originations)
+
     @cached_property
     def outcome_spine(self) -> DataFrame:
-        return warning.outcome_spine(self.spine, self.repayments, self.originations)
+        return self.outcome_months.select(*warning.SPINE_COLUMNS, "label")
 
     @cached_property
     def labelled(self) -> DataFrame:
-        return warning.forward_label(self.spine, self.repayments, self.originations)
+        return self.outcome_spine.filter(F.col("label") != -1)
 
     @cached_property
     def matrix(self) -> DataFrame:
-        return warning.feature_matrix(self.labelled, self.behaviour, self.repayments)
+        return warning.feature_matrix(self.outcome_months.filter(F.col("label") != -1), self.behaviour)
 
     @cached_property
     def scored(self) -> DataFrame:

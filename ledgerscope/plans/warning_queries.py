@@ -14,6 +14,7 @@ from ledgerscope.sources import views as V
 
 register("ew01_observation_spine", lambda b: b.spine, "spine", "SELECT * FROM spine")
 register("ew02_forward_label", lambda b: b.labelled, "labelled", "SELECT * FROM labelled")
+register("ew02_label_of_stored_spine", lambda b: warning.forward_label(b.spine, b.repayments, b.originations), "labelled", "SELECT * FROM labelled")
 
 
 def base_sql(key: str) -> str:
@@ -160,8 +161,8 @@ register(
 FROM (SELECT band, max(months) AS months, count(*) AS n, CAST(sum(label) AS BIGINT) AS pos FROM banded_test GROUP BY 1)""",
 )
 _distress = "(bounce_streak >= 2 OR bounce_count_3m >= 3 OR (utilisation_level >= 70 AND spending_shock_rate_3m > 0))"
-S.view("snap", "banded_test", f"SELECT *, CAST({_distress} AS INT) AS is_behavioural_distress FROM banded_test WHERE obs_month = 24")
-SNAP = 24
+S.view("snap", "banded_test", f"SELECT *, CAST({_distress} AS INT) AS is_behavioural_distress FROM banded_test WHERE obs_month = 22")
+SNAP = 22
 register(
     "ew15_watchlist", lambda b: warning.watchlist(b.scored, "score", cuts_of(b), SNAP), "snap",
     f"""SELECT loan_id, customer_id, segment, product_type, obs_month, CAST(dpd_current AS BIGINT) AS dpd_current, {S.he('score', 4)} AS ews_score, band, is_behavioural_distress,

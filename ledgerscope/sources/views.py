@@ -81,6 +81,10 @@ class Book:
 
     @cached_property
     def originations(self) -> DataFrame:
+        return self._priced_originations.drop("cac")
+
+    @cached_property
+    def _priced_originations(self) -> DataFrame:
         o = self.table("orders").select(
             F.col("o_orderkey").alias("loan_id"),
             F.col("o_custkey").alias("customer_id"),
@@ -96,10 +100,13 @@ class Book:
         numbered = panel.sequence_number(
             o, "customer_id", ["origination_date", "loan_id"], F.unix_date("origination_date"), "loan_sequence"
         )
-        grades = self.customers.select(
-            "customer_id", F.col("credit_quality_indicator").alias("origination_risk_grade")
+        # grade and acquisition cost in one join, straight from the customer table
+        terms = self.table("customer").select(
+            F.col("c_custkey").alias("customer_id"),
+            bands.left_closed_cuts("c_acctbal", GRADE_CUTS, P.GRADES).alias("origination_risk_grade"),
+            value_map(value_map("c_mktsegment", CHANNEL_OF_SEGMENT), CAC_OF_CHANNEL).cast("long").alias("cac"),
         )
-        return numbered.join(grades, "customer_id", "left")
+        return numbered.join(terms, "customer_id", "left")
 
     @cached_property
     def outcomes(self) -> DataFrame:
@@ -163,7 +170,7 @@ class Book:
     @cached_property
     def loans(self) -> DataFrame:
         """Loans with outcomes and value; the components sit beside them."""
-        return economics.value_proxy(self.originations, self.customers, self.repayments)
+        return economics.value_proxy(self._priced_originations, None, self.repayments)
 
     @cached_property
     def components(self) -> DataFrame:
