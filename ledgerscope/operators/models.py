@@ -317,7 +317,7 @@ def categories(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
 
 def design_matrix(frame: DataFrame, values: dict[str, list[str]] | None = None) -> tuple[DataFrame, list[str]]:
     """Numeric, ordinal-grade and one-hot columns in one vector; outcome columns are refused."""
-    values = values or categories(frame, TREE_CATEGORIES)
+    values = categories(frame, TREE_CATEGORIES) if values is None else values
     cols = {c: F.col(c).cast("double") for c in TREE_NUMERIC}
     cols |= {f"{c}_ord": grade_rank(c).cast("double") for c in TREE_GRADES}
     cols |= {f"{c}={v}": (F.col(c) == v).cast("double") for c, vs in values.items() for v in vs}

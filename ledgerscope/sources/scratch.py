@@ -16,6 +16,8 @@ def folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="spark-")
     return _own_folder
