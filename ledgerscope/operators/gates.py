@@ -360,11 +360,12 @@ def value_checks(loans) -> list[DataFrame]:
     )]
 
 
-def all_checks(book, volumes: dict[str, int]) -> DataFrame:
-    c, l, r, b = book.customers, book.loans, book.repayments, book.behaviour
+def all_checks(customers, loans, repayments, behaviour, latent, volumes: dict[str, int]) -> DataFrame:
+    """Every check of the data gate. The tables are read many times: pass stored ones."""
     return results(
-        structural(c, l, r, b, volumes) + data_quality(c, l, r) + mixes(c, l) + defaults(l)
-        + relationships(c, l, r, b, book.latent_risk) + vintage_panel(l, r) + value_checks(l)
+        structural(customers, loans, repayments, behaviour, volumes) + data_quality(customers, loans, repayments)
+        + mixes(customers, loans) + defaults(loans) + relationships(customers, loans, repayments, behaviour, latent)
+        + vintage_panel(loans, repayments) + value_checks(loans)
     )
 
 

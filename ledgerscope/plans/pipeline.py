@@ -11,6 +11,7 @@ from ledgerscope.functions.numeric import half_even
 from ledgerscope.operators import frames, warning
 from ledgerscope.plans.sql_frames import STAND_IN
 from ledgerscope.sources import views as V
+from ledgerscope.sources.scratch import settle
 
 DECILE_ORDER = ["loan_id", "months_on_book"]
 
@@ -28,6 +29,19 @@ def stand_in_score() -> Column:
 
 
 class Pipeline(V.Book):
+    # written once, for jobs that read the same table many times
+    @cached_property
+    def stored_loans(self) -> DataFrame:
+        return settle(self.loans)
+
+    @cached_property
+    def stored_repayments(self) -> DataFrame:
+        return settle(self.repayments)
+
+    @cached_property
+    def stored_frame(self) -> DataFrame:
+        return settle(self.loan_frame)
+
     @cached_property
     def loan_frame(self) -> DataFrame:
         return frames.loan_frame(self.loans, self.customers, self.repayments, self.behaviour, self.originations)
