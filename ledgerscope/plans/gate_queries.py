@@ -161,7 +161,7 @@ register(
 register(
     "q12_rerun_difference",
     lambda b: G.max_difference(b.loans, type(b)(b.spark, b.folder).loans, "loan_id", ["value_proxy", "nii", "months_on_book"]),
-    "loans", "SELECT 0 AS n_unmatched, 0e0 AS diff_value_proxy, 0e0 AS diff_nii, 0e0 AS diff_months_on_book FROM loans HAVING count(*) > 0",
+    "loans", "SELECT CAST(0 AS BIGINT) AS n_unmatched, 0e0 AS diff_value_proxy, 0e0 AS diff_nii, 0e0 AS diff_months_on_book FROM loans HAVING count(*) > 0",
 )
 register("q12_fingerprint", lambda b: G.fingerprint(b.loans))
 _other = [c for c in P.CHANNELS if c not in P.LEVER_CHANNELS]

@@ -232,7 +232,7 @@ register(
 register(
     "j14_old_new_reconciliation",
     lambda b: gates.max_difference(b.loans.select("loan_id", "value_proxy"), b.loans.select("loan_id", (F.col("value_proxy") + F.col("loan_id") % 3).alias("value_proxy")), "loan_id", ["value_proxy"]),
-    "loans", "SELECT 0 AS n_unmatched, CAST(max(loan_id % 3) AS DOUBLE) AS diff_value_proxy FROM loans",
+    "loans", "SELECT CAST(0 AS BIGINT) AS n_unmatched, CAST(max(loan_id % 3) AS DOUBLE) AS diff_value_proxy FROM loans",
 )
 
 # ---------------------------------------------------------------- aggregates

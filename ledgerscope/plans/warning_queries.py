@@ -165,7 +165,7 @@ S.view("snap", "banded_test", f"SELECT *, CAST({_distress} AS INT) AS is_behavio
 SNAP = 22
 register(
     "ew15_watchlist", lambda b: warning.watchlist(b.scored, "score", cuts_of(b), SNAP), "snap",
-    f"""SELECT loan_id, customer_id, segment, product_type, obs_month, CAST(dpd_current AS BIGINT) AS dpd_current, {S.he('score', 4)} AS ews_score, band, is_behavioural_distress,
+    f"""SELECT loan_id, customer_id, segment, product_type, obs_month, CAST(dpd_current AS INT) AS dpd_current, {S.he('score', 4)} AS ews_score, band, is_behavioural_distress,
   {S.case('band', P.BAND_ACTION)} AS recommended_action FROM snap WHERE band <> 'GREEN'""",
 )
 register(
