@@ -45,3 +45,8 @@ def word_count(text: str = "text") -> Column:
     """Number of words, JVM-side: the parts that a split at white space leaves, without empty ends."""
     parts = F.split(F.col(text), f"{SPACE}+")
     return F.coalesce(F.size(F.filter(parts, lambda w: w != "")), F.lit(0)).cast("long")
+
+
+def small_or_shuffled(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written table, marked for broadcast while it has few rows; beyond that the join shuffles. The result is the same."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import decontam, language, toxicity
+from ledgerscope.llm import decontam, jaccard, language, line_dedup, mixing, toxicity, warc
 from ledgerscope.llm.common import is_remainder, table
 
 
@@ -28,6 +28,33 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    shards = F.transform("places", lambda p: p["shard"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.concat_ws(",", shards).alias("shards"))
+
+
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT n, d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY n, d)
+SELECT page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN top IS NULL OR top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN top <> page_id THEN top END AS refers_to
+FROM p LEFT JOIN m ON p.n = m.n AND p.d = m.d
+"""
+
 OP10_SQL = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -50,6 +77,10 @@ FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_language": op3_language,
+    "op6_mixing": op6_mixing,
+    "op7_jaccard": op7_jaccard,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES = {"op10_decontamination": OP10_SQL}
+ORACLES = {"op9_warc": OP9_SQL, "op10_decontamination": OP10_SQL}
