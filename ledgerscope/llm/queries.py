@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import decontam, jaccard, language, line_dedup, mixing, toxicity, warc
+from ledgerscope.llm import decontam, jaccard, language, line_dedup, mixing, quality, toxicity, warc
 from ledgerscope.llm.common import is_remainder, table
 
 
@@ -15,6 +15,47 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_remainder("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = quality.verdicts(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                      F.concat_ws(",", "failed_rules").alias("failed_rules"))
+
+
+_RULES_SQL = ", ".join(f"('{rule}', {count}, {base})" for rule, (count, base) in quality.RULES.items())
+OP2_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, 'none') AS stratum, coalesce(text, '') AS text FROM documents),
+p AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM p, LATERAL (SELECT unnest(generate_series(1, len(w) - 2)) AS i)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g), LATERAL (SELECT unnest([0, 1, 2]) AS k)
+      WHERE c > 1 GROUP BY doc_id),
+f AS (SELECT p.doc_id, stratum, len(w) AS n_words, length(list_aggregate(w, 'string_agg', '')) AS word_chars,
+             len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+             len(l) AS n_lines, len(regexp_extract_all(text, '[A-Z]')) AS n_capitals, len(regexp_extract_all(text, '[!?]')) AS n_shouts
+      FROM p LEFT JOIN r ON p.doc_id = r.doc_id),
+b AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed FROM f),
+q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+long AS (SELECT b.doc_id, stratum, base_failed, u.rule, u.num, u.den FROM b, LATERAL (VALUES {_RULES_SQL}) AS u(rule, num, den)),
+cuts AS (SELECT unnest({list(quality.CUTS)}) AS cut),
+n AS (SELECT stratum, count(*) FILTER (quality = 1) AS n FROM b JOIN q USING (doc_id) WHERE NOT base_failed GROUP BY stratum),
+c AS (SELECT stratum, rule, cut, count(*) FILTER (quality = 1 AND 10000 * num > cut * den) AS good, count(*) FILTER (quality = 0 AND 10000 * num > cut * den) AS bad
+      FROM long JOIN q USING (doc_id), cuts WHERE NOT base_failed GROUP BY ALL),
+s AS (SELECT c.*, n.n > 0 AND good < n.n * {quality.RISK / len(quality.RULES)} AND
+             list_sum(list_transform(generate_series(0, good), lambda i: exp(lgamma(n.n + 1) - lgamma(i + 1) - lgamma(n.n - i + 1)
+                + i * ln({quality.RISK / len(quality.RULES)}) + (n.n - i) * ln(1 - {quality.RISK / len(quality.RULES)}))))
+             <= {quality.ERROR / len(quality.RULES)} / (SELECT count(*) FROM n) AS safe FROM c JOIN n USING (stratum)),
+e AS (SELECT *, coalesce(max(cut) FILTER (NOT safe) OVER (PARTITION BY stratum, rule), 0) AS stop FROM s),
+best AS (SELECT stratum, rule, arg_max(cut, (bad - good) * 100000 + cut) AS cut FROM e WHERE cut > stop AND bad > good GROUP BY stratum, rule),
+v AS (SELECT doc_id, string_agg(rule, ',' ORDER BY list_position({list(quality.RULES)}, rule)) AS failed
+      FROM long JOIN best USING (stratum, rule) WHERE 10000 * num > cut * den GROUP BY doc_id)
+SELECT b.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed_rules
+FROM b LEFT JOIN v USING (doc_id)
+"""
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = language.identify(docs, ~is_remainder("doc_id", 5, 0))
@@ -76,6 +117,7 @@ FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
     "op3_language": op3_language,
     "op6_mixing": op6_mixing,
     "op7_jaccard": op7_jaccard,
@@ -83,4 +125,4 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES = {"op9_warc": OP9_SQL, "op10_decontamination": OP10_SQL}
+ORACLES = {"op2_quality": OP2_SQL, "op9_warc": OP9_SQL, "op10_decontamination": OP10_SQL}
