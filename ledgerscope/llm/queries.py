@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import decontam, jaccard, language, line_dedup, mixing, pii, quality, toxicity, warc
+from ledgerscope.llm import decontam, jaccard, language, line_dedup, mixing, pii, quality, secret_scan, toxicity, warc
 from ledgerscope.llm.common import is_remainder, table
 
 
@@ -69,6 +69,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 def _joined(spans: str):
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])))
 
@@ -130,6 +134,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op3_language": op3_language,
+    "op4_secrets": op4_secrets,
     "op5_pii": op5_pii,
     "op6_mixing": op6_mixing,
     "op7_jaccard": op7_jaccard,
