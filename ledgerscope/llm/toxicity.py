@@ -16,6 +16,7 @@ without labels). Other columns pass through; an input column named like a result
 
 from __future__ import annotations
 
+import io
 import zlib
 from collections.abc import Iterator
 
@@ -286,8 +287,8 @@ class Scorer:
         return best
 
 
-def sample_windows(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text") -> pd.DataFrame:
-    """Windows of the labelled sample: text number, label, window. Bounded by the SAMPLE_ parameters whatever the input."""
+def sample_windows(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(turn, label, window): windows of the labelled sample. Bounded by the SAMPLE_ parameters whatever the input."""
     one = (
         labels.filter(learn & F.col("toxic").isin(0, 1) & F.col(key).isNotNull())
         .groupBy(key).agg(F.max("toxic").cast("int").alias("_label"))
@@ -315,8 +316,28 @@ def sample_windows(docs: DataFrame, labels: DataFrame, learn: Column, key: str =
     texts = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(ids), key)
     limit = (SAMPLE_TOXIC + SAMPLE_CLEAN) * 2
     texts = texts.orderBy("_turn", F.xxhash64("_text")).limit(limit).select("_turn", "_label", "_text")
-    out = texts.mapInPandas(cut, "turn string, label int, window string").toPandas()
-    return out.sort_values(["turn", "window"], ignore_index=True)
+    return texts.mapInPandas(cut, "turn string, label int, window string")
+
+
+def fit_in_task(sample: DataFrame) -> Network | float:
+    """fit, in one task: the sample has a bound, and the driver keeps its memory. Only the parameters come back."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        rows = pd.concat(parts).sort_values(["turn", "window"], ignore_index=True) if parts else pd.DataFrame({"label": []})
+        model = fit(rows)
+        data = io.BytesIO()
+        if isinstance(model, Network):
+            np.savez(data, **model.p)
+        yield pd.DataFrame({"share": [0.0 if data.tell() else float(model)], "parameters": [data.getvalue()]})
+
+    row = sample.repartition(1).mapInPandas(run, "share double, parameters binary").first()
+    if not row or not row["parameters"]:
+        return row["share"] if row else 0.0
+    network = Network()
+    with np.load(io.BytesIO(bytes(row["parameters"]))) as stored:
+        network.p = {k: stored[k] for k in stored.files}
+    return network
 
 
 def fit(sample: pd.DataFrame) -> Network | float:
@@ -349,4 +370,4 @@ def score_texts(docs: DataFrame, model: Network | float, text: str = "text") ->
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Train on labels where learn holds, then score every text."""
-    return score_texts(docs, fit(sample_windows(docs, labels, learn, key, text)), text)
+    return score_texts(docs, fit_in_task(sample_windows(docs, labels, learn, key, text)), text)
