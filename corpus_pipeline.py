@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without line chunks that an earlier document has; n_chars follows the text."""
-    out = line_dedup.line_dedup(docs)
+    """Texts without line chunks that an earlier document has; n_chars follows the text. A document of which nothing is left goes."""
+    out = line_dedup.line_dedup(docs).filter(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", length).select(*docs.columns)
 

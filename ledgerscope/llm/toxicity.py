@@ -33,6 +33,10 @@ WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 8, 16, 8, 8
 #: Bounds of the labelled sample the classifier is fitted on: texts of each label, and windows of one text, by hash.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WINDOWS = 1500, 3000, 8
 EPOCHS, BATCH, RATE, SEED = 5, 128, 0.01, 11
+#: Embeddings learn SPEED times as fast; of DROP of the words of a batch only the characters are seen.
+SPEED, DROP = 1, 0.6
+#: Small samples are gone through more often, until the network has been changed so many times.
+LEAST_STEPS = 400
 #: Share of the clean windows that each round takes at random, beside those with a probability above HARD.
 CLEAN_SHARE, HARD = 0.15, 0.02
 THRESHOLD = 0.3
@@ -151,18 +155,21 @@ class Network:
             g[name] = du
         return g, dx
 
-    def train(self, coded: tuple, windows: list[np.ndarray], label: np.ndarray, text: np.ndarray, epochs: int = EPOCHS) -> Network:
+    def train(self, coded: tuple, windows: list[np.ndarray], label: np.ndarray, text: np.ndarray) -> Network:
         """windows: rows into the coded words; label and text (its number): of each window."""
         rng, p = np.random.default_rng(SEED), self.p
         m1, m2, step = {k: 0.0 for k in p}, {k: 0.0 for k in p}, 0
         rows, grams, offsets = coded
         counts = np.diff(np.append(offsets, len(grams)))
-        for epoch in range(epochs):
-            use = np.flatnonzero((label == 0) & (rng.random(len(label)) < CLEAN_SHARE) | (label == 1))
+        share = max(CLEAN_SHARE, min(1.0, 3000 / max(1, (label == 0).sum())))
+        epoch = 0
+        while epoch < EPOCHS or step < LEAST_STEPS:
+            use = np.flatnonzero((label == 0) & (rng.random(len(label)) < share) | (label == 1))
             if epoch:
                 score = self.scores(coded, windows)
                 best = pd.Series(score).groupby(text).transform("max").to_numpy()
-                use = np.flatnonzero(np.where(label == 1, score == best, (score > HARD) | (rng.random(len(label)) < CLEAN_SHARE)))
+                use = np.flatnonzero(np.where(label == 1, score == best, (score > HARD) | (rng.random(len(label)) < share)))
+            epoch += 1
             rng.shuffle(use)
             for lo in range(0, len(use), BATCH):
                 batch = use[lo : lo + BATCH]
@@ -172,6 +179,8 @@ class Network:
                 flat = ragged(offsets[own], counts[own])
                 local = (rows[own], grams[flat], np.concatenate([[0], np.cumsum(counts[own])[:-1]]))
                 x = self.inputs(local)
+                gone = rng.random(len(x)) < DROP
+                x[gone, :WORD_DIM] = 0
                 keep: dict = {}
                 logit = self.forward(self.gates(x)[inverse], mask, keep)
                 y = label[batch].astype(np.float32)
@@ -180,6 +189,7 @@ class Network:
                 _, dgate = summed(inverse.ravel(), dg.reshape(-1, dg.shape[2]))
                 grad["win"], grad["bin"] = x.T @ dgate, dgate.sum(0)
                 dx = dgate @ p["win"].T
+                dx[gone, :WORD_DIM] = 0
                 step += 1
                 for k, v in grad.items():
                     m1[k] = 0.9 * m1[k] + 0.1 * v
@@ -195,7 +205,7 @@ class Network:
             seen[name] = np.full(len(self.p[name]), 1e-8, np.float32)
         own, total = summed(at, grad.astype(np.float32))
         seen[name][own] += (total**2).mean(1)
-        self.p[name][own] -= 5 * RATE * total / np.sqrt(seen[name][own])[:, None]
+        self.p[name][own] -= SPEED * RATE * total / np.sqrt(seen[name][own])[:, None]
 
     def scores(self, coded: tuple, windows: list[np.ndarray]) -> np.ndarray:
         g = self.gates(self.inputs(coded))
