@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.llm import decontam, jaccard, line_dedup, mixing, toxicity
-from ledgerscope.llm.common import is_remainder, row_key, small_or_shuffled, settle, table
+from ledgerscope.llm.common import bound_batches, is_remainder, row_key, small_or_shuffled, settle, table
 from ledgerscope.sources import scratch
 
 #: No stage of this kind of work (networks, rolling hashes, banding, postings, draws) is SQL; tests compare with brute force.
@@ -24,6 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without line chunks that an earlier document has; n_chars follows the text. A document of which nothing is left goes."""
+    bound_batches(spark)
     out = line_dedup.line_dedup(docs).filter(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", length).select(*docs.columns)
@@ -31,6 +32,7 @@ def drop_repeated_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of five-word Jaccard similarity 0.8."""
+    bound_batches(spark)
     return jaccard.one_of_each(docs).select(*docs.columns)
 
 
@@ -44,6 +46,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How often each document enters the mix, and in which shards."""
+    bound_batches(spark)
     mixed = mixing.mix(docs)
     shards = F.concat_ws(",", F.transform("places", lambda p: p["shard"]))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", shards.alias("shards"))

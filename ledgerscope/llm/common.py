@@ -15,10 +15,22 @@ SPACE = r"[\x20\x09-\x0D]"
 words_of = re.compile(WORD).findall
 
 
+#: Rows that go to a Python worker at once: texts can be long, and a worker holds a few copies of its batch.
+ARROW_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; also bounds what Python workers get at once."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: computed once, with short lineage."""
     return scratch.settle(df)

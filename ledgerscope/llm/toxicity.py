@@ -40,7 +40,7 @@ LEAST_STEPS = 400
 #: Share of the clean windows that each round takes at random, beside those with a probability above HARD.
 CLEAN_SHARE, HARD = 0.15, 0.02
 THRESHOLD = 0.3
-CACHED_WORDS = 150_000
+CACHED_WORDS = 80_000
 #: Windows that one pass of the network takes.
 BLOCK = 1024
 
@@ -96,6 +96,16 @@ class Network:
     def gates(self, x: np.ndarray) -> np.ndarray:
         return x @ self.p["win"] + self.p["bin"]
 
+    def all_gates(self, coded: tuple[np.ndarray, np.ndarray, np.ndarray], at_once: int = 10_000) -> np.ndarray:
+        """Gate inputs of all words, some at a time: the n-grams of a word take far more room than its gates."""
+        rows, grams, offsets = coded
+        ends = np.append(offsets, len(grams))
+        parts = [
+            self.gates(self.inputs((rows[lo : lo + at_once], grams[ends[lo] : ends[min(len(rows), lo + at_once)]], offsets[lo : lo + at_once] - ends[lo])))
+            for lo in range(0, len(rows), at_once)
+        ]
+        return np.concatenate(parts)
+
     @staticmethod
     def _run(x: np.ndarray, u: np.ndarray, mask: np.ndarray, back: bool, keep: list | None) -> np.ndarray:
         steps, n, h = x.shape[0], x.shape[1], u.shape[0]
@@ -208,8 +218,7 @@ class Network:
         self.p[name][own] -= SPEED * RATE * total / np.sqrt(seen[name][own])[:, None]
 
     def scores(self, coded: tuple, windows: list[np.ndarray]) -> np.ndarray:
-        g = self.gates(self.inputs(coded))
-        out = []
+        g, out = self.all_gates(coded), []
         for lo in range(0, len(windows), 1024):
             index, mask = stacked(windows[lo : lo + 1024])
             out.append(sigmoid(self.forward(g[index], mask)))
@@ -254,8 +263,8 @@ class Scorer:
                 self.known, self.size, fresh = {}, 0, list(set(words))
             while self.size + len(fresh) > len(self.gates):
                 self.gates = np.concatenate([self.gates, np.empty((max(len(self.gates), 4096), 6 * HIDDEN), np.float32)])
-            for lo in range(0, len(fresh), 20_000):
-                part = fresh[lo : lo + 20_000]
+            for lo in range(0, len(fresh), 10_000):
+                part = fresh[lo : lo + 10_000]
                 self.gates[self.size : self.size + len(part)] = self.network.gates(self.network.inputs(encode(part)))
                 self.known.update(zip(part, range(self.size, self.size + len(part)), strict=True))
                 self.size += len(part)
@@ -357,7 +366,13 @@ def fit(sample: pd.DataFrame) -> Network | float:
     split = [w.split(" ") for w in sample["window"]]
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in split for w in s))}
     windows = [np.fromiter((vocabulary[w] for w in s), np.int64, len(s)) for s in split]
-    return Network().train(encode(list(vocabulary)), windows, sample["label"].to_numpy(), pd.factorize(sample["turn"])[0])
+    del split
+    names = list(vocabulary)
+    parts = [encode(names[lo : lo + 10_000]) for lo in range(0, len(names), 10_000)]
+    shifts = np.cumsum([0, *(len(p[1]) for p in parts)])
+    coded = (np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(np.int32) for p in parts]),
+             np.concatenate([p[2] + s for p, s in zip(parts, shifts, strict=False)]))
+    return Network().train(coded, windows, sample["label"].to_numpy(), pd.factorize(sample["turn"])[0])
 
 
 def score_texts(docs: DataFrame, model: Network | float, text: str = "text") -> DataFrame:
