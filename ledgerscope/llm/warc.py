@@ -2,7 +2,7 @@
 
 `chunks` turns payloads into rows (record, number, data, last), CHUNK bytes each, JVM-side, so that nothing downstream allocates a
 whole record. `digests` streams them in order and carries one incremental SHA-1 per record. `write` streams header and chunks into
-WARC/1.1 files, several per run, through a filesystem that all executors share; a file has a name of its own for each attempt and
+WARC/1.1 files, a zstd frame per record, through a filesystem that all executors share; a file has a name of its own for each attempt and
 counts only if the manifest, written by Spark, lists it, so lost or repeated tasks leave no trace in the result. `read` streams
 the files back block by block and recomputes lengths and digests.
 
@@ -10,7 +10,7 @@ Of records with equal payloads of at least LEAST bytes the one with the largest
 refer to it and hold headers alone; smaller payloads are always responses.
 
 Defined results: a null payload is empty; null ids stand last among equal payloads and are written as an empty id (read back as
-null); repeated ids give one record each, and of repeated ids with equal payloads one is the response. Extra columns are not read.
+null); repeated rows give one record each, alike in everything. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,32 +35,36 @@ DATE = "2020-01-01T00:00:00Z"
 
 
 def chunks(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(record, page_id, url, size, number, data): the payload of each row in chunks, in order within its task. An empty payload is one empty chunk."""
+    """(record, copy, page_id, url, size, number, data): the payload of each row in chunks, in order within its task. An empty payload is one empty chunk."""
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    rows = pages.select(
-        F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("_payload"),
-    ).withColumn("record", F.expr("uuid()")).withColumn("size", F.octet_length("_payload").cast("long"))
+    rows = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("_payload"))
+    # the record id follows from the row, so both passes over the pages name it alike; repeated rows are told apart by copy
+    named = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.md5("_payload")))
+    rows = rows.withColumn("record", F.regexp_replace(named, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
+    rows = rows.withColumns({"copy": F.monotonically_increasing_id(), "size": F.octet_length("_payload").cast("long")})
     numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("size") / CHUNK) - 1).cast("int"))
     rows = rows.withColumn("number", F.explode(numbers))
-    return rows.select("record", "page_id", "url", "size", "number", F.expr(f"substring(_payload, number * {CHUNK} + 1, {CHUNK})").alias("data"))
+    return rows.select("record", "copy", "page_id", "url", "size", "number", F.expr(f"substring(_payload, number * {CHUNK} + 1, {CHUNK})").alias("data"))
 
 
 def digests(table: DataFrame) -> DataFrame:
-    """(record, digest) from chunk rows that stand in order within their task."""
+    """(record, page_id, size, digest), one row per record, from chunk rows that stand in order within their task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = None
         for b in batches:
             out = []
-            for record, size, number, data in zip(b["record"], b["size"], b["number"], b["data"], strict=True):
+            for record, page, size, number, data in zip(b["record"], b["page_id"].astype(object).where(b["page_id"].notna(), None), b["size"], b["number"], b["data"], strict=True):
                 if number == 0:
                     state = hashlib.sha1()
                 state.update(data)
                 if (number + 1) * CHUNK >= size:
-                    out.append((record, state.hexdigest()))
-            yield pd.DataFrame(out, columns=["record", "digest"])
+                    out.append((record, page, size, state.hexdigest()))
+            yield pd.DataFrame(out, columns=["record", "page_id", "size", "digest"])
 
-    return table.select("record", "size", "number", "data").mapInPandas(run, "record string, digest string")
+    kind = table.schema["page_id"].dataType.simpleString()
+    sums = table.select("record", "page_id", "size", "number", "data").mapInPandas(run, f"record string, page_id {kind}, size bigint, digest string")
+    return sums.groupBy("record").agg(F.first("page_id").alias("page_id"), F.first("size").alias("size"), F.first("digest").alias("digest"))
 
 
 def classify(records: DataFrame, least: int = LEAST) -> DataFrame:
@@ -96,18 +101,19 @@ def write(table: DataFrame, classified: DataFrame, folder: str) -> DataFrame:
         "record", "digest", "record_type", "target", F.col("page_id").cast("string").alias("page_text"), F.col("refers_to").cast("string").alias("refers_text")
     )
     rows = table.join(heads, "record").filter("record_type = 'response' or number = 0")
-    rows = rows.sortWithinPartitions("record", "number")  # the join leaves a record in one task
+    rows = rows.sortWithinPartitions("record", "copy", "number")  # the join leaves a record in one task
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = path = None
+        out = file = path = None
         records = 0
         for b in batches:
             for row in b.to_dict("records"):
                 if out is None:
                     system, base = fs.FileSystem.from_uri(folder)
                     system.create_dir(base, recursive=True)
-                    path = f"{base}/{uuid.uuid4().hex}.warc"
-                    out = system.open_output_stream(path)
+                    path = f"{base}/{uuid.uuid4().hex}.warc.zst"
+                    file = system.open_output_stream(path)
+                    out = zstandard.ZstdCompressor(level=1).stream_writer(file, closefd=False)
                 if row["number"] == 0:
                     out.write(header(row))
                     records += 1
@@ -115,9 +121,11 @@ def write(table: DataFrame, classified: DataFrame, folder: str) -> DataFrame:
                     out.write(row["data"])
                 if row["record_type"] == "revisit" or (row["number"] + 1) * CHUNK >= row["size"]:
                     out.write(b"\r\n\r\n")
+                    out.flush(zstandard.FLUSH_FRAME)  # a frame per record
         if out is not None:
-            size = out.tell()
             out.close()
+            size = file.tell()
+            file.close()
             yield pd.DataFrame({"path": [path], "records": [records], "bytes": [size]})
 
     return settle(rows.mapInPandas(run, "path string, records bigint, bytes bigint"))
@@ -130,9 +138,9 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
         system, _ = fs.FileSystem.from_uri(folder)
         for b in batches:
             for path in b["path"]:
-                with system.open_input_stream(path, buffer_size=CHUNK) as f:
+                with system.open_input_stream(path, buffer_size=CHUNK) as raw:
                     out = []
-                    for r in records_of(f):
+                    for r in records_of(zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)):
                         out.append(r)
                         if len(out) == 5000:
                             yield pd.DataFrame(out)
@@ -200,9 +208,8 @@ def archive(pages: DataFrame, folder: str | None = None, key: str = "page_id", u
     spark = pages.sparkSession
     folder = folder or f"{scratch.folder(spark)}/warc-{uuid.uuid4().hex}"
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    table = settle(chunks(pages, key, url, html))
-    sums = settle(digests(table))
-    records = table.filter("number = 0").select("record", "page_id", "size").join(sums, "record")
+    table = chunks(pages, key, url, html)
+    records = digests(table)
     return write(table, settle(classify(records)), folder), folder
 
 
