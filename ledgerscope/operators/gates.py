@@ -371,7 +371,7 @@ def all_checks(customers, loans, repayments, behaviour, latent, volumes: dict[st
 
 def score_gate(
     test: DataFrame, repayments: DataFrame, latent: DataFrame, score: str, test_from: int,
-    decile_order: list[str], coarse: Column, replicates: int = 200,
+    decile_order: list[str], replicates: int = 200,
 ) -> DataFrame:
     """Lead time, AUC, KS, lift, leakage and stability of a score, one row each."""
     clean = test.filter(F.col("dpd_current") == 0)
@@ -381,7 +381,7 @@ def score_gate(
         F.avg(half_even("lead_days", 4)).alias("lead_time")
     )
     disc = ranks.discrimination(clean, score, "label").select(F.col("auc").alias("oot_auc"), F.col("ks").alias("oot_ks"))
-    lift = ranks.deciles(clean, score, decile_order, coarse).agg(
+    lift = ranks.deciles(clean, score, decile_order).agg(
         ratio(default_share(F.col("decile") == 9), default_share(F.lit(True))).alias("lift")
     )
     audit = leakage(test, latent, score).select(F.col("corr").alias("no_leakage"))

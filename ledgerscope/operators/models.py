@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass, field
 
@@ -77,9 +78,10 @@ def fit_bins_without(
                 inside = (F.col(w) > 0) & (F.col(f"{w}_before") <= rank) & (rank < F.col(f"{w}_before") + F.col(w))
                 aggs.append(F.max(F.when(inside, F.col("value"))).alias(f"{w}_{side}{i}"))
     summary = {r["feature"]: r for r in pos.groupBy("feature").agg(*aggs).collect()}
-    few = [f for f in features if any(summary[f][f"{w}_distinct"] <= max_bins for w in kept)]
-    # a feature with few values on one side has few on all, but for values seen in one fold only
-    listed = pos.filter(F.col("feature").isin(few)).orderBy("feature", "value").limit(len(features) * (max_bins + len(kept)) * max_bins).collect()
+    # per condition, values that count there, of features with few values there: at most features * conditions * max_bins rows
+    few = {w: [f for f in features if summary[f][f"{w}_distinct"] <= max_bins] for w in kept}
+    needed = functools.reduce(lambda x, y: x | y, [F.col("feature").isin(few[w]) & (F.col(w) > 0) for w in kept])
+    listed = pos.filter(needed).orderBy("feature", "value").collect()
     out = []
     for w in kept:
         bins = {}
@@ -509,11 +511,11 @@ def poisson_row_weight(key: str, replicate: int, seed: int) -> Column:
     """Poisson(1) weight per row from a hash: the resampling of a bootstrap replicate."""
     u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(replicate), F.col(key)), F.lit(2**40)).cast("double") + 0.5) / float(2**40)
     out, cum, term = None, 0.0, math.exp(-1.0)
-    for i in range(8):
+    for i in range(16):  # beyond it lies less than one step of u
         cum += term
         term /= i + 1
         out = F.when(u < cum, i) if out is None else out.when(u < cum, i)
-    return out.otherwise(8).cast("double")
+    return out.otherwise(16).cast("double")
 
 
 def tree_stability(frame: DataFrame, replicates: int = 25, min_leaf: int = 1000, seed: int = 20260603) -> DataFrame:

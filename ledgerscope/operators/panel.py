@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerscope.sources.scratch import settle
+
 CHUNK = 1_000_000
 CHUNK_COLUMN = "panel_chunk"
 LONGEST = "longest"
@@ -94,41 +96,32 @@ def neighbour(
     return joined.select(*kept, F.coalesce(F.col("_own"), F.when(at_edge, F.col("_across"))).alias(name))
 
 
-def sequence_number(
-    df: DataFrame, key: str, order: list[str], coarse: Column, name: str, hot_rows: int | None = None
-) -> DataFrame:
-    """row_number() per key, also for keys that hold a large share of the table.
+def sequence_number(df: DataFrame, key: str, order: list[str], name: str, hot_rows: int | None = None) -> DataFrame:
+    """row_number() per key, also for keys (null included) that hold a large share of the table.
 
-    The largest key is measured first. Up to ``hot_rows`` rows a plain window does. Beyond, the keys
-    above the limit (at most rows/hot_rows of them, so their list is small) are cut by ``coarse``, a
-    value that does not decrease along ``order``; the parts are numbered on their own and shifted by
-    the sizes of the parts before them.
+    The largest key is measured first. Up to ``hot_rows`` rows a plain window does. Beyond, the rows of the keys
+    above the limit (at most rows/hot_rows of them, so their list is small) are written in ranges of (key, order); they are
+    numbered within key and range and shifted by the sizes of the key's earlier ranges. Both ways give the same numbers.
     """
     hot_rows = hot_rows or CHUNK
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     longest = counts.agg(F.max("_n").alias("m")).first()["m"] or 0
+    plain = F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long")
     if longest <= hot_rows:
-        numbered = df.withColumn(
-            name, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long")
-        )
-        return numbered.withMetadata(name, {LONGEST: longest})
-    hot = counts.filter(F.col("_n") > hot_rows).select(F.col(key).alias("_hot_key"))
-    marked = (
-        df.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-        .withColumn("_hot", F.col("_hot_key").isNotNull())
-        .withColumn("_part", F.when(F.col("_hot"), coarse.cast("long")).otherwise(F.lit(-1).cast("long")))
-        .drop("_hot_key")
-    )
-    own = marked.withColumn("_own", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)))
-    parts = marked.filter("_hot").groupBy(F.col(key).alias("_k"), F.col("_part").alias("_p")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    earlier = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("_k", "_p", F.sum("_n").over(earlier).alias("_before"))
-    joined = own.join(offsets, (own[key] == offsets["_k"]) & (own["_part"] == offsets["_p"]), "left")
-    return joined.select(
-        *df.columns, (F.coalesce(F.col("_before"), F.lit(0)) + F.col("_own")).cast("long").alias(name)
-    ).withMetadata(name, {LONGEST: longest})
+        return df.withColumn(name, plain).withMetadata(name, {LONGEST: longest})
+    hot = counts.filter(F.col("_n") > hot_rows).select(F.col(key).alias("_hot_key"), "_n", F.lit(True).alias("_hot"))
+    pieces = -(-hot.agg(F.sum("_n")).first()[0] // hot_rows) + 1
+    marked = df.join(F.broadcast(hot.drop("_n")), F.col(key).eqNullSafe(F.col("_hot_key")), "left")
+    ranged = marked.filter("_hot").select(*df.columns).repartitionByRange(pieces, key, *order)
+    spread = settle(ranged.withColumn("_part", F.spark_partition_id()))
+    own = spread.withColumn("_own", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)))
+    parts = spread.groupBy(F.col(key).alias("_k"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per key and range
+    offsets = parts.select("_k", "_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    joined = own.join(offsets, own[key].eqNullSafe(offsets["_k"]) & (own["_part"] == offsets["_p"]))
+    numbered = joined.select(*df.columns, (F.col("_before") + F.col("_own")).cast("long").alias(name))
+    rest = marked.filter("_hot is null").select(*df.columns).withColumn(name, plain)
+    return rest.unionByName(numbered).withMetadata(name, {LONGEST: longest})
 
 
 def run_length(df: DataFrame, key: str, pos: str, signals: dict[str, str], size: int | None = None) -> DataFrame:

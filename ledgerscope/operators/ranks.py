@@ -133,14 +133,13 @@ def discrimination(
     )
 
 
-def global_rank(df: DataFrame, score: str, order: list[str], coarse: Column) -> DataFrame:
+def global_rank(df: DataFrame, score: str, order: list[str]) -> DataFrame:
     """Adds rank_up and rank_down, 1..n over the whole frame by (score, order), and n_all.
 
-    Ties are ranked by ``order`` in both directions; a score shared by very many rows is cut by
-    ``coarse``, which must not decrease along ``order``.
+    Ties are ranked by ``order`` in both directions.
     """
     pos = positions(df, F.col(score))
-    tied = panel.sequence_number(df, score, order, coarse, "_tie")
+    tied = panel.sequence_number(df, score, order, "_tie")
     joined = tied.join(pos, F.col(score).cast("double") == F.col("value"))
     tie = F.col("_tie")
     return joined.select(
@@ -149,17 +148,17 @@ def global_rank(df: DataFrame, score: str, order: list[str], coarse: Column) ->
     )
 
 
-def deciles(df: DataFrame, score: str, order: list[str], coarse: Column, bins: int = 10) -> DataFrame:
+def deciles(df: DataFrame, score: str, order: list[str], bins: int = 10) -> DataFrame:
     """Adds ``decile`` 0..bins-1 by global rank, edges as for equal-width cuts of the ranks."""
-    ranked = global_rank(df, score, order, coarse)
+    ranked = global_rank(df, score, order)
     r, n = F.col("rank_up"), F.col("n_all")
     steps = (r - 1) * bins / F.when(n > 1, n - 1)
     return ranked.select(*df.columns, F.greatest(F.ceil(steps) - 1, F.lit(0)).cast("int").alias("decile"))
 
 
-def top_fraction(df: DataFrame, score: str, order: list[str], coarse: Column, share: float) -> DataFrame:
+def top_fraction(df: DataFrame, score: str, order: list[str], share: float) -> DataFrame:
     """The floor(share * n) best rows, at least one; the rows stay distributed."""
-    ranked = global_rank(df, score, order, coarse)
+    ranked = global_rank(df, score, order)
     k = F.greatest(F.floor(F.col("n_all") * share), F.lit(1))
     return ranked.filter(F.col("rank_down") <= k).select(*df.columns)
 

@@ -26,17 +26,17 @@ def by_segment(test: DataFrame, score: str, segments: list[str] = P.PRIORITY_SEG
     return ranks.discrimination(operating, score, "label", ["segment"])
 
 
-def lift_table(df: DataFrame, score: str, order: list[str], coarse: Column) -> DataFrame:
-    return ranks.deciles(df, score, order, coarse).groupBy("decile").agg(
+def lift_table(df: DataFrame, score: str, order: list[str]) -> DataFrame:
+    return ranks.deciles(df, score, order).groupBy("decile").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("pos"),
         half_even(rate(F.col("label") == 1), 6).alias("rate"),
     )
 
 
-def top_decile_lift(df: DataFrame, score: str, order: list[str], coarse: Column) -> DataFrame:
+def top_decile_lift(df: DataFrame, score: str, order: list[str]) -> DataFrame:
     top = F.col("decile") == 9
     y = F.col("label") == 1
-    return ranks.deciles(df, score, order, coarse).agg(
+    return ranks.deciles(df, score, order).agg(
         half_even(ratio(ratio(F.count_if(top & y), F.count_if(top)), rate(y)), 6).alias("lift")
     )
 
@@ -66,9 +66,9 @@ def calibration(df: DataFrame, scores: list[str]) -> DataFrame:
     ])).alias("s")).select("s.score", "n", half_even("s.p", 6).alias("mean_predicted"), half_even("a", 6).alias("actual"))
 
 
-def coincidence(df: DataFrame, score: str, order: list[str], coarse: Column, share: float = 0.01) -> DataFrame:
+def coincidence(df: DataFrame, score: str, order: list[str], share: float = 0.01) -> DataFrame:
     """Of the top flags, how many are already 30+ or 60+ days late."""
-    return ranks.top_fraction(df, score, order, coarse, share).agg(
+    return ranks.top_fraction(df, score, order, share).agg(
         F.count(F.lit(1)).alias("n_top"), half_even(rate(F.col("dpd_current") >= 30), 6).alias("share_30"),
         half_even(rate(F.col("dpd_current") >= 60), 6).alias("share_60"),
     )

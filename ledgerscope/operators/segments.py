@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -177,31 +179,19 @@ def relabel_by_risk(loans: DataFrame, seg: str, prefix: str) -> DataFrame:
 
 
 def poisson_draw(n: pd.Series, u: pd.Series) -> pd.Series:
-    """Poisson(n) quantile at u: exact up to a mean of 50, skew-corrected normal beyond."""
+    """Poisson(n) quantile at u, for any mean: probabilities from the mode outwards, summed once per distinct mean."""
     import numpy as np
 
     lam, p = n.to_numpy(float), u.to_numpy(float)
-    out = np.zeros(len(lam))
-    small = lam < 50
-    term = np.exp(-np.where(small, lam, 1.0))
-    cum, k = term.copy(), np.zeros(len(lam))
-    open_ = small & (cum < p)
-    step = 0
-    while open_.any() and step < 400:
-        step += 1
-        term = np.where(open_, term * lam / step, term)
-        cum = np.where(open_, cum + term, cum)
-        k = np.where(open_, step, k)
-        open_ &= cum < p
-    out[small] = k[small]
-    if (~small).any():
-        from statistics import NormalDist
-
-        z = np.array([NormalDist().inv_cdf(min(max(x, 1e-12), 1 - 1e-12)) for x in p[~small]])
-        big = lam[~small]
-        # Cornish-Fisher correction for the Poisson's skew
-        out[~small] = np.maximum(0, np.rint(big + np.sqrt(big) * z + (z * z - 1) / 6))
-    return pd.Series(out.astype("int64"))
+    out = np.zeros(len(lam), np.int64)
+    for mean in np.unique(lam[lam > 0]):
+        reach = 12 * math.sqrt(mean) + 30  # what lies beyond is below 1e-30
+        k = np.arange(max(0, math.floor(mean - reach)), math.ceil(mean + reach) + 1)
+        log = np.concatenate([[0.0], np.cumsum(np.log(mean / k[1:]))])
+        mass = np.exp(log - log.max())
+        at = lam == mean
+        out[at] = k[np.minimum(np.searchsorted(np.cumsum(mass) / mass.sum(), p[at]), len(k) - 1)]
+    return pd.Series(out)
 
 
 def resampled_cells(cells: DataFrame, keys: list[str], n: str, replicates: int, seed: int) -> DataFrame:

@@ -202,18 +202,17 @@ def trigger_flags(matrix: DataFrame) -> DataFrame:
     )
 
 
-def within_time_split(matrix: DataFrame, coarse: Column, share: float = P.TEST_SHARE) -> DataFrame:
+def within_time_split(matrix: DataFrame, share: float = P.TEST_SHARE) -> DataFrame:
     """Whole loans to train or test, stratified by segment and by having a positive month.
 
-    The order inside a stratum is a hash of the loan; a stratum may hold most of the book, so it is
-    numbered in parts (``coarse`` cuts the hash) rather than in one window.
+    The order inside a stratum is a hash of the loan; a stratum may hold most of the book.
     """
     loans = matrix.groupBy("loan_id").agg(F.min("segment").alias("segment"), F.max("label").alias("any_pos"))
     loans = loans.withColumn("stratum", F.concat_ws("|", "segment", "any_pos")).withColumn(
         "_h", shuffle_key("loan_id")
     )
     sizes = loans.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))
-    numbered = panel.sequence_number(loans, "stratum", ["_h", "loan_id"], coarse, "_r")
+    numbered = panel.sequence_number(loans, "stratum", ["_h", "loan_id"], "_r")
     # at most two strata per segment
     chosen = numbered.join(F.broadcast(sizes), "stratum").select(
         "loan_id", (F.col("_r") <= half_even(F.col("_n") * share, 0)).alias("_test")

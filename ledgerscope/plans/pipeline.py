@@ -16,11 +16,6 @@ from ledgerscope.sources.scratch import settle
 DECILE_ORDER = ["loan_id", "months_on_book"]
 
 
-def key_cut() -> Column:
-    """Non-decreasing along loan_id: cuts a score tied over very many loans."""
-    return F.floor(F.col("loan_id") / 100_000)
-
-
 def stand_in_score() -> Column:
     z = F.lit(0.2)
     for w, f in STAND_IN:

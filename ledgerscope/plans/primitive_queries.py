@@ -351,7 +351,7 @@ register(
     "repayments", f"SELECT loan_id, period_index, CAST(outcome = 'partial' AND count(*) FILTER (WHERE outcome = 'partial') {_P} = 1 AS INT) AS first_partial FROM repayments",
 )
 register(
-    "w12_decile_by_rank", lambda b: ranks.deciles(b.loans.select("loan_id", F.col("value_proxy").cast("double").alias("v")), "v", ["loan_id"], F.floor(F.col("loan_id") / 100_000)).select("loan_id", "decile"),
+    "w12_decile_by_rank", lambda b: ranks.deciles(b.loans.select("loan_id", F.col("value_proxy").cast("double").alias("v")), "v", ["loan_id"]).select("loan_id", "decile"),
     "loans", "SELECT loan_id, CAST(greatest(ceil((r - 1)*10/(n - 1e0)) - 1, 0) AS INT) AS decile FROM (SELECT loan_id, row_number() OVER (ORDER BY value_proxy, loan_id) AS r, count(*) OVER () AS n FROM loans)",
 )
 register(
@@ -391,7 +391,7 @@ SELECT {S.he('avg(r) FILTER (WHERE d <= 6) - avg(r) FILTER (WHERE u <= 6)', 6)}
 # ---------------------------------------------------------------- orderings and sets
 register("o01_o05_sorted_head", lambda b: b.spine.orderBy("loan_id", "months_on_book").limit(500), "spine", "SELECT * FROM spine ORDER BY loan_id, months_on_book LIMIT 500")
 register(
-    "o04_top_fraction", lambda b: ranks.top_fraction(b.loans.select("loan_id", F.col("value_proxy").cast("double").alias("v")), "v", ["loan_id"], F.floor(F.col("loan_id") / 100_000), 0.01),
+    "o04_top_fraction", lambda b: ranks.top_fraction(b.loans.select("loan_id", F.col("value_proxy").cast("double").alias("v")), "v", ["loan_id"], 0.01),
     "loans", "SELECT loan_id, v FROM (SELECT loan_id, CAST(value_proxy AS DOUBLE) AS v, row_number() OVER (ORDER BY value_proxy DESC, loan_id) AS r, count(*) OVER () AS n FROM loans) WHERE r <= greatest(n//100, 1)",
 )
 register(

@@ -8,7 +8,7 @@ from ledgerscope import params as P
 from ledgerscope.operators import gates, ranks, scoring, warning
 from ledgerscope.plans import sql as S
 from ledgerscope.plans import sql_frames  # noqa: F401
-from ledgerscope.plans.pipeline import DECILE_ORDER, key_cut
+from ledgerscope.plans.pipeline import DECILE_ORDER
 from ledgerscope.plans.registry import register
 from ledgerscope.sources import views as V
 
@@ -66,7 +66,7 @@ SELECT m.*, CASE WHEN r <= round_even(0.25e0*n, 0) THEN 'test' ELSE 'train' END
 
 
 def split_rows(b):
-    return warning.within_time_split(b.scored, F.floor(warning.shuffle_key("loan_id") / 1000))
+    return warning.within_time_split(b.scored)
 
 
 register(
@@ -240,11 +240,11 @@ S.view("clean_deciles", "test_rows", """
 SELECT *, CAST(greatest(ceil((r - 1)*10/(n - 1e0)) - 1, 0) AS INT) AS decile FROM (
   SELECT *, row_number() OVER (ORDER BY score, loan_id, months_on_book) AS r, count(*) OVER () AS n FROM test_rows WHERE dpd_current = 0)""")
 register(
-    "m16_decile_table", lambda b: scoring.lift_table(b.test_rows.filter(F.col("dpd_current") == 0), "score", DECILE_ORDER, key_cut()), "clean_deciles",
+    "m16_decile_table", lambda b: scoring.lift_table(b.test_rows.filter(F.col("dpd_current") == 0), "score", DECILE_ORDER), "clean_deciles",
     f"SELECT decile, count(*) AS n, CAST(sum(label) AS BIGINT) AS pos, {S.he(S.rate('label = 1'), 6)} AS rate FROM clean_deciles GROUP BY 1",
 )
 register(
-    "m16_top_decile_lift", lambda b: scoring.top_decile_lift(b.test_rows.filter(F.col("dpd_current") == 0), "score", DECILE_ORDER, key_cut()), "clean_deciles",
+    "m16_top_decile_lift", lambda b: scoring.top_decile_lift(b.test_rows.filter(F.col("dpd_current") == 0), "score", DECILE_ORDER), "clean_deciles",
     f"SELECT {S.he(S.ratio(S.ratio(S.n_if('decile = 9 AND label = 1'), S.n_if('decile = 9')), S.rate('label = 1')), 6)} AS lift FROM clean_deciles",
 )
 _op = "(SELECT * FROM test_rows WHERE dpd_current < 30)"
@@ -270,7 +270,7 @@ register(
     f"SELECT 'score' AS score, count(*) AS n, {S.he(S.mean('test_rows.score', 6), 6)} AS mean_predicted, {S.he(S.rate('label = 1'), 6)} AS actual FROM test_rows",
 )
 register(
-    "m21_top_coincidence", lambda b: scoring.coincidence(b.test_rows, "score", DECILE_ORDER, key_cut()), "test_rows",
+    "m21_top_coincidence", lambda b: scoring.coincidence(b.test_rows, "score", DECILE_ORDER), "test_rows",
     f"""SELECT count(*) AS n_top, {S.he(S.rate('dpd_current >= 30'), 6)} AS share_30, {S.he(S.rate('dpd_current >= 60'), 6)} AS share_60 FROM (
   SELECT *, row_number() OVER (ORDER BY score DESC, loan_id, months_on_book) AS r, count(*) OVER () AS n FROM test_rows) WHERE r <= greatest(n//100, 1)""",
 )
@@ -280,4 +280,4 @@ register(
   SELECT {S.he('corr(score, true_latent_risk)', 6)} AS corr FROM test_rows LEFT JOIN latent_risk USING (customer_id))""",
 )
 register("q10_score_gate", lambda b: gates.score_gate(
-    b.test_rows, b.repayments, b.latent_risk, "score", V.TEST_FROM, DECILE_ORDER, key_cut(), 200))
+    b.test_rows, b.repayments, b.latent_risk, "score", V.TEST_FROM, DECILE_ORDER, 200))

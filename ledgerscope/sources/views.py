@@ -98,7 +98,7 @@ class Book:
             value_map("o_orderstatus", STATUS_OF_ORDER).alias("loan_status"),
         )
         numbered = panel.sequence_number(
-            o, "customer_id", ["origination_date", "loan_id"], F.unix_date("origination_date"), "loan_sequence"
+            o, "customer_id", ["origination_date", "loan_id"], "loan_sequence"
         )
         # grade and acquisition cost in one join, straight from the customer table
         terms = self.table("customer").select(
@@ -119,7 +119,7 @@ class Book:
         )
         numbered = panel.sequence_number(
             li, "loan_id", ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"],
-            F.unix_date(F.to_date("l_shipdate")) * 8 + F.col("l_linenumber"), "period_index",
+            "period_index",
         )
         due = F.col("outstanding_balance").cast("double") * (1 - F.col("l_discount"))
         paid = F.when(F.col("outcome") == "full", due).when(F.col("outcome") == "partial", due / 2)

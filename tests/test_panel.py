@@ -85,7 +85,7 @@ def test_sequence_number_with_a_dominant_key(spark, hot_rows):
     rng = random.Random(7)
     rows = [(0 if i % 3 else i % 11, rng.randrange(6), i) for i in range(400)]
     df = spark.createDataFrame(rows, "k int, day int, id int")
-    out = panel.sequence_number(df, "k", ["day", "id"], F.col("day"), "n", hot_rows)
+    out = panel.sequence_number(df, "k", ["day", "id"], "n", hot_rows)
     got = {(r["k"], r["day"], r["id"]): r["n"] for r in out.collect()}
     for k in {r[0] for r in rows}:
         for i, r in enumerate(sorted(r for r in rows if r[0] == k), start=1):
@@ -93,7 +93,16 @@ def test_sequence_number_with_a_dominant_key(spark, hot_rows):
     assert out.schema["n"].metadata[panel.LONGEST] == max(sum(r[0] == k for r in rows) for k in {r[0] for r in rows})
 
 
+def test_hot_numbering_equals_the_plain_window(spark):
+    """Times of day, large line numbers, null keys, and one day that holds everything."""
+    rng = random.Random(3)
+    rows = [(None if i % 4 == 0 else 1 if i % 4 < 3 else i, f"2020-01-0{1 + (i % 3 == 0)} {rng.randrange(24):02d}:{rng.randrange(60):02d}:00", rng.randrange(400), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k int, at string, line int, id int").withColumn("at", F.to_timestamp("at"))
+    plain, hot = ({tuple(r) for r in panel.sequence_number(df, "k", ["at", "line", "id"], "n", n).collect()} for n in (1000, 20))
+    assert plain == hot and len(hot) == 600
+
+
 def test_measured_short_panels_use_one_window_without_carry(spark, df):
-    short = panel.sequence_number(df.drop("pos"), "k", ["d", "flag"], F.col("d"), "pos")
+    short = panel.sequence_number(df.drop("pos"), "k", ["d", "flag"], "pos")
     plan = panel.running(short, "k", "pos", {"s": ("sum", F.col("d"))})._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan

@@ -61,22 +61,22 @@ def test_deciles_equal_qcut_of_ranks(spark, n):
     rng = random.Random(n)
     d = pd.DataFrame({"id": range(n), "s": [round(rng.random(), 1) for _ in range(n)]})
     d["want"] = pd.qcut(d.s.rank(method="first"), 10, labels=False)
-    out = ranks.deciles(spark.createDataFrame(d), "s", ["id"], F.floor(F.col("id") / 5)).toPandas()
+    out = ranks.deciles(spark.createDataFrame(d), "s", ["id"]).toPandas()
     assert (out.decile == out.want).all()
 
 
 def test_deciles_with_a_hot_tie(spark, data, monkeypatch):
     from ledgerscope.operators import panel
 
-    want = {r["id"]: r["decile"] for r in ranks.deciles(spark.createDataFrame(data), "s", ["id"], F.floor(F.col("id") / 10)).collect()}
+    want = {r["id"]: r["decile"] for r in ranks.deciles(spark.createDataFrame(data), "s", ["id"]).collect()}
     monkeypatch.setattr(panel, "CHUNK", 20)
-    got = {r["id"]: r["decile"] for r in ranks.deciles(spark.createDataFrame(data), "s", ["id"], F.floor(F.col("id") / 10)).collect()}
+    got = {r["id"]: r["decile"] for r in ranks.deciles(spark.createDataFrame(data), "s", ["id"]).collect()}
     assert got == want
 
 
 def test_top_fraction_keeps_exactly_k_rows_and_breaks_ties_by_key(spark):
     d = pd.DataFrame({"id": range(50), "s": [0.9] * 10 + [0.1] * 40})
-    got = sorted(r["id"] for r in ranks.top_fraction(spark.createDataFrame(d), "s", ["id"], F.col("id"), 0.1).collect())
+    got = sorted(r["id"] for r in ranks.top_fraction(spark.createDataFrame(d), "s", ["id"], 0.1).collect())
     assert got == [0, 1, 2, 3, 4]
 
 
