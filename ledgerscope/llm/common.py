@@ -16,7 +16,7 @@ words_of = re.compile(WORD).findall
 
 
 #: Rows that go to a Python worker at once: texts can be long, and a worker holds a few copies of its batch.
-ARROW_ROWS = 1000
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
+    """At most ARROW_ROWS rows (fewer where the session says so) and about ARROW_BYTES bytes in a batch."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
         spark.conf.set(name, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def settle(df: DataFrame) -> DataFrame:
