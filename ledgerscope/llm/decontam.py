@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import settle
+from ledgerscope.llm.common import released, settle
 
 WINDOW, SEGMENT_WORDS, BLOCK_WORDS = 13, 400_000, 2_000_000
 #: Distance between texts of a segment and overlap of the parts of a long text; no phrase may be longer.
@@ -60,6 +60,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         "lengths array<bigint>, terms array<string>, counts array<int>, postings binary"
     )
 
+    @released
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name = uuid.uuid4().hex
         ids, keys, offsets, starts, lengths, words, at = [], [], [], [], [], [], 0
@@ -198,6 +199,7 @@ def occurrences(index: DataFrame, items: DataFrame, key: str = "item_id", text:
     for block in blocks_of(items, key, text):
         shared = spark.sparkContext.broadcast(windows_of(block, size))
 
+        @released
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             terms, windows, owners = shared.value
             for b in batches:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import row_key, settle, small_or_shuffled, words_of
+from ledgerscope.llm.common import released, row_key, settle, small_or_shuffled, words_of
 from ledgerscope.llm.graph import components
 
 N, THRESHOLD, RECALL, MOST_HASHES, SEED = 5, 0.8, 1 - 1e-6, 256, 23
@@ -117,6 +117,7 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, threshold: float) ->
 def nodes_of(rows: DataFrame, signer: Signer) -> DataFrame:
     """One row per distinct text: node, text_hash, speaker (a row's key), least (smallest id), n_copies, n_words, bands."""
 
+    @released
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, None] = {}
         for b in batches:
@@ -157,6 +158,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     dealt = settle(group.join(deal, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).drop("n_grams"))
     speakers = small_or_shuffled(dealt.withColumnRenamed("speaker", "_key"))
 
+    @released
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["grams"] = [ngrams(t).tobytes() for t in b.pop("_text")]
@@ -169,6 +171,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
         "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "grams"
     )
 
+    @released
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, {}
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import words_of
+from ledgerscope.llm.common import released, words_of
 
 WINDOW, STRIDE = 48, 36
 WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 15
@@ -317,6 +317,7 @@ def sample_windows(docs: DataFrame, labels: DataFrame, learn: Column, key: str =
         one.filter("_label = 0").orderBy("_turn").limit(SAMPLE_CLEAN)
     )
 
+    @released
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
@@ -341,6 +342,7 @@ def sample_windows(docs: DataFrame, labels: DataFrame, learn: Column, key: str =
 def fit_in_task(sample: DataFrame) -> Network | float:
     """fit, in one task: the sample has a bound, and the driver keeps its memory. Only the parameters come back."""
 
+    @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
         rows = pd.concat(parts).sort_values(["turn", "window"], ignore_index=True) if parts else pd.DataFrame({"label": []})
@@ -381,6 +383,7 @@ def score_texts(docs: DataFrame, model: Network | float, text: str = "text") ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
+    @released
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value) if isinstance(shared.value, Network) else None
         for b in batches:
