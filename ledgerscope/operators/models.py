@@ -309,9 +309,17 @@ NOT_A_FEATURE = {
     "ever_90plus", "months_on_book", "nii", "fee", "loss", "servicing", "cac_charged", "margin_before_cac",
 }
 
+#: Categories of one column at most: each becomes a column of the matrix.
+MOST_CATEGORIES = 1000
+
 
 def categories(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """Distinct values of low-cardinality columns, found in one pass."""
+    """Distinct values of low-cardinality columns; a column of more than about MOST_CATEGORIES values is refused before any are collected."""
+    if not columns:
+        return {}
+    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
+    if wide := sorted(c for c, n in counts.items() if n > MOST_CATEGORIES):
+        raise ValueError(f"more than {MOST_CATEGORIES} categories in {wide}")
     pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
     rows = df.select(F.explode(pairs).alias("s")).select("s.*").distinct().collect()
     return {c: sorted(r["v"] for r in rows if r["c"] == c and r["v"] is not None) for c in columns}
@@ -440,8 +448,15 @@ def nearest(df: DataFrame, prototypes: list[dict], gamma: float, name: str = "cl
 
 def fit_prototypes(
     features: DataFrame, k: int, max_iter: int = 10, seed: int = 20260603, weight: Column | None = None,
-    gamma: float = 0.5, values: dict[str, list[str]] | None = None,
+    gamma: float = 0.5, values: dict[str, list[str]] | None = None, starts: int = 2,
 ):
+    """The cheapest of several mixed-type k-prototypes fits, which differ in the customers they start from."""
+    values = values or categories(features, [c for c in features.columns if c.startswith("c_")])
+    fits = [_fit_from(features, k, max_iter, seed + i, weight, gamma, values) for i in range(starts)]
+    return min(fits, key=lambda f: f[1])
+
+
+def _fit_from(features: DataFrame, k: int, max_iter: int, seed: int, weight: Column | None, gamma: float, values: dict[str, list[str]]):
     """Mixed-type k-prototypes: each round assigns by column expressions and folds means and category counts.
 
     The prototypes (k rows) travel as literals, and one hash aggregate per round returns k rows to the
@@ -450,7 +465,6 @@ def fit_prototypes(
     """
     nums = [c for c in features.columns if c.startswith("z_")]
     cats = [c for c in features.columns if c.startswith("c_")]
-    values = values or categories(features, cats)
     w = F.lit(1.0) if weight is None else weight
     start = features.orderBy(F.xxhash64(F.lit(seed), F.col("customer_id")), "customer_id").limit(k).collect()
     prototypes = [{"num": {c: r[c] for c in nums}, "cat": {c: r[c] for c in cats}} for r in start]

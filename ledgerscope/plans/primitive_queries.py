@@ -89,6 +89,34 @@ register(
   {S.n_if('NOT must')} AS should_total, CASE WHEN bool_and(passed OR NOT must) THEN 'PASS' ELSE 'FAIL' END AS verdict FROM ({gate_queries.rows_sql(gate_queries.VALUE)})""",
 )
 
+
+def _quarantine(b):
+    """Delivered and quarantined columns, written apart, read back and joined for the comparison."""
+    people = b.customers.join(b.latent_risk, "customer_id")
+    kept, hidden = tables.trim(people, ["customer_id", "region_type", "cac"])
+    path = _folder(b, "quarantine")
+    tables.write_parquet(kept, f"{path}/delivered")
+    tables.write_parquet(hidden, f"{path}/hidden")
+    both = b.spark.read.parquet(f"{path}/delivered").join(b.spark.read.parquet(f"{path}/hidden"), "customer_id")
+    return both.withColumn("true_latent_risk", half_even("true_latent_risk", 6))
+
+
+register("s08_quarantine_written", _quarantine, "customers latent_risk",
+         f"SELECT customer_id, region_type, cac, {S.he('true_latent_risk', 6)} AS true_latent_risk FROM customers JOIN latent_risk USING (customer_id)")
+
+
+def _manifest_file(b):
+    counted = {"customers": b.customers, "loans": b.originations}
+    one_row = tables.run_manifest(counted, parameters={"seasoned_mob": P.SEASONED_MOB, "default_dpd": P.DEFAULT_DPD})
+    path = _folder(b, "manifest_json")
+    tables.write_json(one_row, path)
+    return b.spark.read.schema(one_row.schema).json(path)
+
+
+register("s09_manifest_json", _manifest_file, "customers loans",
+         f"""SELECT (SELECT count(*) FROM customers) AS n_customers, (SELECT count(*) FROM loans) AS n_loans,
+  CAST({P.SEASONED_MOB} AS INT) AS seasoned_mob, CAST({P.DEFAULT_DPD} AS INT) AS default_dpd""")
+
 # ---------------------------------------------------------------- projections and predicates
 register(
     "p01_p02_p03_projection",

@@ -192,14 +192,19 @@ def top_cut(b, share):
     return ranks.quantile_values(b.test_rows.filter(F.col("dpd_current") < P.ESCALATION_DPD), F.col("score"), [1 - share])[0]
 
 
-_leads = lead_sql("(SELECT quantile_cont(score, 0.9e0) FROM test_rows WHERE dpd_current < 30)")
-register(
-    "ew19_lead_time",
-    lambda b: warning.lead_summary(warning.lead_times(b.test_rows, b.repayments, "score", F.lit(top_cut(b, 0.1)), V.TEST_FROM)),
-    "test_rows loan_events",
-    f"""SELECT count(*) AS n_defaulters, count(first_flag) AS flagged_early, {S.he(S.ratio('count(first_flag)', 'count(*)'), 6)} AS early_detection_rate,
-  {S.he('avg(lead_days)', 4)} AS mean_lead_days, {S.he('quantile_cont(lead_days, 0.5)', 4)} AS median_lead_days FROM {_leads}""",
-)
+def _lead_query(name, share):
+    leads = lead_sql(f"(SELECT quantile_cont(score, {1 - share}e0) FROM test_rows WHERE dpd_current < 30)")
+    register(
+        name, lambda b: warning.lead_summary(warning.lead_times(b.test_rows, b.repayments, "score", F.lit(top_cut(b, share)), V.TEST_FROM)),
+        "test_rows loan_events",
+        f"""SELECT count(*) AS n_defaulters, count(first_flag) AS flagged_early, {S.he(S.ratio('count(first_flag)', 'count(*)'), 6)} AS early_detection_rate,
+  {S.he('avg(lead_days)', 4)} AS mean_lead_days, {S.he('quantile_cont(lead_days, 0.5)', 4)} AS median_lead_days FROM {leads}""",
+    )
+
+
+_lead_query("ew19_lead_time", 0.1)
+_lead_query("ew19_lead_time_top_05", 0.05)
+_lead_query("ew19_lead_time_top_20", 0.2)
 S.view("risk20", "repayments loans behaviour", f"""
 SELECT loan_id, max(default_flag) AS default_flag, {S.he('1e0 - CAST(min(cashflow_consistency) AS DOUBLE) + CAST(max(balance_volatility) AS DOUBLE)', 6)} AS score
 FROM repayments JOIN loans USING (loan_id) JOIN behaviour b ON b.customer_id = loans.customer_id AND b.month = repayments.obs_month GROUP BY 1""")

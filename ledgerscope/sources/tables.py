@@ -75,6 +75,10 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def sample_rows(df: DataFrame, keys: list[str], n: int = 200) -> DataFrame:
     """First n rows in key order; Spark keeps only n rows per task."""
     return df.orderBy(*keys).limit(n)
@@ -86,15 +90,15 @@ def trim(df: DataFrame, columns: list[str], hidden: list[str] | None = None) ->
     return df.select(*columns), df.select(columns[0], *hidden)
 
 
-def run_manifest(tables: dict[str, DataFrame], verdict: DataFrame | None = None) -> DataFrame:
-    """Row counts per table (and the gate verdict) as one row of data."""
+def run_manifest(tables: dict[str, DataFrame], verdict: DataFrame | None = None, parameters: dict | None = None) -> DataFrame:
+    """Row counts per table, the parameters of the run and the gate verdict as one row of data."""
     counts = None
     for name, df in tables.items():
         one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("t"), "n")
         counts = one if counts is None else counts.unionByName(one)
     wide = counts.agg(
         *[F.max(F.when(F.col("t") == name, F.col("n"))).alias(f"n_{name}") for name in tables]
-    )
+    ).select("*", *[F.lit(v).alias(k) for k, v in (parameters or {}).items()])
     if verdict is None:
         return wide
     # both sides are a single row

@@ -71,11 +71,19 @@ def test_prototypes_separate_two_clear_groups(spark):
     df = spark.createDataFrame(rows, "customer_id int, z_a double, c_b string")
     prototypes, cost = M.fit_prototypes(df, 2, 10)
     out = M.cluster_ids(df, prototypes).withColumn("truth", F.col("customer_id") % 2)
-    assert adjusted_rand_index(out, "truth", "cluster_id").first()["ari"] in (0.0, 1.0)
+    assert adjusted_rand_index(out, "truth", "cluster_id").first()["ari"] == 1.0
     sizes = sorted(r["count"] for r in out.groupBy("cluster_id").count().collect())
     assert sum(sizes) == 60 and cost >= 0
 
 
+def test_columns_of_many_categories_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(M, "MOST_CATEGORIES", 5)
+    df = spark.range(50).select((F.col("id") % 3).alias("few"), F.col("id").alias("many"))
+    assert M.categories(df, ["few"]) == {"few": ["0", "1", "2"]}
+    with pytest.raises(ValueError, match="many"):
+        M.categories(df, ["few", "many"])
+
+
 def test_outcome_columns_are_refused(spark, monkeypatch):
     monkeypatch.setattr(M, "TREE_NUMERIC", ["value_proxy"])
     df = spark.createDataFrame([(1.0, "A", "A")], "value_proxy double, origination_risk_grade string, credit_quality_indicator string")
