@@ -110,6 +110,58 @@ def test_chunks_cover_all_lines_and_resist_shifts():
     assert sum(tuple(lines[lo:hi]) in later for lo, hi, _ in chunks) >= len(chunks) - 4
 
 
+@pytest.mark.parametrize("n_lines, n_words", [(2, 26), (3, 20), (4, 15), (6, 10), (12, 5), (20, 3)])
+def test_line_dedup_removes_whole_passages_of_short_lines(documents, n_lines, n_words):
+    rng = np.random.default_rng(n_lines)
+    rows, want = [], {}
+    for i in range(30):
+        passage = [f"p{i}x{j} {prose(n_words - 1, rng)}" for j in range(n_lines)]
+        for d in (2 * i, 2 * i + 1):
+            around = [[f"a{d}x{k}x{j} {prose(int(rng.integers(0, 9)), rng)}" for j in range(int(rng.integers(0, 7)))] for k in (0, 1)]
+            rows.append((d, "\n".join([*around[0], *passage, *around[1]])))
+            want[d] = (rows[-1][1], 0) if d % 2 == 0 else ("\n".join(around[0] + around[1]), n_lines)
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(documents(*rows)).collect()}
+    assert got == want
+
+
+def covered(rows, least=line_dedup.LONG_WORDS):
+    """Lines of each text that lie in a run of lines, of least words, that an earlier text or place has."""
+    seen, out = set(), {}
+    for d, t in rows:
+        lines, gone = t.split("\n"), set()
+        for hi in range(1, len(lines) + 1):
+            for lo in range(hi):
+                run = tuple(lines[lo:hi])
+                if len(words_of(" ".join(run))) >= least:
+                    if run in seen:
+                        gone |= set(range(lo, hi))
+        for hi in range(1, len(lines) + 1):
+            seen |= {tuple(lines[lo:hi]) for lo in range(hi)}
+        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
+    return out
+
+
+def test_line_dedup_against_brute_force(documents):
+    rng = np.random.default_rng(5)
+    pool = [[prose(int(rng.integers(1, 40)), rng) for _ in range(int(rng.integers(1, 9)))] for _ in range(12)]
+    rows = []
+    for d in range(60):
+        lines = []
+        for p in rng.choice(len(pool), 3, replace=False):
+            cut = int(rng.integers(0, len(pool[p])))
+            lines += [f"own{d}x{p} {prose(int(rng.integers(0, 60)), rng)}", *pool[p][cut:]]
+        rows.append((d, "\n".join(lines)))
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(documents(*rows)).collect()}
+    assert got == covered(rows) and sum(n > 0 for _, n in got.values()) > 20
+
+
+def test_line_dedup_keeps_the_first_place_of_a_run_that_overlaps_itself(documents):
+    line = prose(10)
+    rows = [(1, "\n".join([line] * 40)), (2, f"x\n{line}\n{line}"), (3, f"y\n\n{chr(10).join([line, ''] * 5)}z")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(documents(*rows)).collect()}
+    assert got == {1: ("\n".join([line] * 5), 35), 2: (rows[1][1], 0), 3: (rows[2][1], 0)}
+
+
 def brute_contamination(docs, items):
     out = {}
     windows = [(i, tuple(w[k:k + 13])) for i, t in items for w in [decontam.terms_of(t)] for k in range(max(1, len(w) - 12) if w else 0)]
