@@ -80,9 +80,9 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
-def links_within(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each set and its smallest linked position, over pairs of one side (all 0) or across sides 0 and 1."""
-    m, across = len(sets), bool(side.any())
+def links_within(sets: list[np.ndarray], side: np.ndarray, threshold: float, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each set and its smallest linked position, over pairs of one side (all 0) or across sides 0 and 1, of which one can be empty."""
+    m = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, m)
     _, gram = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(m), sizes)
@@ -178,7 +178,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
         def done() -> pd.DataFrame:
             nodes = np.array(sorted(held), np.int64)
             side = np.array([int(held[n][0] != at[1]) for n in nodes])
-            links, root = links_within([held[n][1] for n in nodes], side, threshold)
+            links, root = links_within([held[n][1] for n in nodes], side, threshold, at[1] != at[2])
             some = links > 0
             return pd.DataFrame({"node": nodes[some], "links": links[some], "linked": nodes[root[some]]})
 

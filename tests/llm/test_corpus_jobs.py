@@ -72,6 +72,17 @@ def test_jaccard_against_brute_force(documents, monkeypatch):
     assert got == want and max(v[1] for v in got.values()) > 8
 
 
+def test_jaccard_counts_links_once_beside_empty_blocks(documents, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_WORDS", 150)  # three blocks for two texts: at least one is empty
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(20):
+        base = prose(200, rng)
+        rows += [(2 * i, base), (2 * i + 1, edited(base, 1, rng))]
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in jaccard.jaccard_join(documents(*rows)).collect()}
+    assert got == brute_links(rows) and {v[1] for v in got.values()} == {1}
+
+
 def test_jaccard_odd_rows(odd):
     got = jaccard.jaccard_join(odd.withColumn("class_id", F.lit("clash"))).collect()
     assert len(got) == 9
