@@ -6,8 +6,9 @@ embedding of its hash joined with the mean embedding of its hashed character 3-
 stem are recognised.
 
 Labels belong to whole texts, so training alternates: windows of clean texts are negative, of each toxic text the window
-the network finds most suspicious is positive (all of them in the first round), against clean windows drawn at random and those
-the network mistakes. Toxic texts of over SAMPLE_WINDOWS windows do not train: their sampled windows may all be clean.
+the network finds most suspicious is positive (in the first round all those of texts of up to SAMPLE_WINDOWS or, without such texts, so many of each), against clean windows drawn at random
+and those the network mistakes. Toxic texts train on all their windows, as a sample of them may be clean; where those of the drawn texts come
+to over SAMPLE_TOXIC_WINDOWS, the texts of fewest windows train (of the shortest, where even that one is too long, so many windows drawn by hash).
 
 Defined results: a null or empty text, or one of white space only, scores 0. Repeated rows score alike. Null labels and
 labels without a text teach nothing; with no usable label of one kind every text scores the share of toxic labels (0
@@ -25,13 +26,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import released, words_of
+from ledgerscope.llm.common import WORD, released, settle, word_count, words_of
 
 WINDOW, STRIDE = 48, 36
 WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 15
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 8, 16, 8, 8
-#: Bounds of the labelled sample the classifier is fitted on: texts of each label, and windows of one text, by hash.
+#: Bounds of the labelled sample the classifier is fitted on: texts of each label, and windows of one clean text, by hash.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WINDOWS = 1500, 3000, 8
+#: Bound of the windows of all toxic texts together: as many as clean texts can have.
+SAMPLE_TOXIC_WINDOWS = SAMPLE_CLEAN * SAMPLE_WINDOWS
 EPOCHS, BATCH, RATE, SEED = 5, 128, 0.01, 11
 #: Embeddings learn SPEED times as fast; of DROP of the words of a batch only the characters are seen.
 SPEED, DROP = 1, 0.6
@@ -174,7 +177,10 @@ class Network:
         share = max(CLEAN_SHARE, min(1.0, 3000 / max(1, (label == 0).sum())))
         epoch = 0
         while epoch < EPOCHS or step < LEAST_STEPS:
-            use = np.flatnonzero((label == 0) & (rng.random(len(label)) < share) | (label == 1))
+            drawn = pd.Series(rng.random(len(label))).groupby(text).rank().to_numpy() <= SAMPLE_WINDOWS
+            short = np.bincount(text)[text] <= SAMPLE_WINDOWS
+            drawn = short if (short & (label == 1)).any() else drawn
+            use = np.flatnonzero((label == 0) & (rng.random(len(label)) < share) | (label == 1) & drawn)
             if epoch:
                 score = self.scores(coded, windows)
                 best = pd.Series(score).groupby(text).transform("max").to_numpy()
@@ -306,6 +312,17 @@ class Scorer:
         return best
 
 
+def toxic_room(sizes: dict[tuple[str, int], int], most: int) -> dict[tuple[str, int], int]:
+    """How many windows each toxic text trains on: all, fewest windows first, up to most in total; of one text at least some."""
+    room, left = {}, most
+    for k in sorted(sizes, key=lambda k: (sizes[k], k)):
+        if sizes[k] > left:
+            return room or {k: most}
+        room[k] = sizes[k]
+        left -= sizes[k]
+    return room
+
+
 def sample_windows(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(turn, label, window): windows of the labelled sample. Bounded by the SAMPLE_ parameters whatever the input."""
     one = (
@@ -313,6 +330,9 @@ def sample_windows(docs: DataFrame, labels: DataFrame, learn: Column, key: str =
         .groupBy(key).agg(F.max("toxic").cast("int").alias("_label"))
         .withColumn("_turn", F.md5(F.col(key).cast("string")))
     )
+    # labels whose text has no word would use up the quota
+    usable = docs.filter(F.col(text).rlike(WORD)).select(key)
+    one = settle(one.join(usable, key, "left_semi"))
     ids = one.filter("_label = 1").orderBy("_turn").limit(SAMPLE_TOXIC).unionByName(
         one.filter("_label = 0").orderBy("_turn").limit(SAMPLE_CLEAN)
     )
@@ -321,21 +341,23 @@ def sample_windows(docs: DataFrame, labels: DataFrame, learn: Column, key: str =
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for turn, label, t in zip(b["_turn"], b["_label"], b["_text"], strict=True):
+            for turn, label, h, t in zip(b["_turn"], b["_label"], b["_hash"], b["_text"], strict=True):
                 words = words_of((t or "").lower())
                 starts = window_starts(len(words))
                 rng = np.random.default_rng(int(turn[:12], 16))
-                if len(starts) > SAMPLE_WINDOWS:
-                    if label:  # its sampled windows may all be clean
-                        continue
-                    starts = sorted(rng.choice(starts, SAMPLE_WINDOWS, replace=False).tolist())
+                most = room.get((turn, h), 0) if label else SAMPLE_WINDOWS
+                if len(starts) > most:
+                    starts = sorted(rng.choice(starts, most, replace=False).tolist())
                 out += [(turn, label, " ".join(words[s : s + WINDOW])) for s in starts]
             yield pd.DataFrame(out, columns=["turn", "label", "window"])
 
     # ids: at most SAMPLE_TOXIC + SAMPLE_CLEAN rows
     texts = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(ids), key)
     limit = (SAMPLE_TOXIC + SAMPLE_CLEAN) * 2
-    texts = texts.orderBy("_turn", F.xxhash64("_text")).limit(limit).select("_turn", "_label", "_text")
+    texts = texts.withColumn("_hash", F.xxhash64("_text")).orderBy("_turn", "_hash").limit(limit).select("_turn", "_label", "_hash", "_text")
+    texts = settle(texts.dropDuplicates(["_turn", "_hash"]))
+    long = texts.filter("_label = 1").select("_turn", "_hash", word_count("_text").alias("n")).collect()  # at most limit rows
+    room = toxic_room({(r["_turn"], r["_hash"]): len(window_starts(r["n"])) for r in long}, SAMPLE_TOXIC_WINDOWS)
     return texts.mapInPandas(cut, "turn string, label int, window string")
 
 

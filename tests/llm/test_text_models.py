@@ -77,6 +77,30 @@ def test_toxicity_odd_rows(spark, odd):
     assert toxicity.toxicity(odd.limit(0), labels, F.lit(True)).count() == 0
 
 
+def test_long_toxic_texts_train(spark, documents, monkeypatch):
+    rng = np.random.default_rng(8)
+    clean = [a + b for a in "ba do mi lu".split() for b in "ner tal sof rin".split()]
+    rows = []
+    for i in range(60):
+        words = rng.choice(clean, 600).tolist()
+        if i % 2:
+            words[int(rng.integers(600))] = "grumk" + str(rng.choice(clean))
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, i % 2 if i < 100 else 1) for i, _ in rows] + [(200 + i, 1, 1) for i in range(60)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 30)  # labels without words or without a text use up none of it
+    sample = toxicity.sample_windows(documents(*rows), labels, F.lit(True)).toPandas()
+    toxic = sample[sample["label"] == 1].groupby("turn")["window"]
+    assert len(toxic) == 30 and set(toxic.size()) == {len(toxicity.window_starts(600))}
+    assert toxic.apply(lambda w: w.str.contains("grumk").any()).all()
+    for most, texts in ((50, 2), (10, 1)):
+        monkeypatch.setattr(toxicity, "SAMPLE_TOXIC_WINDOWS", most)
+        sample = toxicity.sample_windows(documents(*rows), labels, F.lit(True)).toPandas()
+        sizes = sample[sample["label"] == 1].groupby("turn").size()
+        assert len(sizes) == texts and sizes.sum() <= most
+    assert toxicity.toxic_room({("a", 1): 9, ("b", 1): 3, ("c", 2): 5}, 8) == {("b", 1): 3, ("c", 2): 5}
+
+
 def test_language_mixture(spark, documents, odd):
     en, fr = "the house and the garden with that thing", "la maison et le jardin avec cette chose"
     rows = [(i, (en if i % 2 else fr) + f" {i}", "en" if i % 2 else "fr") for i in range(40)]
