@@ -75,6 +75,31 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.size(F.filter(parts, lambda w: w != "")), F.lit(0)).cast("long")
 
 
+def is_small(df: DataFrame, rows: int = 200_000, size: int = 32 << 20) -> bool:
+    """Whether a written table has at most so many rows and about so many bytes."""
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()
+    return found["n"] <= rows and (found["b"] or 0) <= size
+
+
 def small_or_shuffled(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """A written table, marked for broadcast while it has few rows; beyond that the join shuffles. The result is the same."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """A written table, marked for broadcast while it is small; beyond that the join shuffles. The result is the same."""
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", most: int = 1000) -> DataFrame:
+    """left joined with right, which has a row per key at most, however many rows of left share a key.
+
+    A small right side is broadcast. Otherwise keys with more than `most` rows of left, and more than a ten-thousandth of all, are at most 10,000: their rows of right are broadcast. The others shuffle.
+    """
+    if is_small(right):
+        return left.join(F.broadcast(right), key, how)
+    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = settle(counts.filter(F.col("_n") > most))
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    limit = max(most, left.count() // 10_000)
+    hot = F.broadcast(hot.filter(F.col("_n") > limit).select(key, F.lit(True).alias("_hot")))
+    marked = left.join(hot, key, "left")
+    few = F.broadcast(right.join(hot, key, "left_semi"))
+    calm = marked.filter("_hot is null").drop("_hot").join(right, key, how)
+    return marked.filter("_hot").drop("_hot").join(few, key, how).unionByName(calm)

@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Every step is a grouped minimum (map-side combined) and an equi-join that adaptive execution can split, so a node with
-very many neighbours never lands in one task. Each round is written to the shared folder, which cuts the lineage.
+Every step is a grouped minimum (map-side combined) and a join with a row per node, in which nodes with very many neighbours are dealt
+over all tasks. Each round is written to the shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import settle
+from ledgerscope.llm.common import dealt_join, is_small, settle
 
 MAX_ROUNDS = 40
 
@@ -19,14 +19,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = settle(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
     )
+    # no round adds edges, so a small table stays small
+    join = (lambda left, right: left.join(right, "u")) if is_small(e) else (lambda left, right: dealt_join(left, right, "u"))
     last = None
     for _ in range(MAX_ROUNDS):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join(both.filter("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = join(large, low)
         e = settle(
             small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()

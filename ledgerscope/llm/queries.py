@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import decontam, jaccard, language, line_dedup, mixing, pii, quality, secret_scan, toxicity, warc
+from ledgerscope.llm import bitmin, decontam, jaccard, language, line_dedup, merkle, mixing, pii, quality, search, secret_scan, toxicity, warc
 from ledgerscope.llm.common import is_remainder, table
 
 
@@ -130,6 +132,87 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+def op11_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitmin.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+_LOWER = f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')"
+OP11_SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 1 THEN w ELSE list_sort(list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) END AS g FROM t),
+k AS (SELECT g, min(doc_id) AS least FROM s WHERE len(g) > 0 GROUP BY g),
+n AS (SELECT row_number() OVER (ORDER BY least) AS node, g, least, len(g) AS size FROM k),
+x AS (SELECT node, size, unnest(g) AS gram FROM n),
+e AS (SELECT a.node AS a, b.node AS b FROM x AS a JOIN x AS b ON a.gram = b.gram AND a.node < b.node GROUP BY a.node, b.node, a.size, b.size
+      HAVING 100 * count(*) >= 80 * (a.size + b.size - count(*))),
+pairs AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT a AS node, b AS other FROM pairs UNION SELECT reach.node, pairs.b FROM reach JOIN pairs ON pairs.a = reach.other),
+c AS (SELECT node, min(least) AS least FROM (SELECT node, least FROM n UNION ALL SELECT reach.node, n.least FROM reach JOIN n ON n.node = reach.other) GROUP BY node)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(c.least, s.doc_id) AS component_id, s.doc_id IS NOT DISTINCT FROM coalesce(c.least, s.doc_id) AS kept
+FROM s LEFT JOIN n ON s.g = n.g AND len(s.g) > 0 LEFT JOIN c ON c.node = n.node
+"""
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, text FROM benchmark),
+i AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM b),
+g AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT r, doc_id, len(w) AS n, term, count(*) AS tf FROM d, LATERAL (SELECT unnest(w) AS term) GROUP BY ALL),
+qt AS (SELECT q, item_id, term, count(*) AS c FROM i, LATERAL (SELECT unnest(w) AS term) GROUP BY ALL),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, g GROUP BY term, n_docs),
+s AS (SELECT q, item_id, r, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM qt JOIN tf USING (term) JOIN df USING (term), g GROUP BY ALL),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, r) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, {"text": lowered}, is_remainder("doc_id", 5, 0))
+
+
+def _merkle_sql(levels: int = 7) -> str:
+    """Level by level in SQL, enough for WIDTH ** levels rows in a source; a group that has come to one node passes it on."""
+    field = lambda c: f"coalesce(concat(strlen(CAST({c} AS VARCHAR)), ':', {c}), '-')"
+    leaf = lambda text: "sha256(concat(" + ", ".join([*map(field, merkle.FIELDS[:-1]), field(text)]) + "))"
+    codes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    crc = f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {bits}))"
+    parts = [f"""t0 AS (SELECT row_number() OVER () AS id, doc_id, source, {leaf('text')} AS leaf,
+      CASE WHEN {crc} % 5 = 0 THEN {leaf(_LOWER)} ELSE {leaf('text')} END AS changed FROM documents),
+d0 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, '' AS proof, leaf AS own, changed AS fold FROM t0)"""]
+
+    def climb(k: int, group: str, start: str) -> None:
+        """nodes of level k of the tree in start, then the rows carried one level up"""
+        parts.append(f"n{k} AS (SELECT DISTINCT {group} AS g, pos, own FROM {start})")
+        parts.append(f"r{k} AS (SELECT g, pos // {merkle.WIDTH} AS up, list(own ORDER BY pos) AS run, sum(count(*)) OVER (PARTITION BY g) AS n FROM n{k} GROUP BY g, pos // {merkle.WIDTH})")
+        joined = "concat(array_to_string(run[:pos % 16], ''), {}, array_to_string(run[pos % 16 + 2:], ''))".replace("16", str(merkle.WIDTH))
+        parts.append(f"""d{k + 1} AS (SELECT id, doc_id, source, leaf, changed, subroot, pos // {merkle.WIDTH} AS pos,
+      CASE WHEN n = 1 THEN proof ELSE concat(proof, {joined.format("''")}) END AS proof,
+      CASE WHEN n = 1 THEN own ELSE sha256(array_to_string(run, '')) END AS own,
+      CASE WHEN n = 1 THEN fold ELSE sha256({joined.format('fold')}) END AS fold
+      FROM {start} AS d JOIN r{k} AS r ON {group} IS NOT DISTINCT FROM r.g AND d.pos // {merkle.WIDTH} = r.up)""")
+
+    start = "(SELECT *, '' AS subroot FROM d0)"
+    for k in range(levels):
+        climb(k, "source", start)
+        start = f"d{k + 1}"
+    parts.append(f"d90 AS (SELECT * REPLACE (own AS subroot, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS pos) FROM {start})")
+    start = "d90"
+    for k in range(91, 91 + levels):
+        climb(k, "0", start)
+        start = f"d{k + 1}"
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, own AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = own AS verified FROM {start}"""
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -141,5 +224,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
+    "op11_bbit_minhash": op11_bbit_minhash,
+    "op12_search": op12_search,
+    "op13_merkle": op13_merkle,
 }
-ORACLES = {"op2_quality": OP2_SQL, "op9_warc": OP9_SQL, "op10_decontamination": OP10_SQL}
+ORACLES = {"op2_quality": OP2_SQL, "op9_warc": OP9_SQL, "op10_decontamination": OP10_SQL,
+           "op11_bbit_minhash": OP11_SQL, "op12_search": OP12_SQL, "op13_merkle": _merkle_sql()}
