@@ -50,10 +50,16 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_KEEP).split()
 
 
-def entry_hashes(term: bytes) -> list[int]:
-    """One hash per level."""
-    first = xxhash.xxh64_intdigest(term)
-    return [(first + level * 0x9E3779B97F4A7C15) % (1 << 64) for level in range(COUNT_LEVELS)]
+LEVEL_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def term_hashes(terms) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64)
+
+
+def at_level(hashes: np.ndarray, level: int) -> np.ndarray:
+    """Entries of terms that occur STEP ** level times or more."""
+    return hashes + np.uint64(level) * LEVEL_STEP
 
 
 def rows_of(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -64,11 +70,6 @@ def rows_of(hashes: np.ndarray, width: int) -> np.ndarray:
     return ((h[:, None] + k * step[:, None]) & np.uint64(width - 1)).astype(np.int64)
 
 
-def levels_for(tf: int) -> int:
-    """How many levels a count reaches, at most COUNT_LEVELS."""
-    return min(COUNT_LEVELS, next(k for k in range(1, 65) if tf < STEP**k))
-
-
 def width_for(entries: int) -> int:
     return max(64, 1 << (WIDE * max(entries, 1) - 1).bit_length())
 
@@ -82,7 +83,6 @@ def index_of(rows: DataFrame) -> DataFrame:
     @released
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: dict[int, list] = defaultdict(list)
-        known: dict[bytes, list[int]] = {}
 
         def done(width: int) -> tuple:
             docs = waiting.pop(width)
@@ -98,16 +98,12 @@ def index_of(rows: DataFrame) -> DataFrame:
                 terms = terms_of(text)
                 if not terms:
                     continue
-                if len(known) > 200_000:
-                    known.clear()
-                entries: list[int] = []
-                for term, tf in Counter(terms).items():
-                    if term not in known:
-                        known[term] = entry_hashes(term)
-                    entries += known[term][: levels_for(tf)]
+                counts = Counter(terms)
+                hashes, tf = term_hashes(counts), np.fromiter(counts.values(), np.int64)
+                entries = np.concatenate([at_level(hashes[tf >= STEP**level], level) for level in range(COUNT_LEVELS)])
                 width = width_for(len(entries))
-                at = np.unique(rows_of(np.array(entries, np.uint64), width).ravel())
-                waiting[width].append((key, len(terms), at.astype(np.int32 if width < 1 << 31 else np.int64)))
+                at = rows_of(entries, width).ravel()
+                waiting[width].append((key, len(terms), at.astype(np.int32) if width < 1 << 31 else at))
                 if len(waiting[width]) >= max(8, min(COLUMNS, 8 * BLOCK_BYTES // width)):
                     out.append(done(width))
             if out:
@@ -130,12 +126,12 @@ class Queries:
         self.items, self.least = [items[k] for k in starts], [least[k] for k in starts]
         self.of = np.split(at, starts[1:])
         self.often = np.split(np.asarray(often, np.float64), starts[1:])
-        self.hashes = np.array([entry_hashes(t.encode("utf-8", "surrogatepass")) for t in numbers], np.uint64)
+        self.hashes = term_hashes(t.encode("utf-8", "surrogatepass") for t in numbers)
 
     def bounds(self, width: int, columns: int, lengths: np.ndarray, bits: bytes, n_docs: int, n_terms: int) -> np.ndarray:
         """(queries, documents) upper bounds of the scores."""
         slices = np.frombuffer(bits, np.uint8).reshape(width, columns // 8)
-        at = [rows_of(self.hashes[:, level].copy(), width) for level in range(COUNT_LEVELS)]
+        at = [rows_of(at_level(self.hashes, level), width) for level in range(COUNT_LEVELS)]
         lengths = np.concatenate([lengths, np.ones(columns - len(lengths), np.int64)])
         m = np.array([25 + 75 * n * n_docs // n_terms for n in lengths.tolist()], np.float64)
         out = np.zeros((len(self.items), columns))
