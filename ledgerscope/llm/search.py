@@ -50,7 +50,7 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_KEEP).split()
 
 
-LEVEL_STEP = np.uint64(0x9E3779B97F4A7C15)
+LEVEL_STEP = 0x9E3779B97F4A7C15
 
 
 def term_hashes(terms) -> np.ndarray:
@@ -59,7 +59,7 @@ def term_hashes(terms) -> np.ndarray:
 
 def at_level(hashes: np.ndarray, level: int) -> np.ndarray:
     """Entries of terms that occur STEP ** level times or more."""
-    return hashes + np.uint64(level) * LEVEL_STEP
+    return hashes + np.uint64(level * LEVEL_STEP % (1 << 64))
 
 
 def rows_of(hashes: np.ndarray, width: int) -> np.ndarray:
