@@ -188,12 +188,22 @@ def classes_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return settle(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class")))
 
 
-def open_buckets(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(band, node, class, low, high): rows of buckets with several classes; low and high are its end nodes by class."""
+def open_buckets(buckets: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """(band, node, class, low, high): rows of buckets (band, node) with several classes; low and high are the buckets' end nodes by class.
+
+    At first every node is its own class.
+    """
+    if classes is None:
+        ends = buckets.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("_n"))
+        ends = settle(ends.filter("low < high"))
+        own = dealt_join(buckets, ends.drop("_n"), "band", counts=ends.select("band", "_n"))
+        place = [F.struct(F.col(e).alias("class"), F.col(e).alias("node")).alias(e) for e in ("low", "high")]
+        return settle(own.select("band", "node", F.col("node").alias("class"), *place))
     own = settle(buckets.join(classes, "node"))
     place = F.struct("class", "node")
-    ends = own.groupBy("band").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low.class < high.class")
-    return dealt_join(own, ends, "band")
+    ends = own.groupBy("band").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("_n"))
+    ends = settle(ends.filter("low.class < high.class"))
+    return settle(dealt_join(own, ends.drop("_n"), "band", counts=ends.select("band", "_n")))
 
 
 def check_rest(left: DataFrame, sets: DataFrame, signer: BitSigner, threshold: float) -> DataFrame:
@@ -266,14 +276,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     texts = signed.groupBy("text_hash").agg(F.min("set_hash").alias("set_hash"), F.min("n_shingles").alias("n_shingles"))
     one = signed.filter("set_hash is not null").groupBy("set_hash").agg(F.min(F.struct("text_hash", "bands", "signature")).alias("s"))
     nodes = settle(one.select("set_hash", "s.*").withColumn("node", F.monotonically_increasing_id()))
-    bands = nodes.select("node", F.explode("bands").alias("band"))
-    full = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
-    buckets = settle(dealt_join(bands, full, "band"))
-    wanted = settle(buckets.select("node").distinct())
+    left = open_buckets(nodes.select("node", F.explode("bands").alias("band")))
+    wanted = settle(left.select("node").distinct())
     sets = sets_of(filled, settle(nodes.select("text_hash", "node", "signature").join(wanted, "node", "left_semi")))
     links, classes = None, wanted.withColumn("class", F.col("node"))
     for turn in range(STAR_ROUNDS + 1):
-        left = settle(open_buckets(buckets, classes))
         if left.isEmpty():
             break
         if turn < STAR_ROUNDS:
@@ -283,6 +290,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
             found = check_rest(left, sets, signer, threshold)
         links = found if links is None else links.unionByName(found)
         classes = classes_of(wanted, links)
+        if turn < STAR_ROUNDS:
+            left = open_buckets(left.select("band", "node"), classes)
     by_text = texts.join(nodes.select("set_hash", "node").join(classes, "node", "left"), "set_hash", "left")
     by_text = settle(by_text.select("text_hash", "n_shingles", F.coalesce("class", "node").alias("class")))
     numbered = dealt_join(rows.select("_id", "text_hash"), by_text, "text_hash", "left")

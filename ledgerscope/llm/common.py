@@ -86,14 +86,16 @@ def small_or_shuffled(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
-def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", most: int = 1000) -> DataFrame:
+def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", most: int = 1000, counts: DataFrame | None = None) -> DataFrame:
     """left joined with right, which has a row per key at most, however many rows of left share a key.
 
     A small right side is broadcast. Otherwise keys with more than `most` rows of left, and more than a ten-thousandth of all, are at most 10,000: their rows of right are broadcast. The others shuffle.
+    Where they are known already, counts has (key, _n).
     """
     if is_small(right):
         return left.join(F.broadcast(right), key, how)
-    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot = settle(counts.filter(F.col("_n") > most))
     if hot.isEmpty():
         return left.join(right, key, how)
