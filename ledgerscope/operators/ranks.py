@@ -3,7 +3,7 @@
 Rows are first summed per distinct value. The distinct values are cut into value ranges holding at
 most about ``VALUES_PER_TASK`` each, running sums are taken inside a range, and the totals of the
 earlier ranges are added. No task ever sees more than one range, and nothing is approximated: the
-range borders only decide where a value is counted.
+range borders only decide where a value is counted. Quantiles need no such order: they are selected inside brackets.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.numeric import col, half_even, ratio
-from ledgerscope.operators import panel
 from ledgerscope.sources.scratch import settle
 
 VALUES_PER_TASK = 500_000
@@ -70,26 +69,54 @@ def positions(
     )
 
 
+#: Relative rank error of the sketch that brackets a quantile is 1 / ACCURACY; brackets are MARGIN times as wide to each side.
+ACCURACY, MARGIN = 10_000, 8
+
+
 def quantiles(
-    df: DataFrame, value: Column, probs: list[float], groups: list[str] | None = None,
-    values_per_task: int | None = None,
+    df: DataFrame, value: Column, probs: list[float], groups: list[str] | None = None, accuracy: int | None = None,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles q0, q1, ... per group."""
+    """Exact linearly interpolated quantiles q0, q1, ... per group, by selection: nothing is sorted as a whole and nothing is written.
+
+    A sketch brackets each quantile; groups too small for that are bracketed by their ends. A second scan counts the rows below each
+    bracket and the values inside it, about 2 * MARGIN / ACCURACY of the group, and only those are ranked. A quantile outside its bracket
+    (which the sketch's bound excludes) is an error, never a wrong number.
+    """
     groups = groups or []
-    pos = positions(df, value, groups, values_per_task=values_per_task)
-    picks = []
-    for i, p in enumerate(probs):
-        h = F.lit(float(p)) * (F.col("n_all") - 1).cast("double")
-        for side, rank in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            inside = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-            picks.append(F.max(F.when(inside, F.col("value"))).alias(f"_{side}{i}"))
-    agg = pos.groupBy(*groups).agg(F.max("n_all").alias("_n"), *picks)
-    out = []
-    for i, p in enumerate(probs):
-        h = F.lit(float(p)) * (F.col("_n") - 1).cast("double")
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        out.append((lo + (hi - lo) * (h - F.floor(h).cast("double"))).alias(f"q{i}"))
-    return agg.select(*groups, *out)
+    accuracy = accuracy or ACCURACY
+    rows = df.select(*groups, value.cast("double").alias("_x")).filter("_x is not null")
+    ends = [F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_first"), F.max("_x").alias("_last")]
+    wide = MARGIN / accuracy
+    asked = [min(max(p + side * wide, 0.0), 1.0) for p in probs for side in (-1, 1)]
+    marks = rows.groupBy(*groups).agg(*ends, F.percentile_approx("_x", asked, accuracy).alias("_m"))
+    few = F.col("_n") <= accuracy // 2
+    brackets = F.array(*[
+        F.struct(
+            F.lit(i).alias("i"),
+            F.when(few | F.lit(asked[2 * i] == 0), F.col("_first")).otherwise(F.col("_m")[2 * i]).alias("lo"),
+            F.when(few | F.lit(asked[2 * i + 1] == 1), F.col("_last")).otherwise(F.col("_m")[2 * i + 1]).alias("hi"),
+        )
+        for i in range(len(probs))
+    ])
+    marks = marks.select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_n", F.explode(brackets).alias("_b"))
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    near = rows.join(F.broadcast(marks) if not groups else marks, same).filter(F.col("_x") <= F.col("_b.hi"))
+    # values below a bracket are one cell
+    inside = F.when(F.col("_x") >= F.col("_b.lo"), F.col("_x"))
+    cells = near.groupBy(*groups, F.col("_b.i").alias("_i"), inside.alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
+    upto = Window.partitionBy(*groups, "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("_end", F.sum("_c").over(upto))
+    h = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1) * (F.col("_n") - 1).cast("double")
+    found = [
+        F.max(F.when(F.col("_v").isNotNull() & (F.col("_end") - F.col("_c") <= r) & (r < F.col("_end")), F.col("_v"))).alias(side)
+        for side, r in (("_lo", F.floor(h)), ("_hi", F.ceil(h)))
+    ]
+    each = cells.groupBy(*groups, "_i").agg(*found, F.max(h - F.floor(h).cast("double")).alias("_part"))
+    missed = F.raise_error("a quantile lies outside its bracket").cast("double")
+    q = F.when(F.col("_lo").isNull() | F.col("_hi").isNull(), missed).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part"))
+    return each.groupBy(*groups).agg(*[F.max(F.when(F.col("_i") == i, q)).alias(f"q{i}") for i in range(len(probs))])
 
 
 def quantile_values(df: DataFrame, value: Column, probs: list[float]) -> list[float]:
@@ -133,34 +160,38 @@ def discrimination(
     )
 
 
-def global_rank(df: DataFrame, score: str, order: list[str]) -> DataFrame:
-    """Adds rank_up and rank_down, 1..n over the whole frame by (score, order), and n_all.
+def global_rank(df: DataFrame, score: str, order: list[str], descending: bool = False) -> DataFrame:
+    """Adds rank, 1..n over the rows with a score, by (score, order), and n_all, their number. Ties are ranked by ``order`` both ways.
 
-    Ties are ranked by ``order`` in both directions.
+    Rows are dealt into ranges of (score, order) and written, and a row's number is its place in its range after the rows of earlier
+    ranges: many rows of one score are spread, and nothing is joined by score. Rows without a score stay, without a rank.
     """
-    pos = positions(df, F.col(score))
-    tied = panel.sequence_number(df, score, order, "_tie")
-    joined = tied.join(pos, F.col(score).cast("double") == F.col("value"))
-    tie = F.col("_tie")
-    return joined.select(
-        *df.columns, (F.col("n_before") + tie).alias("rank_up"),
-        (F.col("n_all") - F.col("n_before") - F.col("n") + tie).alias("rank_down"), "n_all",
-    )
+    by = [F.desc_nulls_last(score) if descending else F.asc_nulls_last(score), *order]
+    dealt = df.repartitionByRange(F.col(score).isNull(), *by).sortWithinPartitions(F.col(score).isNull(), *by)
+    spread = settle(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    parts = spread.groupBy(part.alias("_p")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"), F.count(score).alias("_scored"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = parts.select("_p", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"), F.sum("_scored").over(Window.partitionBy(F.lit(1))).alias("n_all"))
+    joined = spread.join(F.broadcast(offsets), part == F.col("_p"))
+    rank = F.when(F.col(score).isNotNull(), F.col("_before") + F.col("_at") - F.col("_first") + 1)
+    return joined.select(*df.columns, rank.alias("rank"), "n_all")
 
 
 def deciles(df: DataFrame, score: str, order: list[str], bins: int = 10) -> DataFrame:
-    """Adds ``decile`` 0..bins-1 by global rank, edges as for equal-width cuts of the ranks."""
+    """Adds ``decile`` 0..bins-1 by global rank, edges as for equal-width cuts of the ranks; null where the score is."""
     ranked = global_rank(df, score, order)
-    r, n = F.col("rank_up"), F.col("n_all")
+    r, n = F.col("rank"), F.col("n_all")
     steps = (r - 1) * bins / F.when(n > 1, n - 1)
-    return ranked.select(*df.columns, F.greatest(F.ceil(steps) - 1, F.lit(0)).cast("int").alias("decile"))
+    place = F.greatest(F.ceil(steps) - 1, F.lit(0)).cast("int")
+    return ranked.select(*df.columns, F.when(r.isNotNull(), place).alias("decile"))
 
 
 def top_fraction(df: DataFrame, score: str, order: list[str], share: float) -> DataFrame:
-    """The floor(share * n) best rows, at least one; the rows stay distributed."""
-    ranked = global_rank(df, score, order)
+    """The floor(share * n) best of the rows with a score, at least one; the rows stay distributed."""
+    ranked = global_rank(df, score, order, descending=True)
     k = F.greatest(F.floor(F.col("n_all") * share), F.lit(1))
-    return ranked.filter(F.col("rank_down") <= k).select(*df.columns)
+    return ranked.filter(F.col("rank") <= k).select(*df.columns)
 
 
 def average_rank(df: DataFrame, value: Column) -> DataFrame:

@@ -32,10 +32,10 @@ def brute_ks(d):
     return max((p >= c).mean() - (q >= c).mean() for c in d.s.unique())
 
 
-@pytest.mark.parametrize("per_task", [7, 100_000])
-def test_quantiles(spark, data, per_task):
+@pytest.mark.parametrize("accuracy", [100, 10_000])
+def test_quantiles(spark, data, accuracy):
     probs = [0.0, 0.1, 1 / 3, 0.5, 0.95, 1.0]
-    rows = ranks.quantiles(spark.createDataFrame(data), F.col("s"), probs, ["g"], per_task).collect()
+    rows = ranks.quantiles(spark.createDataFrame(data), F.col("s"), probs, ["g"], accuracy).collect()
     assert len(rows) == 2
     for r in rows:
         want = np.quantile(data.s[data.g == r["g"]], probs)
@@ -65,13 +65,35 @@ def test_deciles_equal_qcut_of_ranks(spark, n):
     assert (out.decile == out.want).all()
 
 
-def test_deciles_with_a_hot_tie(spark, data, monkeypatch):
-    from ledgerscope.operators import panel
-
-    want = {r["id"]: r["decile"] for r in ranks.deciles(spark.createDataFrame(data), "s", ["id"]).collect()}
-    monkeypatch.setattr(panel, "CHUNK", 20)
-    got = {r["id"]: r["decile"] for r in ranks.deciles(spark.createDataFrame(data), "s", ["id"]).collect()}
+def test_quantiles_are_selected_inside_brackets(spark):
+    """More values than the sketch keeps, many partitions, a hot value, null groups and null values."""
+    rng = np.random.default_rng(5)
+    d = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 40_000), "x": np.where(rng.random(40_000) < 0.3, 7.0, rng.normal(5, 9, 40_000))})
+    df = spark.createDataFrame(d).repartition(9).withColumn("g", F.when(F.col("g") != "c", F.col("g"))).unionByName(
+        spark.createDataFrame([("a", None), ("only null", None)], "g string, x double"))
+    probs = [0.0, 0.001, 0.25, 0.5, 0.9, 0.9995, 1.0]
+    rows = {r["g"]: r for r in ranks.quantiles(df, F.col("x"), probs, ["g"], 1000).collect()}
+    assert set(rows) == {"a", "b", None}
+    for g, r in rows.items():
+        want = np.quantile(d.x[d.g == (g or "c")], probs)
+        assert np.allclose([r[f"q{i}"] for i in range(len(probs))], want, atol=1e-12)
+    whole = ranks.quantiles(df, F.col("x"), probs, accuracy=1000)
+    assert np.allclose(list(whole.first()), np.quantile(d.x, probs), atol=1e-12)
+    assert list(ranks.quantiles(df.limit(0), F.col("x"), [0.5]).first()) == [None]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_rank_with_half_the_book_on_one_score(spark, descending):
+    rng = random.Random(9)
+    d = [(i, None if i % 13 == 0 else 0.5 if rng.random() < 0.5 else round(rng.random(), 3)) for i in range(2000)]
+    df = spark.createDataFrame(d, "id long, s double").repartition(6)
+    got = {r["id"]: (r["rank"], r["n_all"]) for r in ranks.global_rank(df, "s", ["id"], descending).collect()}
+    scored = sorted((x for x in d if x[1] is not None), key=lambda x: (-x[1] if descending else x[1], x[0]))
+    want = {i: (None, len(scored)) for i, _ in d} | {i: (k + 1, len(scored)) for k, (i, _) in enumerate(scored)}
     assert got == want
+    written = ranks.global_rank(df, "s", ["id"], descending)
+    assert "SortMergeJoin" not in written._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"] for r in ranks.deciles(df, "s", ["id"]).filter("decile is null").collect()} == {i for i, s in d if s is None}
 
 
 def test_top_fraction_keeps_exactly_k_rows_and_breaks_ties_by_key(spark):
