@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -17,8 +20,8 @@ from pyspark.sql import functions as F
 from ledgerscope import params as P
 from ledgerscope.functions.bands import grade_rank
 from ledgerscope.functions.numeric import half_even, ratio
-from ledgerscope.operators import ranks
-from ledgerscope.operators.segments import adjusted_rand_index
+from ledgerscope.operators import ranks, trees
+from ledgerscope.operators.segments import adjusted_rand_by, adjusted_rand_index
 from ledgerscope.sources.scratch import settle
 
 # ---------------------------------------------------------------- WOE scorecard
@@ -174,25 +177,69 @@ def woe_columns(card: Scorecard) -> list[Column]:
     return out
 
 
-def with_woe(df: DataFrame, card: Scorecard) -> DataFrame:
-    return VectorAssembler(inputCols=[f"woe_{f}" for f in card.bins], outputCol="woe").transform(
-        df.select("*", *woe_columns(card))
-    ).drop(*[f"woe_{f}" for f in card.bins])
-
-
 def fit_scorecard(train: DataFrame, label: str = "label", features: list[str] = P.FEATURES) -> Scorecard:
     return fit_logistic(train, fit_woe(train, fit_bins(train, features), label), label)
 
 
+@dataclass
+class Logistic:
+    intercept: float
+    coefficients: list[float]
+    gradient: float
+    rounds: int
+
+
+def newton_logistic(data: DataFrame, n_features: int, penalty: float = 1.0, tolerance: float = 1e-8, most_rounds: int = 50) -> Logistic:
+    """Logistic on rows (x: array of n_features, y), minimising the summed log loss plus penalty / 2 times the squared coefficients.
+
+    A Newton round is one scan: every task sums loss, X'(p - y) and X'WX of its rows, the sums are added up in Spark, and
+    (n_features + 2) ** 2 numbers at most reach the driver. Stops when no part of the mean gradient exceeds the tolerance; a step that does
+    not lower the loss is halved.
+    """
+    k = n_features + 1
+    ridge = np.array([0.0] + [penalty] * n_features)
+    upper = np.triu_indices(k)
+
+    def sums(beta: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(2 + k + len(upper[0]))
+            for b in batches:
+                x = np.column_stack([np.ones(len(b)), np.array(b["x"].tolist(), np.float64).reshape(len(b), n_features)])
+                y, z = b["y"].to_numpy(np.float64), x @ beta
+                p = 1 / (1 + np.exp(-z))
+                total[0] += len(b)
+                total[1] += (np.logaddexp(0, z) - y * z).sum()
+                total[2 : 2 + k] += x.T @ (p - y)
+                total[2 + k :] += (x.T @ (x * (p * (1 - p))[:, None]))[upper]
+            yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+
+        out = np.zeros(2 + k + len(upper[0]))
+        for r in data.select("x", "y").mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            out[r["i"]] = r["v"]
+        hessian = np.zeros((k, k))
+        hessian[upper] = out[2 + k :]
+        hessian = hessian + np.triu(hessian, 1).T + np.diag(ridge)
+        return max(out[0], 1.0), out[1] + (ridge * beta**2).sum() / 2, out[2 : 2 + k] + ridge * beta, hessian
+
+    beta, last, loss_before = np.zeros(k), np.zeros(k), math.inf
+    for rounds in range(1, most_rounds + 1):
+        n, loss, gradient, hessian = sums(beta)
+        if loss > loss_before + 1e-9 * abs(loss_before):
+            beta = (beta + last) / 2
+            continue
+        steepest = float(np.abs(gradient).max() / n)
+        if steepest < tolerance:
+            break
+        last, loss_before = beta, loss
+        beta = beta - np.linalg.solve(hessian + 1e-9 * np.eye(k), gradient)
+    return Logistic(float(beta[0]), beta[1:].tolist(), steepest, rounds)
+
+
 def fit_logistic(train: DataFrame, card: Scorecard, label: str = "label") -> Scorecard:
-    """Logistic on the WOE columns; the penalty equals a unit inverse-regularisation over n rows."""
-    data = with_woe(train, card).select("woe", F.col(label).cast("double").alias("_y"))
-    lr = LogisticRegression(
-        featuresCol="woe", labelCol="_y", regParam=1.0 / max(train.count(), 1), elasticNetParam=0.0,
-        standardization=False, maxIter=100, tol=1e-6,
-    )
-    card.model = lr.fit(data)
-    card.betas = dict(zip(card.bins, card.model.coefficients.toArray().tolist()))
+    """Logistic on the WOE columns with a unit penalty, run until the gradient vanishes."""
+    data = settle(train.select(F.array(*[c.cast("double") for c in woe_columns(card)]).alias("x"), F.col(label).cast("double").alias("y")))
+    card.model = newton_logistic(data, len(card.bins))
+    card.betas = dict(zip(card.bins, card.model.coefficients))
     return card
 
 
@@ -340,28 +387,36 @@ def design_matrix(frame: DataFrame, values: dict[str, list[str]] | None = None)
     return VectorAssembler(inputCols=x, outputCol="features", handleInvalid="keep").transform(wide).drop(*x), names
 
 
-def fit_risk_tree(seasoned: DataFrame, weight: Column | None = None, min_leaf: int = 1000, depth: int = 4, seed: int = 20260603):
-    """Class-balanced classification tree on seasoned loans."""
-    w = F.lit(1.0) if weight is None else weight
-    data = seasoned.select("features", F.col("default_flag").cast("double").alias("_y"), w.cast("double").alias("_w"))
-    size = data.groupBy("_y").agg(F.sum("_w").alias("s")).collect()
-    n = sum(r["s"] for r in size)
-    balance = {r["_y"]: n / (2 * r["s"]) for r in size}
-    data = data.withColumn("_w", F.col("_w") * F.when(F.col("_y") == 1, balance.get(1.0, 1.0)).otherwise(balance.get(0.0, 1.0)))
-    return DecisionTreeClassifier(
-        featuresCol="features", labelCol="_y", weightCol="_w", maxDepth=depth, minInstancesPerNode=min_leaf,
-        maxBins=64, leafCol="leaf", seed=seed,
-    ).fit(data.filter(F.col("_w") > 0))
-
-
-def tree_segments(frame: DataFrame, min_leaf: int = 1000, max_segments: int = 6):
-    """Every loan's leaf as its segment, leaves of closest default merged down to ``max_segments``, T1 safest."""
+@dataclass
+class BinnedLoans:
+    rows: DataFrame  # loan_id, customer_id, months_on_book, default_flag, value_proxy
+    data: DataFrame  # loan_id, months_on_book, default_flag, bins
+    names: list[str]
+    cuts: list[list[float]]
+
+    @property
+    def seasoned(self) -> DataFrame:
+        return self.data.filter(F.col("months_on_book") >= P.SEASONED_MOB)
+
+    def grow(self, replicates: int, max_leaves: int, min_leaf: int, seed: int) -> list[trees.Tree]:
+        return trees.grow(self.seasoned, len(self.names), replicates, max_leaves, min_leaf, "loan_id", "default_flag", seed)
+
+
+def binned_loans(frame: DataFrame) -> BinnedLoans:
+    """The design matrix in bins; cuts come from seasoned loans, which the trees learn from."""
     matrix, names = design_matrix(frame)
-    matrix = settle(matrix.select("loan_id", "customer_id", "months_on_book", "default_flag", "value_proxy", "features"))
-    seasoned = matrix.filter(F.col("months_on_book") >= P.SEASONED_MOB)
-    model = fit_risk_tree(seasoned, min_leaf=min_leaf)
-    assigned = model.transform(matrix).select("loan_id", "customer_id", "months_on_book", "default_flag", "value_proxy", "leaf")
-    return assigned.withColumn("segment", segment_of_leaf(merge_leaves(assigned, max_segments))), model, names, matrix
+    ids = ["loan_id", "customer_id", "months_on_book", "default_flag", "value_proxy"]
+    rows = settle(matrix.select(*ids, vector_to_array("features").alias("x")))
+    cuts = trees.fit_cuts(rows.filter(F.col("months_on_book") >= P.SEASONED_MOB), "x", len(names))
+    data = trees.binned(rows, "x", cuts, "loan_id", "months_on_book", "default_flag")
+    return BinnedLoans(rows.select(*ids), data, names, cuts)
+
+
+def tree_segments(loans: BinnedLoans, grown: list[trees.Tree]) -> DataFrame:
+    """Every loan's leaf of the first tree as its segment, T1 safest by seasoned default rate."""
+    leaves = trees.assigned(loans.data, grown[:1], len(loans.names), "loan_id").select("loan_id", F.col("leaves")[0].cast("double").alias("leaf"))
+    found = settle(loans.rows.join(leaves, "loan_id"))
+    return found.withColumn("segment", segment_of_leaf(merge_leaves(found, len(grown[0].leaves))))
 
 
 def merge_leaves(assigned: DataFrame, max_segments: int) -> dict[float, int]:
@@ -532,18 +587,13 @@ def poisson_row_weight(key: str, replicate: int, seed: int) -> Column:
     return out.otherwise(16).cast("double")
 
 
-def tree_stability(frame: DataFrame, replicates: int = 25, min_leaf: int = 1000, seed: int = 20260603) -> DataFrame:
-    """Agreement of refitted trees' leaves with the base segments."""
-    base, _, _, matrix = tree_segments(frame, min_leaf)
-    base = settle(base.select("loan_id", "segment"))
-    seasoned = matrix.filter(F.col("months_on_book") >= P.SEASONED_MOB)
-    out = None
-    for b in range(replicates):
-        model = fit_risk_tree(seasoned, poisson_row_weight("loan_id", b, seed), min_leaf)
-        both = model.transform(matrix).select("loan_id", "leaf").join(base, "loan_id")
-        one = adjusted_rand_index(both, "segment", "leaf").select(F.lit(b).alias("replicate"), "ari")
-        out = one if out is None else out.unionByName(one)
-    return out
+def tree_stability(frame: DataFrame, replicates: int = 25, max_leaves: int = P.TREE_LEAVES, min_leaf: int = P.TREE_MIN_LEAF, seed: int = 20260603) -> DataFrame:
+    """(replicate, ari): agreement of the leaves of trees grown on resampled loans with those of the tree on the loans; all trees grow together."""
+    loans = binned_loans(frame)
+    grown = loans.grow(replicates + 1, max_leaves, min_leaf, seed)
+    leaves = trees.assigned(loans.data, grown, len(loans.names), "loan_id")
+    each = leaves.select(F.col("leaves")[0].alias("base"), F.posexplode(F.slice("leaves", 2, replicates)).alias("replicate", "leaf"))
+    return adjusted_rand_by(each, "replicate", "base", "leaf")
 
 
 def cluster_stability(features: DataFrame, k: int = 4, replicates: int = 3, max_iter: int = 10, seed: int = 20260603) -> DataFrame:

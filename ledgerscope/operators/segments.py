@@ -135,6 +135,21 @@ def adjusted_rand_index(assigned: DataFrame, a: str, b: str) -> DataFrame:
     return t.select(half_even(F.when(top != expected, (F.col("x") - expected) / (top - expected)).otherwise(1.0), 6).alias("ari"))
 
 
+def adjusted_rand_by(assigned: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """The same for many pairs of assignments, one per value of ``by``, from one contingency table."""
+    cells = assigned.groupBy(by, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+    def pairs(n: str) -> Column:
+        return F.sum(F.col(n) * (F.col(n) - 1) / 2.0)
+
+    t = cells.groupBy(by).agg(pairs("n").alias("x"), F.sum("n").alias("n"))
+    for side in ("a", "b"):
+        t = t.join(cells.groupBy(by, side).agg(F.sum("n").alias("s")).groupBy(by).agg(pairs("s").alias(f"{side}_pairs")), by)
+    expected = F.col("a_pairs") * F.col("b_pairs") / (F.col("n") * (F.col("n") - 1) / 2.0)
+    top = (F.col("a_pairs") + F.col("b_pairs")) / 2.0
+    return t.select(by, half_even(F.when(top != expected, (F.col("x") - expected) / (top - expected)).otherwise(1.0), 6).alias("ari"))
+
+
 def top_category(df: DataFrame, group: str, column: str) -> DataFrame:
     """Most common value and its share per group; ties go to the smaller value."""
     counts = df.groupBy(group, F.col(column).cast("string").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))

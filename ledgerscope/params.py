@@ -104,6 +104,10 @@ LEVEL_FEATURES = ["utilisation_level", "balance_volatility_level", "cashflow_con
 ESCALATION_FEATURES = ["dpd_current", "missed_cum_at_t"]
 MAX_BINS = 6
 WOE_SMOOTHING = 0.5
+# risk tree
+TREE_LEAVES = 6
+TREE_MIN_LEAF = 1000
+TREE_REFITS = 25
 
 # band capacity per month and unit costs
 RED_CAPACITY = 500

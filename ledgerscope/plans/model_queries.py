@@ -10,16 +10,12 @@ from pyspark.sql import functions as F
 from ledgerscope import params as P
 from ledgerscope.functions.numeric import half_even
 from ledgerscope.operators import models as M
-from ledgerscope.operators import ranks, scoring, segments
+from ledgerscope.operators import ranks, scoring, segments, trees
 from ledgerscope.plans import sql as S
 from ledgerscope.plans import warning_queries  # noqa: F401  (scored views)
 from ledgerscope.plans.registry import register
 from ledgerscope.sources.scratch import settle
 
-# leaf size in proportion to the book: 1000 of 49,600 loans
-LEAF_SHARE = 1000 / 49_600
-
-
 def tree_frame(b):
     cols = ["loan_id", "customer_id", "months_on_book", "default_flag", "value_proxy", "product_type", "ticket_size",
             "tenure_mo", "interest_rate_apr", "approval_tat_hrs", "loan_sequence", "origination_risk_grade"]
@@ -28,13 +24,9 @@ def tree_frame(b):
     return settle(b.loans.select(*cols).join(people, "customer_id"))
 
 
-def min_leaf(frame) -> int:
-    return max(1, int(frame.count() * LEAF_SHARE))
-
-
-def tree(b):
-    frame = tree_frame(b)
-    return M.tree_segments(frame, min_leaf(frame))
+def grown(b):
+    loans = M.binned_loans(tree_frame(b))
+    return loans, loans.grow(1, P.TREE_LEAVES, P.TREE_MIN_LEAF, 20260603)
 
 
 def _design(b):
@@ -54,13 +46,47 @@ _feats = {c: c for c in M.TREE_NUMERIC} | {f"{c}_ord": S.case(c, _rank) for c in
 register("m01_design_matrix", _design, "loans customers", " UNION ALL ".join(
     f"SELECT {S.lit(n)} AS feature, {S.total(x)} AS total FROM loans JOIN customers USING (customer_id)" for n, x in _feats.items()))
 register("m02_risk_tree", lambda b: segments.segment_metrics(
-    tree(b)[0].join(b.originations.select("loan_id", "ticket_size", "interest_rate_apr"), "loan_id")))
+    M.tree_segments(*grown(b)).join(b.originations.select("loan_id", "ticket_size", "interest_rate_apr"), "loan_id")))
+
+
+def _splits(b):
+    loans, found = grown(b)
+    rows = trees.split_rows(found[0], loans.names, loans.cuts)
+    out = b.spark.createDataFrame(rows, "step int, leaf int, feature string, threshold double, gain double, n long")
+    return out.withColumn("threshold", half_even("threshold", 6)).withColumn("gain", half_even("gain", 4))
+
+
+def _tree_sql() -> str:
+    """The splits, step after step, in SQL: of all leaves and cuts the largest drop of class-weighted impurity."""
+    cut = f"SELECT f, c FROM (SELECT DISTINCT f, unnest(quantile_cont(x, {[i / trees.BINS for i in range(1, trees.BINS + 1)]!r})) AS c FROM x0 GROUP BY f)"
+    impurity = lambda n, bad: f"(2*(({n})-({bad}))*w0*({bad})*w1/greatest((({n})-({bad}))*w0+({bad})*w1, 1e-300))"
+    numbers = S.case("f", {n: i for i, n in enumerate(_feats)})
+    parts = [
+        "d AS (SELECT * FROM loans JOIN customers USING (customer_id) WHERE months_on_book >= " + str(P.SEASONED_MOB) + ")",
+        "x0 AS (" + " UNION ALL ".join(f"SELECT loan_id, {S.lit(n)} AS f, CAST({x} AS DOUBLE) AS x, default_flag AS y FROM d" for n, x in _feats.items()) + ")",
+        f"cuts AS ({cut})",
+        "w AS (SELECT count(*)/(2e0*count(*) FILTER (default_flag = 0)) AS w0, count(*)/(2e0*count(*) FILTER (default_flag = 1)) AS w1 FROM d)",
+        "a1 AS (SELECT loan_id, 0 AS leaf FROM d)",
+    ]
+    for k in range(1, P.TREE_LEAVES):
+        parts.append(f"""g{k} AS (SELECT leaf, f, c, count(*) AS n, sum(y) AS bad, count(*) FILTER (x < c) AS nl, coalesce(sum(y) FILTER (x < c), 0) AS bl
+          FROM a{k} JOIN x0 USING (loan_id) JOIN cuts USING (f) GROUP BY 1, 2, 3)""")
+        parts.append(f"""s{k} AS (SELECT {k} AS step, leaf, f, c, n, {impurity('n', 'bad')} - {impurity('nl', 'bl')} - {impurity('n-nl', 'bad-bl')} AS gain FROM g{k}, w
+          WHERE nl >= {P.TREE_MIN_LEAF} AND n - nl >= {P.TREE_MIN_LEAF} QUALIFY row_number() OVER (ORDER BY gain DESC, leaf, {numbers}, c) = 1)""")
+        parts.append(f"""a{k + 1} AS (SELECT a{k}.loan_id, CASE WHEN s.f IS NULL THEN a{k}.leaf WHEN x0.x < s.c THEN {2 * k - 1} ELSE {2 * k} END AS leaf
+          FROM a{k} LEFT JOIN (SELECT * FROM s{k} WHERE gain > 1e-12) AS s ON a{k}.leaf = s.leaf LEFT JOIN x0 ON x0.loan_id = a{k}.loan_id AND x0.f = s.f)""")
+    rows = " UNION ALL ".join(f"SELECT * FROM s{k} WHERE gain > 1e-12" for k in range(1, P.TREE_LEAVES))
+    return ",\n".join(parts), f"SELECT CAST(step AS INT) AS step, CAST(leaf AS INT) AS leaf, f AS feature, {S.he('c', 6)} AS threshold, {S.he('gain', 4)} AS gain, n FROM ({rows})"
+
+
+_tree_parts, _tree_rows = _tree_sql()
+register("m02_tree_splits", _splits, "loans customers", f"SELECT * FROM (WITH {_tree_parts} {_tree_rows})")
 
 
 def _drivers(b):
     frame = tree_frame(b)
     matrix, names = M.design_matrix(frame)
-    return M.value_drivers(matrix, names, min_leaf(frame)).withColumn("importance", half_even("importance", 6))
+    return M.value_drivers(matrix, names, P.TREE_MIN_LEAF).withColumn("importance", half_even("importance", 6))
 
 
 register("m03_value_drivers", _drivers)
@@ -173,6 +199,47 @@ def _audit(b):
 register("m09_m10_m13_scorecard", _audit)
 
 
+def _logistic(b):
+    """Two features only, so that SQL can take the same Newton steps."""
+    data = settle(train_rows(b).select(F.array(*[F.expr(x) for x in TWO.values()]).alias("x"), F.col("label").cast("double").alias("y")))
+    fit = M.newton_logistic(data, len(TWO))
+    rows = [(n, round(v, 6), fit.gradient < 1e-8) for n, v in zip(["intercept", *TWO], [fit.intercept, *fit.coefficients])]
+    return b.spark.createDataFrame(rows, "term string, beta double, converged boolean")
+
+
+TWO = {"utilisation": "CAST(utilisation_level AS DOUBLE)/100", "days": "CAST(dpd_current AS DOUBLE)/30"}
+
+
+def _newton_sql(rounds: int = 15) -> str:
+    steps = ["d AS (SELECT CAST(label AS DOUBLE) AS y, " + ", ".join(f"{x} AS x{i + 1}" for i, x in enumerate(TWO.values())) + f" FROM {TRAIN})",
+             "b0 AS (SELECT 0e0 AS b0, 0e0 AS b1, 0e0 AS b2)"]
+    p = "(1/(1+exp(-(b0+b1*x1+b2*x2))))"
+    x = ["1", "x1", "x2"]
+    for k in range(rounds):
+        sums = ", ".join([f"sum(({p}-y)*{x[i]}) + {int(i > 0)}*any_value(b{i}) AS g{i}" for i in range(3)]
+                         + [f"sum({p}*(1-{p})*{x[i]}*{x[j]}) + {int(i == j and i > 0)} AS h{i}{j}" for i in range(3) for j in range(i, 3)])
+        steps.append(f"m{k} AS (SELECT {sums}, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2 FROM d, b{k})")
+        steps.append(f"""i{k} AS (SELECT *, h11*h22-h12*h12 AS c00, h02*h12-h01*h22 AS c01, h01*h12-h02*h11 AS c02, h00*h22-h02*h02 AS c11, h01*h02-h00*h12 AS c12,
+          h00*h11-h01*h01 AS c22 FROM m{k})""")
+        det = "(h00*c00+h01*c01+h02*c02)"
+        steps.append(f"""b{k + 1} AS (SELECT b0-(c00*g0+c01*g1+c02*g2)/{det} AS b0, b1-(c01*g0+c11*g1+c12*g2)/{det} AS b1, b2-(c02*g0+c12*g1+c22*g2)/{det} AS b2 FROM i{k})""")
+    last = " UNION ALL ".join(f"SELECT {S.lit(n)} AS term, {S.he(f'b{i}', 6)} AS beta, true AS converged FROM b{rounds}" for i, n in enumerate(["intercept", *TWO]))
+    return f"SELECT * FROM (WITH {', '.join(steps)} {last})"
+
+
+register("m10_logistic_of_two", _logistic, "scored", _newton_sql())
+
+
+def _coefficients(b):
+    train = settle(train_rows(b))
+    card = M.fit_scorecard(train)
+    rows = [("intercept", round(card.model.intercept, 6), card.model.gradient < 1e-8)] + [(f, round(v, 6), card.model.gradient < 1e-8) for f, v in card.betas.items()]
+    return b.spark.createDataFrame(rows, "term string, beta double, converged boolean")
+
+
+register("m10_logistic_coefficients", _coefficients)
+
+
 def _boosted(b):
     data = settle(b.scored)
     train = data.filter(F.col("split_oot") == "train")
@@ -207,8 +274,7 @@ register("m12_calibrated_scorecard", _calibrated)
 
 
 def _tree_stability(b):
-    frame = tree_frame(b)
-    return M.tree_stability(frame, 5, min_leaf(frame))
+    return M.tree_stability(tree_frame(b), P.TREE_REFITS)
 
 
 register("m22_tree_stability", _tree_stability)

@@ -89,3 +89,82 @@ def test_outcome_columns_are_refused(spark, monkeypatch):
     df = spark.createDataFrame([(1.0, "A", "A")], "value_proxy double, origination_risk_grade string, credit_quality_indicator string")
     with pytest.raises(ValueError):
         M.design_matrix(df, {})
+
+
+def test_newton_reaches_a_vanishing_gradient(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 3)) * [1, 20, 0.1]
+    y = (rng.random(2000) < 1 / (1 + np.exp(-(x @ [1.0, 0.1, -3.0] - 2)))).astype(float)
+    df = spark.createDataFrame([(r.tolist(), float(t)) for r, t in zip(x, y)], "x array<double>, y double").repartition(5)
+    fit = M.newton_logistic(df, 3)
+    beta = np.array(fit.coefficients)
+    p = 1 / (1 + np.exp(-(x @ beta + fit.intercept)))
+    gradient = np.array([(p - y).sum(), *(x.T @ (p - y) + beta)])
+    assert np.abs(gradient).max() / 2000 < 1e-8 and fit.gradient < 1e-8 and fit.rounds < 15
+    # separable rows: the penalty keeps the coefficients finite
+    apart = spark.createDataFrame([([float(i)], float(i > 4)) for i in range(10)], "x array<double>, y double")
+    assert M.newton_logistic(apart, 1).gradient < 1e-8
+
+
+def brute_tree(x, y, w, cuts, max_leaves, min_leaf):
+    """Best-first splits on single rows: (leaf, feature, threshold)."""
+    import numpy as np
+
+    balance = [w.sum() / (2 * w[y == c].sum()) for c in (0, 1)]
+
+    def impurity(rows):
+        a, b = w[rows & (y == 0)].sum() * balance[0], w[rows & (y == 1)].sum() * balance[1]
+        return 2 * a * b / max(a + b, 1e-300)
+
+    leaves, out = {0: np.ones(len(y), bool)}, []
+    for _ in range(max_leaves - 1):
+        best = None
+        for leaf in sorted(leaves):
+            for f in range(x.shape[1]):
+                for c in cuts[f]:
+                    left, right = leaves[leaf] & (x[:, f] < c), leaves[leaf] & (x[:, f] >= c)
+                    if min(w[left].sum(), w[right].sum()) < min_leaf:
+                        continue
+                    gain = impurity(leaves[leaf]) - impurity(left) - impurity(right)
+                    if gain > 1e-12 and (best is None or gain > best[0] + 1e-12):
+                        best = (gain, leaf, f, c, left, right)
+        if best is None:
+            break
+        _, leaf, f, c, left, right = best
+        del leaves[leaf]
+        leaves[2 * len(out) + 1], leaves[2 * len(out) + 2] = left, right
+        out.append((leaf, f, c))
+    return out, leaves
+
+
+def test_trees_of_all_replicates_equal_brute_force(spark):
+    import numpy as np
+
+    from ledgerscope.operators import trees
+
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.integers(0, 12, 900), rng.normal(size=900), rng.integers(0, 2, 900)]).astype(float)
+    y = (rng.random(900) < 0.1 + 0.4 * (x[:, 0] > 7) + 0.3 * (x[:, 1] > 0.5) * x[:, 2]).astype(int)
+    df = spark.createDataFrame([(i, r.tolist(), int(t)) for i, (r, t) in enumerate(zip(x, y))], "loan_id long, x array<double>, default_flag int").repartition(6)
+    cuts = trees.fit_cuts(df, "x", 3, 16)
+    data = trees.binned(df, "x", cuts, "loan_id", "default_flag")
+    grown = trees.grow(data, 3, 4, 6, 40)
+    leaves = {r["loan_id"]: r["leaves"] for r in trees.assigned(data, grown, 3, "loan_id").collect()}
+    for r, tree in enumerate(grown):
+        w = trees.poisson_weights(np.arange(900), r, 20260603)
+        want, groups = brute_tree(x, y, w, cuts, 6, 40)
+        assert [(s.leaf, s.feature, cuts[s.feature][s.cut]) for s in tree.splits] == want
+        assert len(tree.leaves) == len(groups) and all(leaves[i][r] == leaf for leaf, rows in groups.items() for i in np.flatnonzero(rows))
+    mean = np.mean([trees.poisson_weights(np.arange(900), r, 1).mean() for r in range(1, 20)])
+    assert abs(mean - 1) < 0.05 and len({tuple(leaves[i]) for i in leaves}) > 6
+
+
+def test_rand_index_of_many_assignments(spark):
+    from ledgerscope.operators.segments import adjusted_rand_by
+
+    rows = [(r, i % 3, (i * 7 + r) % 5 if r else i % 3) for r in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "r int, a int, b int")
+    got = {x["r"]: x["ari"] for x in adjusted_rand_by(df, "r", "a", "b").collect()}
+    assert got[0] == 1.0 and all(got[r] == adjusted_rand_index(df.filter(f"r = {r}"), "a", "b").first()["ari"] for r in range(3))
