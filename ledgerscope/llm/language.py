@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 
 BINS, SMOOTH = 1 << 16, 0.5
 FIRST_ROUNDS, ROUNDS, PENALTY, SHARPNESS = 5, 12, 4.0, 0.25
-#: A language whose share in the mixture of all languages is not above this joins no set.
-LEAST_SHARE = 0.02
 KEPT_WORDS = 300_000
 MAX_LANGUAGES = 256
 #: Characters of the texts worked on at once.
@@ -143,11 +141,18 @@ class Reader:
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         full, _ = mixture(like, starts, counts, np.ones((len(self.names), len(texts))), FIRST_ROUNDS)
         rank = np.argsort(np.argsort(-full, axis=0, kind="stable"), axis=0, kind="stable")
+        order = np.argsort(-full, axis=0, kind="stable")
         best_share, best = np.zeros_like(full), np.full(len(texts), -np.inf)
-        alive = np.arange(len(texts))
+        alive, most = np.arange(len(texts)), None
         for k in range(1, len(self.names) + 1):
-            if k > 1:
-                alive = alive[np.sort(full[:, alive], axis=0)[-k] > LEAST_SHARE]
+            # no mixture of the first k languages is likelier than each word in its likeliest one: sets that cannot win are left out unfitted
+            flat = np.arange(counts[alive].sum()) + np.repeat(starts[alive] - np.cumsum(counts[alive]) + counts[alive], counts[alive])
+            added = like[np.repeat(order[k - 1, alive], counts[alive]), flat]
+            most = added if most is None else np.maximum(most, added)
+            begin = np.concatenate([[0], np.cumsum(counts[alive])[:-1]])
+            bound = np.add.reduceat(np.log(most + np.float32(1e-30)).astype(np.float64), begin) + 1e-6 * counts[alive]
+            hope = bound - PENALTY * k * np.log(counts[alive] + 1) / 2 > best[alive]
+            most, alive = most[np.repeat(hope, counts[alive])], alive[hope]
             if not len(alive):
                 break
             begin = np.concatenate([[0], np.cumsum(counts[alive])[:-1]])
@@ -157,7 +162,9 @@ class Reader:
             value = ll - PENALTY * k * np.log(counts[alive] + 1) / 2
             better = value > best[alive]
             best[alive[better]], best_share[:, alive[better]] = value[better], share[:, better]
-            alive = alive[better]
+            most, alive = most[np.repeat(better, counts[alive])], alive[better]
+            if not len(alive):
+                break
         top = best_share.argmax(0)
         mixed = [{self.names[j]: float(s[j]) for j in np.flatnonzero(s > 0)} for s in best_share.T]
         return [self.names[j] for j in top], np.clip(best_share[top, np.arange(len(top))], 0, 1), mixed
@@ -174,7 +181,7 @@ def predict(docs: DataFrame, names: list[str], table: np.ndarray, text: str = "t
         for b in batches:
             words = [_words((t or "").lower()) for t in b]
             pred, score, mixed = ["und"] * len(b), np.zeros(len(b)), [{} for _ in range(len(b))]
-            have = [i for i, w in enumerate(words) if w and names]
+            have = [i for i, w in enumerate(words) if names and any(c.isalpha() for x in w for c in x)]
             for lo, hi in blocks([words[i] for i in have]):
                 part = have[lo:hi]
                 p, s, m = reader.infer([words[i] for i in part])

@@ -1,11 +1,13 @@
-"""Line dedup: removal of repeated runs of whole lines of LONG_WORDS words or more.
+"""Line dedup: removal of globally repeated multi-line chunks, and of all repeated runs of whole lines of LONG_WORDS words or more.
 
-A text is cut at \\n. From every line that has words the shortest run of LONG_WORDS words that begins there, and the shortest that ends
+A text is cut at \\n. A rolling hash over the hashes of the last ROLL lines chooses where a chunk ends, so boundaries move with the lines;
+chunks of several lines and LEAST_WORDS words or more are candidates. Chunks alone miss parts of passages, whose ends lie between boundaries:
+therefore from every line that has words the shortest run of LONG_WORDS words that begins there, and the shortest that ends
 there, are hashed: the borders of these runs depend on their own content alone. Any passage of whole lines with that many words is
 covered by such runs inside it (each of its lines begins one, ends one, or lies in the first or the last), so all of a repeated passage is
 found, whatever stands around it and however its words are dealt over its lines. Only lines without a word at its ends may stay.
 
-1. One pass over the texts gives (hash, row, lines) per run; those of hashes that occur more than once are kept. Of equal
+1. One pass over the texts gives (hash, row, lines) per chunk and run; those of hashes that occur more than once are kept. Of equal
    runs the one in the smallest id, then the earliest, stays; the others go. They are never paired with each other.
 2. In each text, runs to go that follow one another here and in the text that stays are joined to maximal runs.
 3. These and the lines that stay for them are fetched, and a run goes only if its text equals theirs: the comparison of bytes.
@@ -37,7 +39,7 @@ MOST_LINES = 16
 
 
 def chunks_of(text: str) -> Iterator[tuple[int, int, bool]]:
-    """(first line, line after the last, removable) of each content-defined chunk, in order, covering every line. Removal does not depend on it."""
+    """(first line, line after the last, removable) of each content-defined chunk, in order, covering every line."""
     lines = text.split("\n")
     first = words = rolling = 0
     for i, line in enumerate(lines):
@@ -74,15 +76,20 @@ def runs_of(text: str) -> list[tuple[int, int]]:
     return sorted(found.union(zip(own[starts[end]].tolist(), (own[end] + 1).tolist(), strict=True)))
 
 
+def candidates_of(text: str) -> list[tuple[int, int]]:
+    """The removable chunks and the shortest runs of LONG_WORDS words."""
+    return sorted({(lo, hi) for lo, hi, removable in chunks_of(text) if removable}.union(runs_of(text)))
+
+
 def hashed(rows: DataFrame) -> DataFrame:
-    """(hash, _key, _id, lo, hi) of the runs of rows (_key, _id, _text)."""
+    """(hash, _key, _id, lo, hi) of the chunks and runs of rows (_key, _id, _text)."""
 
     @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for key, id_, text in zip(b["_key"], b["_id"], b["_text"], strict=True):
-                spans = runs_of(text)
+                spans = candidates_of(text)
                 if not spans:
                     continue
                 lines = [line.encode("utf-8", "surrogatepass") for line in text.split("\n")]

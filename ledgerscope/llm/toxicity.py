@@ -352,11 +352,11 @@ def sample_windows(docs: DataFrame, labels: DataFrame, learn: Column, key: str =
             yield pd.DataFrame(out, columns=["turn", "label", "window"])
 
     # ids: at most SAMPLE_TOXIC + SAMPLE_CLEAN rows
-    texts = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(ids), key)
-    limit = (SAMPLE_TOXIC + SAMPLE_CLEAN) * 2
-    texts = texts.withColumn("_hash", F.xxhash64("_text")).orderBy("_turn", "_hash").limit(limit).select("_turn", "_label", "_hash", "_text")
-    texts = settle(texts.dropDuplicates(["_turn", "_hash"]))
-    long = texts.filter("_label = 1").select("_turn", "_hash", word_count("_text").alias("n")).collect()  # at most limit rows
+    texts = docs.select(key, F.col(text).alias("_text")).filter(F.col("_text").rlike(WORD)).join(F.broadcast(ids), key)
+    # of an id with several texts the one with the smallest hash, whichever rows repeat
+    texts = texts.groupBy("_turn", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("_hash"), "_text")).alias("t"))
+    texts = settle(texts.select("_turn", "_label", "t._hash", "t._text"))
+    long = texts.filter("_label = 1").select("_turn", "_hash", word_count("_text").alias("n")).collect()  # a row per id of the sample
     room = toxic_room({(r["_turn"], r["_hash"]): len(window_starts(r["n"])) for r in long}, SAMPLE_TOXIC_WINDOWS)
     return texts.mapInPandas(cut, "turn string, label int, window string")
 

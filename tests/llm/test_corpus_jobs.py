@@ -136,8 +136,8 @@ def test_line_dedup_removes_whole_passages_of_short_lines(documents, n_lines, n_
 
 
 def covered(rows, least=line_dedup.LONG_WORDS):
-    """Lines of each text that lie in a run of lines, of least words, that an earlier text or place has."""
-    seen, out = set(), {}
+    """Lines of each text that lie in a run of lines, of least words, that an earlier text or place has, or in such a chunk."""
+    seen, out, chunks = set(), {}, set()
     for d, t in rows:
         lines, gone = t.split("\n"), set()
         for hi in range(1, len(lines) + 1):
@@ -146,6 +146,11 @@ def covered(rows, least=line_dedup.LONG_WORDS):
                 if len(words_of(" ".join(run))) >= least:
                     if run in seen:
                         gone |= set(range(lo, hi))
+        for lo, hi, removable in line_dedup.chunks_of(t):
+            if removable and tuple(lines[lo:hi]) in chunks:
+                gone |= set(range(lo, hi))
+            elif removable:
+                chunks.add(tuple(lines[lo:hi]))
         for hi in range(1, len(lines) + 1):
             seen |= {tuple(lines[lo:hi]) for lo in range(hi)}
         out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
@@ -166,6 +171,21 @@ def test_line_dedup_against_brute_force(documents):
     assert got == covered(rows) and sum(n > 0 for _, n in got.values()) > 20
 
 
+def test_line_dedup_removes_repeated_chunks_of_few_words(documents):
+    """Passages of 16 to 48 words: what lies between content-defined boundaries inside the passage goes, nothing else."""
+    rng = np.random.default_rng(12)
+    rows, passages = [], {}
+    for i in range(40):
+        passages[i] = [f"q{i}x{j} {prose(5, rng)}" for j in range(8)]
+        for d in (2 * i, 2 * i + 1):
+            rows.append((d, "\n".join([f"a{d} {prose(6, rng)}", *passages[i], f"z{d} {prose(6, rng)}"])))
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(documents(*rows)).collect()}
+    assert got == covered(rows)
+    found = [got[2 * i + 1][1] for i in range(40)]
+    assert all(got[2 * i][1] == 0 for i in range(40)) and sum(n > 0 for n in found) >= 20
+    assert all(f"a{d} " in got[d][0] and f"z{d} " in got[d][0] for d, _ in rows)
+
+
 def test_line_dedup_keeps_the_first_place_of_a_run_that_overlaps_itself(documents):
     line = prose(10)
     rows = [(1, "\n".join([line] * 40)), (2, f"x\n{line}\n{line}"), (3, f"y\n\n{chr(10).join([line, ''] * 5)}z")]
