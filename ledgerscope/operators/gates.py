@@ -385,7 +385,7 @@ def score_gate(
         ratio(default_share(F.col("decile") == 9), default_share(F.lit(True))).alias("lift")
     )
     audit = leakage(test, latent, score).select(F.col("corr").alias("no_leakage"))
-    width = scoring.bootstrap_auc(operating, score, "label", replicates).select((F.col("hi") - F.col("lo")).alias("stable"))
+    width = scoring.bootstrap_auc(operating, score, "label", decile_order, replicates).select((F.col("hi") - F.col("lo")).alias("stable"))
     checks = {
         "lead_time": ("score", True, ">=", P.SCORE_GATE["lead_time"], "mean lead at the top 10 % >= 30 days"),
         "oot_auc": ("score", True, ">=", P.SCORE_GATE["oot_auc"], "AUC on current loans >= 0.70"),
@@ -409,12 +409,36 @@ def leakage(scored: DataFrame, latent: DataFrame, score: str) -> DataFrame:
     ).withColumn("n_forbidden", F.lit(len(hidden))).withColumn("clean", (F.col("corr") < 0) & (F.col("n_forbidden") == 0))
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and order-free hash sum of a table; equal tables have equal fingerprints."""
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("hash_sum"),
-    )
+def fingerprint(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Row count and order-free sums of row hashes of a table, or of each of its parts; equal tables have equal fingerprints.
+
+    A row is written as length:value per column, in the order of their names (- if null, doubles at 6 digits), and hashed by md5; the sums of the
+    two halves of 60 bits count repeated rows as often as they occur. Any engine with md5 gets the same numbers.
+    """
+    def text(c: str) -> Column:
+        kind = df.schema[c].dataType.simpleString()
+        value = (F.col(c).cast("decimal(30,6)") if kind in ("double", "float") else F.col(c)).cast("string")
+        return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+    digest = F.md5(F.concat_ws(",", *[text(c) for c in sorted(df.columns)]))
+    halves = {f"sum_{i}": F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in (0, 1)}
+    rows = df.select(*(by or []), *[v.alias(n) for n, v in halves.items()])
+    sums = [F.sum(F.col(n).cast("decimal(38,0)")).cast("string").alias(n) for n in halves]
+    return rows.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n_rows"), *sums)
+
+
+def run_difference(stored: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
+    """Per part: rows of the stored run and of the new one, and whether their fingerprints are equal."""
+    a, b = (fingerprint(df, by).withColumnsRenamed({c: f"_{side}_{c}" for c in [*by, "n_rows", "sum_0", "sum_1"]}) for side, df in (("old", stored), ("new", new)))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"_old_{c}").eqNullSafe(F.col(f"_new_{c}"))
+    equal = F.lit(True)
+    for c in ("n_rows", "sum_0", "sum_1"):
+        equal = equal & F.col(f"_old_{c}").eqNullSafe(F.col(f"_new_{c}"))
+    return a.join(b, same, "full").select(
+        *[F.coalesce(f"_old_{c}", f"_new_{c}").alias(c) for c in by],
+        F.coalesce("_old_n_rows", F.lit(0)).alias("n_stored"), F.coalesce("_new_n_rows", F.lit(0)).alias("n_new"), equal.alias("equal"))
 
 
 def max_difference(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:

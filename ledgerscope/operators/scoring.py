@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope import params as P
 from ledgerscope.functions.numeric import half_even, mean, rate, ratio
 from ledgerscope.operators import ranks
-from ledgerscope.operators.segments import resampled_cells
+from ledgerscope.sources.scratch import settle
 
 
 def by_population(test: DataFrame, score: str, label: str = "label") -> DataFrame:
@@ -74,13 +80,79 @@ def coincidence(df: DataFrame, score: str, order: list[str], share: float = 0.01
     )
 
 
-def bootstrap_auc(df: DataFrame, score: str, label: str, replicates: int = 200, seed: int = 20260603) -> DataFrame:
-    """95 % interval of the AUC. Replicates re-weight the summed (score, label) cells, not the rows."""
-    cells = df.groupBy(score, label).agg(F.count(F.lit(1)).alias("n"))
-    drawn = resampled_cells(cells, [score, label], "n", replicates, seed)
-    per = ranks.discrimination(drawn, score, label, ["replicate"], F.col("weight")).filter(F.col("auc").isNotNull())
+#: Poisson(1) weight of a 32-bit draw: how many of these bounds it reaches. Beyond the last lies less than one draw.
+POISSON_BOUNDS = [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**32) for k in range(13)]
+DRAWS_PER_HASH = 4
+#: Rows of one score in a batch from which they travel summed.
+SUMMED_FROM = 16
+
+
+def replicate_weights(keys: list[str], replicates: int, seed: int) -> np.ndarray:
+    """(keys, replicates) Poisson(1) weights. Draw r of a key is the r % 4th 32-bit piece of md5(seed:key:r div 4)."""
+    hashes = -(-replicates // DRAWS_PER_HASH)
+    digests = b"".join(hashlib.md5(f"{seed}:{k}:{i}".encode()).digest() for k in keys for i in range(hashes))
+    draws = np.frombuffer(digests, ">u4").reshape(len(keys), hashes * DRAWS_PER_HASH)[:, :replicates]
+    return np.searchsorted(np.array(POISSON_BOUNDS), draws.astype(np.int64), side="right")
+
+
+def replicate_auc(df: DataFrame, score: str, label: str, key: list[str], replicates: int = 200, seed: int = 20260603) -> DataFrame:
+    """(replicate, auc): tie-averaged AUC on Poisson resamples of the rows, replicates without both labels left out.
+
+    Rows never multiply by the replicates. They are dealt into ranges of the score; a task keeps running sums of the weights of all
+    replicates and returns one row with its wins and totals, to which the totals of the lower ranges are then added. Rows of one score stand in one
+    range, so where a batch holds many of them they are summed before they travel. Rows without a score are left out.
+    """
+    rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).select(
+        F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y"), F.concat_ws(":", *[F.col(k).cast("string") for k in key]).alias("k"))
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            many = b.groupby("s")["s"].transform("size") >= SUMMED_FROM
+            yield b[~many].assign(w=None)
+            out = []
+            for (s, y), part in b[many].groupby(["s", "y"]):
+                w = sum(replicate_weights(part["k"].iloc[lo : lo + 1000].tolist(), replicates, seed).sum(0) for lo in range(0, len(part), 1000))
+                out.append((s, y, None, w.astype(np.int64).tobytes()))
+            if out:
+                yield pd.DataFrame(out, columns=["s", "y", "k", "w"])
+
+    def wins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, own, before, total, won = None, np.zeros((2, replicates)), np.zeros(replicates), np.zeros((2, replicates)), np.zeros(replicates)
+        part = None
+        for b in batches:
+            for lo in range(0, len(b), 2000):
+                c = b.iloc[lo : lo + 2000]
+                w = np.zeros((len(c), replicates))
+                raw = c["w"].isna().to_numpy()
+                if raw.any():
+                    w[raw] = replicate_weights(c["k"][raw].tolist(), replicates, seed)
+                for i in np.flatnonzero(~raw):
+                    w[i] = np.frombuffer(c["w"].iloc[i], np.int64)
+                part = int(c["part"].iloc[0])
+                for i, (s, y) in enumerate(zip(c["s"], c["y"], strict=True)):
+                    if s != at:
+                        won += own[1] * (2 * before + own[0])
+                        before, total = before + own[0], total + own
+                        at, own = s, np.zeros((2, replicates))
+                    own[y] += w[i]
+        if part is not None:
+            won += own[1] * (2 * before + own[0])
+            total = total + own
+            yield pd.DataFrame({"part": part, "replicate": np.arange(replicates), "won": won, "p": total[1], "q": total[0]})
+
+    dealt = rows.mapInPandas(summed, "s double, y int, k string, w binary").repartitionByRange("s").sortWithinPartitions("s")
+    ranges = dealt.withColumn("part", F.spark_partition_id()).mapInPandas(wins, "part int, replicate int, won double, p double, q double")
+    lower = Window.partitionBy("replicate").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    whole = ranges.withColumn("won", F.col("won") + 2 * F.col("p") * F.coalesce(F.sum("q").over(lower), F.lit(0.0)))
+    sums = whole.groupBy("replicate").agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    return sums.filter("p > 0 and q > 0").select("replicate", half_even(F.col("won") / (2 * F.col("p") * F.col("q")), 6).alias("auc"))
+
+
+def bootstrap_auc(df: DataFrame, score: str, label: str, key: list[str], replicates: int = 200, seed: int = 20260603) -> DataFrame:
+    """Mean and 95 % interval of the AUC over resamples of the rows."""
+    per = settle(replicate_auc(df, score, label, key, replicates, seed))
     ends = ranks.quantiles(per, F.col("auc"), [0.025, 0.975])
-    return per.agg(F.count(F.lit(1)).alias("replicates"), half_even(F.avg("auc"), 6).alias("mean_auc")).join(
+    return per.agg(F.count(F.lit(1)).alias("replicates"), half_even(F.sum(F.col("auc").cast("decimal(18,6)")).cast("double") / F.count(F.lit(1)), 6).alias("mean_auc")).join(
         ends.select(half_even("q0", 6).alias("lo"), half_even("q1", 6).alias("hi")).withColumn("_k", F.lit(1)),
         F.lit(1) == F.col("_k"),
     ).drop("_k")

@@ -10,6 +10,7 @@ from ledgerscope.plans import lever_queries  # noqa: F401  (lever_frame view)
 from ledgerscope.plans import sql as S
 from ledgerscope.plans import warning_queries as W
 from ledgerscope.plans.registry import register
+from ledgerscope.sources.scratch import settle
 
 
 
@@ -160,10 +161,19 @@ register(
 )
 register(
     "q12_rerun_difference",
-    lambda b: G.max_difference(b.loans, type(b)(b.spark, b.folder).loans, "loan_id", ["value_proxy", "nii", "months_on_book"]),
+    lambda b: G.max_difference(settle(b.loans), type(b)(b.spark, b.folder).loans, "loan_id", ["value_proxy", "nii", "months_on_book"]),
     "loans", "SELECT CAST(0 AS BIGINT) AS n_unmatched, 0e0 AS diff_value_proxy, 0e0 AS diff_nii, 0e0 AS diff_months_on_book FROM loans HAVING count(*) > 0",
 )
-register("q12_fingerprint", lambda b: G.fingerprint(b.loans))
+LOAN_COLUMNS = ["loan_id", "customer_id", "product_type", "ticket_size", "interest_rate_apr", "months_on_book", "default_flag", "value_proxy"]
+_text = lambda c: f"coalesce(concat(length({c}), ':', {c}), '-')"
+_digest = "md5(concat_ws(',', " + ", ".join(
+    _text("CAST(CAST(interest_rate_apr AS DECIMAL(30,6)) AS VARCHAR)" if c == "interest_rate_apr" else f"CAST({c} AS VARCHAR)") for c in sorted(LOAN_COLUMNS)) + "))"
+_halves = ", ".join(f"CAST(sum(CAST(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS sum_{i}" for i in (0, 1))
+register("q12_fingerprint", lambda b: G.fingerprint(b.loans.select(*LOAN_COLUMNS), ["product_type"]), "loans",
+         f"SELECT product_type, count(*) AS n_rows, {_halves} FROM (SELECT product_type, {_digest} AS h FROM loans) GROUP BY 1")
+register("q12_stored_run", lambda b: G.run_difference(
+    settle(b.loans.select(*LOAN_COLUMNS)), type(b)(b.spark, b.folder).loans.select(*LOAN_COLUMNS).repartition(7, "customer_id"), ["product_type"]), "loans",
+    "SELECT product_type, count(*) AS n_stored, count(*) AS n_new, true AS equal FROM loans GROUP BY 1")
 _other = [c for c in P.CHANNELS if c not in P.LEVER_CHANNELS]
 _chm = ", ".join(_mean_if("value_proxy", f"product_type = 'BNPL' AND acquisition_channel = '{c}'") for c in _other)
 register(

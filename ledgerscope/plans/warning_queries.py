@@ -269,7 +269,19 @@ register(
 _prio = ", ".join(S.lit(s) for s in P.PRIORITY_SEGMENTS)
 register("m18_by_priority_segment", lambda b: scoring.by_segment(b.test_rows, "score"), "test_rows",
          disc_sql("SELECT *, label AS y FROM test_rows", "segment", f"dpd_current < 30 AND segment IN ({_prio})"))
-register("m19_bootstrap_auc", lambda b: scoring.bootstrap_auc(b.test_rows.filter(F.col("dpd_current") < 30), "score", "label", 200))
+_resampled = f"""
+r AS (SELECT score, label, CAST(loan_id AS VARCHAR) || ':' || CAST(months_on_book AS VARCHAR) AS k, unnest(generate_series(0, 199)) AS replicate FROM test_rows WHERE dpd_current < 30),
+v AS (SELECT score, label, replicate, CAST('0x' || substr(md5('20260603:' || k || ':' || CAST(replicate // 4 AS VARCHAR)), CAST(replicate % 4 * 8 + 1 AS INT), 8) AS BIGINT) AS v FROM r),
+c AS (SELECT replicate, score, coalesce(sum(w) FILTER (label = 1), 0) AS p, coalesce(sum(w) FILTER (label = 0), 0) AS q
+      FROM (SELECT *, {' + '.join(f'CAST(v >= {b} AS INT)' for b in scoring.POISSON_BOUNDS)} AS w FROM v) GROUP BY 1, 2),
+t AS (SELECT replicate, p, q, coalesce(sum(q) OVER (PARTITION BY replicate ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
+a AS (SELECT replicate, {S.he('CAST(sum(p * (2 * below + q)) AS DOUBLE) / (2e0 * sum(p) * sum(q))', 6)} AS auc FROM t GROUP BY 1 HAVING sum(p) > 0 AND sum(q) > 0)"""
+_operating = lambda b: b.test_rows.filter(F.col("dpd_current") < 30)
+register("m19_replicate_auc", lambda b: scoring.replicate_auc(_operating(b), "score", "label", ["loan_id", "months_on_book"], 200), "test_rows",
+         f"SELECT * FROM (WITH {_resampled} SELECT CAST(replicate AS INT) AS replicate, auc FROM a)")
+register("m19_bootstrap_auc", lambda b: scoring.bootstrap_auc(_operating(b), "score", "label", ["loan_id", "months_on_book"], 200), "test_rows",
+         f"""SELECT * FROM (WITH {_resampled} SELECT count(*) AS replicates, {S.he(S.ratio(S.total('auc', 6), 'count(*)'), 6)} AS mean_auc,
+         {S.he('quantile_cont(auc, 0.025)', 6)} AS lo, {S.he('quantile_cont(auc, 0.975)', 6)} AS hi FROM a)""")
 register(
     "m20_calibration", lambda b: scoring.calibration(b.test_rows, ["score"]), "test_rows",
     f"SELECT 'score' AS score, count(*) AS n, {S.he(S.mean('test_rows.score', 6), 6)} AS mean_predicted, {S.he(S.rate('label = 1'), 6)} AS actual FROM test_rows",

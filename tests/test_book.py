@@ -121,6 +121,16 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     a = spark.range(100).withColumn("v", F.col("id") * 2)
     assert gates.fingerprint(a).first() == gates.fingerprint(a.repartition(5).orderBy(F.desc("id"))).first()
     assert gates.fingerprint(a).first() != gates.fingerprint(a.withColumn("v", F.col("v") + (F.col("id") == 7).cast("int"))).first()
+    assert gates.fingerprint(a).first() != gates.fingerprint(a.unionByName(a.limit(1))).first()
+
+
+def test_a_changed_value_in_the_stored_run_is_found(spark):
+    new = spark.createDataFrame([(i, i % 3 if i % 5 else None, float(i) / 7) for i in range(60)], "id long, g long, v double")
+    same = {r["g"]: r["equal"] for r in gates.run_difference(new.repartition(9), new, ["g"]).collect()}
+    assert same == {0: True, 1: True, 2: True, None: True}
+    stored = new.withColumn("v", F.when(F.col("id") == 7, F.col("v") + 1e-5).otherwise(F.col("v"))).filter("id != 11")
+    got = {r["g"]: (r["n_stored"], r["n_new"], r["equal"]) for r in gates.run_difference(stored, new, ["g"]).collect()}
+    assert got[0][2] and got[None][2] and not got[1][2] and got[2] == (got[2][1] - 1, got[2][1], False)
 
 
 def test_contiguity_sees_gaps_and_repeats(spark):

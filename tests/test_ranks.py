@@ -119,8 +119,22 @@ def test_poisson_draw_has_the_right_mean_and_variance():
         assert k.var() == pytest.approx(lam, rel=0.02)
 
 
+def test_replicate_auc_equals_weighted_brute_force(spark, data):
+    keys = data.id.astype(str).tolist()
+    w = scoring.replicate_weights(keys, 30, 7)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05
+    half = data.copy()
+    half["s"] = [0.5 if i % 2 else v for i, v in enumerate(np.random.default_rng(2).random(len(data)))]  # half on one score, the rest unrounded
+    for d in (data, half):
+        got = {r["replicate"]: r["auc"] for r in scoring.replicate_auc(spark.createDataFrame(d).repartition(5), "s", "y", ["id"], 30, 7).collect()}
+        for r in range(30):
+            again = d.loc[np.repeat(np.arange(len(d)), w[:, r])]
+            assert got[r] == pytest.approx(brute_auc(again), abs=1e-6)
+    assert scoring.replicate_auc(spark.createDataFrame([(1, 0.1, 0), (2, None, 1)], "id int, s double, y int"), "s", "y", ["id"], 5).count() == 0
+
+
 def test_bootstrap_interval_covers_the_point_estimate(spark, data):
     df = spark.createDataFrame(data)
-    r = scoring.bootstrap_auc(df, "s", "y", 60).first()
+    r = scoring.bootstrap_auc(df, "s", "y", ["id"], 60).first()
     assert r["replicates"] == 60 and r["lo"] < brute_auc(data) < r["hi"]
-    assert r == scoring.bootstrap_auc(df.repartition(7), "s", "y", 60).first()
+    assert r == scoring.bootstrap_auc(df.repartition(7), "s", "y", ["id"], 60).first()
