@@ -283,12 +283,23 @@ def fold_of(key: str, folds: int = 5) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(folds)).cast("int")
 
 
+def grouped_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
+    """(group, _fold): groups dealt to folds largest first, to and fro, so that folds differ by less than the largest group."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    turn = F.col("rank") - 1
+    place = turn % folds
+    back = F.expr(f"((rank - 1) div {folds}) % 2 = 1")
+    return ranks.global_rank(sizes, "_n", [group], descending=True).select(group, F.when(back, folds - 1 - place).otherwise(place).cast("int").alias("_fold"))
+
+
 def calibrate_scorecard(train: DataFrame, group: str = "loan_id", label: str = "label", folds: int = 5):
     """Scorecard on all rows, an isotonic map fitted to out-of-fold scores, and those scores summed.
 
-    Whole groups share a fold. Bins and counts of all fits come from one ranking and one count.
+    Whole groups share a fold, and folds are of nearly equal size. Bins and counts of all fits come from one ranking and one count.
     """
-    fold = fold_of(group, folds)
+    kept = train.columns
+    train = settle(train.join(grouped_folds(train, group, folds), group).select(*kept, "_fold"))
+    fold = F.col("_fold")
     left_out = [fold == k for k in range(folds)] + [F.lit(False)]
     bins = fit_bins_without(train, left_out)
     counts = bin_counts_without(train, left_out, bins, label).collect()

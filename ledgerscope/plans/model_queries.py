@@ -279,3 +279,13 @@ def _tree_stability(b):
 
 register("m22_tree_stability", _tree_stability)
 register("m22_cluster_stability", lambda b: M.cluster_stability(features_of(b), 4, 2, 5))
+
+
+def _folds(b):
+    train = settle(train_rows(b).select("loan_id"))
+    dealt = train.join(M.grouped_folds(train, "loan_id"), "loan_id")
+    return dealt.groupBy(F.col("_fold").alias("fold")).agg(F.count_distinct("loan_id").alias("n_loans"), F.count(F.lit(1)).alias("n_rows"))
+
+
+register("m12_grouped_folds", _folds, "scored", f"""SELECT CAST(CASE WHEN (r // 5) % 2 = 1 THEN 4 - r % 5 ELSE r % 5 END AS INT) AS fold, count(*) AS n_loans, CAST(sum(n) AS BIGINT) AS n_rows
+  FROM (SELECT n, row_number() OVER (ORDER BY n DESC, loan_id) - 1 AS r FROM (SELECT loan_id, count(*) AS n FROM {TRAIN} GROUP BY 1)) GROUP BY 1""")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.numeric import half_even
-from ledgerscope.operators import frames, warning
+from ledgerscope.operators import frames, models, warning
 from ledgerscope.plans.sql_frames import STAND_IN
 from ledgerscope.sources import views as V
 from ledgerscope.sources.scratch import settle
@@ -82,3 +82,21 @@ class Pipeline(V.Book):
     @cached_property
     def test_rows(self) -> DataFrame:
         return self.scored.filter(F.col("split_oot") == "test")
+
+
+class Calibrated(Pipeline):
+    """The same chains on the calibrated scorecard instead of the stand-in formula."""
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """The score table: every labelled row with its split and score, fitted on the training rows and written once."""
+        split = warning.out_of_time(F.col("obs_month"), V.TEST_FROM, V.LAST_FULL_WINDOW)
+        rows = settle(self.matrix.withColumn("split_oot", split))
+        card, iso, _ = models.calibrate_scorecard(rows.filter(F.col("split_oot") == "train"))
+        return settle(models.apply_calibration(iso, models.predict_scorecard(card, rows, "_raw"), "_raw", "score").drop("_raw"))
+
+    @cached_property
+    def challenger(self) -> DataFrame:
+        """The score table with the boosted challenger's score beside it."""
+        model = models.fit_boosted(self.scored.filter(F.col("split_oot") == "train"))
+        return models.predict_boosted(model, self.scored, "score_challenger")
