@@ -84,12 +84,22 @@ class Pipeline(V.Book):
         return self.scored.filter(F.col("split_oot") == "test")
 
 
+#: Score tables written by this application, by its id and the data folder.
+_score_tables: dict[tuple[str, str], DataFrame] = {}
+
+
 class Calibrated(Pipeline):
     """The same chains on the calibrated scorecard instead of the stand-in formula."""
 
     @cached_property
     def scored(self) -> DataFrame:
-        """The score table: every labelled row with its split and score, fitted on the training rows and written once."""
+        """The score table: every labelled row with its split and score, fitted on the training rows and written once per application and folder."""
+        at = self.spark.sparkContext.applicationId, self.folder
+        if at not in _score_tables:
+            _score_tables[at] = self.score_table()
+        return _score_tables[at]
+
+    def score_table(self) -> DataFrame:
         split = warning.out_of_time(F.col("obs_month"), V.TEST_FROM, V.LAST_FULL_WINDOW)
         rows = settle(self.matrix.withColumn("split_oot", split))
         card, iso, _ = models.calibrate_scorecard(rows.filter(F.col("split_oot") == "train"))
