@@ -9,7 +9,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from ledgerscope import params as P
 from ledgerscope.functions.bands import grade_rank
 from ledgerscope.functions.numeric import half_even, ratio
-from ledgerscope.operators import ranks, trees
+from ledgerscope.operators import boosting, ranks, trees
 from ledgerscope.operators.segments import adjusted_rand_by, adjusted_rand_index
 from ledgerscope.sources.scratch import settle
 
@@ -259,24 +258,27 @@ def scorecard_audit(spark, card: Scorecard) -> DataFrame:
 # ---------------------------------------------------------------- challenger and calibration
 
 
-def fit_boosted(train: DataFrame, label: str = "label", features: list[str] = P.FEATURES, trees: int = 20, seed: int = 20260603):
-    data = assemble(train, features).select("features", F.col(label).cast("double").alias("_y"))
-    return GBTClassifier(
-        featuresCol="features", labelCol="_y", maxIter=trees, maxDepth=4, stepSize=0.1,
-        minInstancesPerNode=200, subsamplingRate=0.8, seed=seed,
-    ).fit(data)
+def boosted_models(train: DataFrame, group: str, label: str, features: list[str], part: str | None = None, n_parts: int = 0, **how) -> list[boosting.Boosted]:
+    """Monotone boosted models; a tenth of the groups, by hash, decides when they stop."""
+    held = F.pmod(F.xxhash64(F.lit("stop"), F.col(group)), F.lit(10)) == 0
+    return boosting.boost(train, F.xxhash64(group, *features), label, features, part=part, n_parts=n_parts, valid=held, **how)
 
 
-def predict_boosted(model, df: DataFrame, name: str, features: list[str] = P.FEATURES) -> DataFrame:
-    scored = model.transform(assemble(df, features))
-    return scored.withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+def fit_boosted(train: DataFrame, group: str = "loan_id", label: str = "label", features: list[str] = P.FEATURES, **how) -> boosting.Boosted:
+    return boosted_models(train, group, label, features, **how)[0]
 
 
-def assemble(df: DataFrame, features: list[str], name: str = "features") -> DataFrame:
-    doubles = df.select("*", *[F.col(f).cast("double").alias(f"_d_{f}") for f in features])
-    return VectorAssembler(inputCols=[f"_d_{f}" for f in features], outputCol=name).transform(doubles).drop(
-        *[f"_d_{f}" for f in features]
-    )
+def calibrate_boosted(train: DataFrame, group: str = "loan_id", label: str = "label", features: list[str] = P.FEATURES, folds: int = 5, **how):
+    """The challenger on all rows, an isotonic map fitted to out-of-fold scores, and those scores summed. The models of all folds grow in the same scans."""
+    train = settle(train.join(grouped_folds(train, group, folds), group).select(group, label, "_fold", *features))
+    fitted = boosted_models(train, group, label, features, "_fold", folds, **how)
+    parts = [train.filter(F.col("_fold") == k).select(boosting.probability(m).alias("_raw"), label) for k, m in enumerate(fitted[:-1])]
+    summed = sum_scores(functools.reduce(DataFrame.unionByName, parts), label)
+    return fitted[-1], fit_isotonic(summed), summed
+
+
+def predict_boosted(model: boosting.Boosted, df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, boosting.probability(model))
 
 
 def fold_of(key: str, folds: int = 5) -> Column:
@@ -326,18 +328,6 @@ def fit_isotonic(summed: DataFrame):
     return IsotonicRegression(featuresCol="_raw", labelCol="_y", weightCol="_w").fit(summed)
 
 
-def calibrate(train: DataFrame, fit, predict, group: str = "loan_id", label: str = "label", folds: int = 5):
-    """The same for any model given by a fit and a predict function."""
-    tagged = train.withColumn("_fold", fold_of(group, folds))
-    parts = None
-    for k in range(folds):
-        model = fit(tagged.filter(F.col("_fold") != k))
-        part = predict(model, tagged.filter(F.col("_fold") == k), "_raw").select("_raw", label)
-        parts = part if parts is None else parts.unionByName(part)
-    summed = sum_scores(parts, label)
-    return fit(train), fit_isotonic(summed), summed
-
-
 def apply_calibration(iso, df: DataFrame, raw: str, name: str) -> DataFrame:
     iso = iso.copy({iso.featuresCol: raw, iso.predictionCol: name})
     return iso.transform(df).withColumn(name, half_even(F.least(F.greatest(F.col(name), F.lit(0.0)), F.lit(1.0)), 6))

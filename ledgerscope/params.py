@@ -108,6 +108,13 @@ WOE_SMOOTHING = 0.5
 TREE_LEAVES = 6
 TREE_MIN_LEAF = 1000
 TREE_REFITS = 25
+# boosted challenger
+BOOST_TREES = 400
+BOOST_RATE = 0.03
+BOOST_LEAVES = 31
+BOOST_MIN_LEAF = 200
+BOOST_SHARE = 0.8
+BOOST_PATIENCE = 20
 
 # band capacity per month and unit costs
 RED_CAPACITY = 500
