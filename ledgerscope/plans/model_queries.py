@@ -13,7 +13,6 @@ from ledgerscope.operators import models as M
 from ledgerscope.operators import boosting, ranks, scoring, segments, trees
 from ledgerscope.plans import sql as S
 from ledgerscope.plans import warning_queries  # noqa: F401  (scored views)
-from ledgerscope.plans.pipeline import SHORT
 from ledgerscope.plans.registry import register
 from ledgerscope.sources.scratch import settle
 
@@ -242,28 +241,18 @@ register("m10_logistic_coefficients", _coefficients)
 
 
 def _boosted(b):
-    data = settle(b.scored)
-    model, iso, _ = M.calibrate_boosted(data.filter(F.col("split_oot") == "train"), **SHORT)
-    test = M.predict_boosted(model, data.filter(F.col("split_oot") == "test"), "raw")
+    model, iso = b.boosted
+    test = M.predict_boosted(model, b.test_rows, "raw")
     return scoring.by_population(settle(M.apply_calibration(iso, test, "raw", "gbm").drop("raw")), "gbm")
 
 
 register("m11_boosted_challenger", _boosted)
-
-
-def _steps(b):
-    data = settle(b.scored)
-    return boosting.steps_against(data.filter(F.col("split_oot") == "test"), M.fit_boosted(data.filter(F.col("split_oot") == "train"), **SHORT))
-
-
-register("m11_monotone_steps", _steps)
+register("m11_monotone_steps", lambda b: boosting.steps_against(b.test_rows, b.boosted[0]))
 
 
 def _monotone(b):
-    data = settle(b.scored)
-    train = data.filter(F.col("split_oot") == "train")
-    scored = M.predict_boosted(M.fit_boosted(train, **SHORT), data.filter(F.col("split_oot") == "test"), "gbm")
-    return M.monotonicity_audit(scored, "gbm", M.fit_bins(train))
+    train = settle(train_rows(b))
+    return M.monotonicity_audit(M.predict_boosted(b.boosted[0], b.test_rows, "gbm"), "gbm", M.fit_bins(train))
 
 
 register("m13_monotonicity_audit", _monotone)

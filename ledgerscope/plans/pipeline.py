@@ -22,6 +22,11 @@ def stand_in_score() -> Column:
         z = z + F.lit(w) * F.col(f).cast("double")
     return half_even(F.least(F.greatest(z, F.lit(0.0)), F.lit(1.0)), 4)
 
+#: The challenger of the registered queries: fewer, larger steps than the defaults.
+SHORT = {"trees": 40, "rate": 0.1, "leaves": 15, "patience": 5}
+#: Fitted challengers by application and data folder; a model is some hundred numbers per tree.
+_challengers: dict[tuple[str, str], tuple] = {}
+
 
 class Pipeline(V.Book):
     # written once, for jobs that read the same table many times
@@ -79,14 +84,19 @@ class Pipeline(V.Book):
         split = warning.out_of_time(F.col("obs_month"), V.TEST_FROM, V.LAST_FULL_WINDOW)
         return self.matrix.withColumn("score", stand_in_score()).withColumn("split_oot", split)
 
+    @cached_property
+    def boosted(self) -> tuple:
+        """The monotone challenger of the training rows and its calibration, fitted once per application and folder."""
+        at = self.spark.sparkContext.applicationId, self.folder
+        if at not in _challengers:
+            _challengers[at] = models.calibrate_boosted(self.scored.filter(F.col("split_oot") == "train"), **SHORT)[:2]
+        return _challengers[at]
+
     @cached_property
     def test_rows(self) -> DataFrame:
         return self.scored.filter(F.col("split_oot") == "test")
 
 
-#: The challenger of the registered queries: fewer, larger steps than the defaults.
-SHORT = {"trees": 40, "rate": 0.1, "leaves": 15, "patience": 5}
-
 #: Score tables written by this application, by its id and the data folder.
 _score_tables: dict[tuple[str, str], DataFrame] = {}
 
@@ -111,5 +121,5 @@ class Calibrated(Pipeline):
     @cached_property
     def challenger(self) -> DataFrame:
         """The score table with the boosted challenger's score beside it."""
-        model, iso, _ = models.calibrate_boosted(self.scored.filter(F.col("split_oot") == "train"), **SHORT)
+        model, iso = self.boosted
         return models.apply_calibration(iso, models.predict_boosted(model, self.scored, "_raw"), "_raw", "score_challenger").drop("_raw")
