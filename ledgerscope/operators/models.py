@@ -9,7 +9,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, IsotonicRegression
@@ -19,8 +18,8 @@ from pyspark.sql import functions as F
 from ledgerscope import params as P
 from ledgerscope.functions.bands import grade_rank
 from ledgerscope.functions.numeric import half_even, ratio
-from ledgerscope.operators import boosting, ranks, trees
-from ledgerscope.operators.segments import adjusted_rand_by, adjusted_rand_index
+from ledgerscope.operators import boosting, prototypes, ranks, trees
+from ledgerscope.operators.segments import adjusted_rand_by
 from ledgerscope.sources.scratch import settle
 
 # ---------------------------------------------------------------- WOE scorecard
@@ -478,103 +477,26 @@ def mixed_features(customers: DataFrame) -> DataFrame:
     return customers.select("customer_id", *z, *[F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(f"c_{c}") for c in CLUSTER_CATEGORIES])
 
 
-def prototype_cost(prototype: dict, gamma: float) -> Column:
-    d = None
-    for c, v in prototype["num"].items():
-        t = (F.col(c) - F.lit(v)) * (F.col(c) - F.lit(v))
-        d = t if d is None else d + t
-    miss = None
-    for c, v in prototype["cat"].items():
-        t = (F.col(c) != v).cast("double")
-        miss = t if miss is None else miss + t
-    return d + gamma * miss
-
-
-def nearest(df: DataFrame, prototypes: list[dict], gamma: float, name: str = "cluster_id") -> DataFrame:
-    """Adds the number of the cheapest prototype and its cost."""
-    costs = [f"_cost{i}" for i in range(len(prototypes))]
-    priced = df.select("*", *[prototype_cost(p, gamma).alias(c) for p, c in zip(prototypes, costs)])
-    priced = priced.withColumn("_least", F.least(*costs) if len(costs) > 1 else F.col(costs[0]))
-    pick = None
-    for i, c in enumerate(costs):
-        hit = F.col(c) == F.col("_least")
-        pick = F.when(hit, i) if pick is None else pick.when(hit, i)
-    return priced.select(*df.columns, pick.alias(name), F.col("_least").alias(f"{name}_cost"))
-
-
-def fit_prototypes(
-    features: DataFrame, k: int, max_iter: int = 10, seed: int = 20260603, weight: Column | None = None,
-    gamma: float = 0.5, values: dict[str, list[str]] | None = None, starts: int = 2,
-):
-    """The cheapest of several mixed-type k-prototypes fits, which differ in the customers they start from."""
-    values = values or categories(features, [c for c in features.columns if c.startswith("c_")])
-    fits = [_fit_from(features, k, max_iter, seed + i, weight, gamma, values) for i in range(starts)]
-    return min(fits, key=lambda f: f[1])
-
-
-def _fit_from(features: DataFrame, k: int, max_iter: int, seed: int, weight: Column | None, gamma: float, values: dict[str, list[str]]):
-    """Mixed-type k-prototypes: each round assigns by column expressions and folds means and category counts.
-
-    The prototypes (k rows) travel as literals, and one hash aggregate per round returns k rows to the
-    driver: sums of the numeric columns and a count per category value. ``gamma`` is half the numeric
-    spread, which is one after standardising.
-    """
+def encoded(features: DataFrame, weights: list[Column] | None = None) -> prototypes.Encoded:
+    """Features as written codes; weights are those of bootstrap replicates, numbered from 1."""
     nums = [c for c in features.columns if c.startswith("z_")]
-    cats = [c for c in features.columns if c.startswith("c_")]
-    w = F.lit(1.0) if weight is None else weight
-    start = features.orderBy(F.xxhash64(F.lit(seed), F.col("customer_id")), "customer_id").limit(k).collect()
-    prototypes = [{"num": {c: r[c] for c in nums}, "cat": {c: r[c] for c in cats}} for r in start]
-    cells = [(c, v) for c in cats for v in values[c]]
-    cost = 0.0
-    for _ in range(max_iter):
-        rows = nearest(features.withColumn("_w", w), prototypes, gamma, "_k").groupBy("_k").agg(
-            F.sum("_w").alias("n"), F.sum(F.col("_k_cost") * F.col("_w")).alias("cost"),
-            *[F.sum(F.col(c) * F.col("_w")).alias(f"s_{i}") for i, c in enumerate(nums)],
-            *[F.sum(F.when(F.col(c) == v, F.col("_w")).otherwise(0.0)).alias(f"v_{i}") for i, (c, v) in enumerate(cells)],
-        ).collect()
-        new = [dict(p) for p in prototypes]
-        for r in rows:
-            if not r["n"]:
-                continue
-            best: dict = {}
-            for i, (c, v) in enumerate(cells):
-                if c not in best or r[f"v_{i}"] > best[c][1]:
-                    best[c] = (v, r[f"v_{i}"])
-            new[r["_k"]] = {
-                "num": {c: round(r[f"s_{i}"] / r["n"], 9) for i, c in enumerate(nums)},
-                "cat": {c: v for c, (v, _) in best.items()},
-            }
-        cost = sum(r["cost"] or 0.0 for r in rows)
-        if new == prototypes:
-            break
-        prototypes = new
-    return prototypes, cost
+    values = categories(features, [c for c in features.columns if c.startswith("c_")])
+    return prototypes.encode(features, "customer_id", nums, values, weights)
 
 
-def cluster_ids(features: DataFrame, prototypes: list[dict], gamma: float = 0.5) -> DataFrame:
-    return nearest(features, prototypes, gamma).drop("cluster_id_cost")
+def cluster_ids(rows: prototypes.Encoded, fit: prototypes.Fit) -> DataFrame:
+    """(customer_id, cluster_id)."""
+    return prototypes.assigned(rows, [fit]).select("customer_id", F.col("clusters")[0].alias("cluster_id"))
 
 
-def embedding(features: DataFrame, values: dict[str, list[str]]) -> DataFrame:
-    nums = [c for c in features.columns if c.startswith("z_")]
-    flags = [(F.col(c) == v).cast("double") for c, vs in values.items() for v in vs]
-    wide = features.select("*", *[f.alias(f"_h{i}") for i, f in enumerate(flags)])
-    hots = [f"_h{i}" for i in range(len(flags))]
-    return VectorAssembler(inputCols=nums + hots, outputCol="embedding").transform(wide).drop(*hots)
-
-
-def k_sweep(features: DataFrame, ks: list[int], max_iter: int = 10) -> tuple[DataFrame, int]:
-    """Silhouette (squared Euclidean on the one-hot embedding) per k, over all customers."""
-    cats = [c for c in features.columns if c.startswith("c_")]
-    values = categories(features, cats)
-    emb = settle(embedding(features, values))
-    judge = ClusteringEvaluator(featuresCol="embedding", predictionCol="cluster_id")
-    rows = []
-    for k in ks:
-        prototypes, cost = fit_prototypes(features, k, max_iter, values=values)
-        rows.append((k, float(judge.evaluate(cluster_ids(emb, prototypes))), float(cost)))
-    best = max(rows, key=lambda r: (r[1], -r[0]))[0]
-    return features.sparkSession.createDataFrame(rows, "k int, silhouette double, cost double"), best
+def k_sweep(
+    rows: prototypes.Encoded, ks: list[int] = P.CLUSTER_COUNTS, starts: int = P.CLUSTER_STARTS, max_iter: int = P.CLUSTER_ROUNDS, seed: int = 20260603,
+) -> tuple[list[tuple[prototypes.Fit, float]], prototypes.Fit]:
+    """All ks and starts grow together. Returns the cheapest start of each k with its silhouette over all customers, and the fit of the best silhouette (ties: fewest clusters)."""
+    best = prototypes.cheapest(prototypes.fit_all(rows, [(k, seed + i, 0) for k in ks for i in range(starts)], max_iter))
+    fits = [best[k, 0] for k in ks]
+    judged = list(zip(fits, prototypes.silhouettes(rows, fits), strict=True))
+    return judged, max(judged, key=lambda f: (f[1], -f[0].k))[0]
 
 
 def poisson_row_weight(key: str, replicate: int, seed: int) -> Column:
@@ -598,12 +520,8 @@ def tree_stability(frame: DataFrame, replicates: int = 25, max_leaves: int = P.T
 
 
 def cluster_stability(features: DataFrame, k: int = 4, replicates: int = 3, max_iter: int = 10, seed: int = 20260603) -> DataFrame:
-    values = categories(features, [c for c in features.columns if c.startswith("c_")])
-    base = cluster_ids(features, fit_prototypes(features, k, max_iter, values=values)[0])
-    out = None
-    for b in range(replicates):
-        prototypes, _ = fit_prototypes(features, k, max_iter, seed, poisson_row_weight("customer_id", b, seed), values=values)
-        both = nearest(base, prototypes, 0.5, "other")
-        one = adjusted_rand_index(both, "cluster_id", "other").select(F.lit(b).alias("replicate"), "ari")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(replicate, ari): agreement of clusters fitted to resampled customers with those fitted to the customers; all fits share each scan."""
+    rows = encoded(features, [poisson_row_weight("customer_id", b, seed) for b in range(replicates)])
+    both = prototypes.assigned(rows, prototypes.fit_all(rows, [(k, seed, w) for w in range(replicates + 1)], max_iter))
+    each = both.select(F.col("clusters")[0].alias("base"), F.posexplode(F.slice("clusters", 2, replicates)).alias("replicate", "other"))
+    return adjusted_rand_by(each, "replicate", "base", "other")

@@ -108,6 +108,11 @@ WOE_SMOOTHING = 0.5
 TREE_LEAVES = 6
 TREE_MIN_LEAF = 1000
 TREE_REFITS = 25
+# mixed-type clusters
+CLUSTER_COUNTS = [4, 5, 6]
+CLUSTER_STARTS = 2
+CLUSTER_ROUNDS = 20
+CLUSTER_REFITS, REFIT_ROUNDS = 3, 10
 # boosted challenger
 BOOST_TREES = 400
 BOOST_RATE = 0.03

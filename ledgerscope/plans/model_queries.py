@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerscope import params as P
 from ledgerscope.functions.numeric import half_even
 from ledgerscope.operators import models as M
-from ledgerscope.operators import boosting, ranks, scoring, segments, trees
+from ledgerscope.operators import boosting, prototypes, ranks, scoring, segments, trees
 from ledgerscope.plans import sql as S
 from ledgerscope.plans import warning_queries  # noqa: F401  (scored views)
 from ledgerscope.plans.registry import register
@@ -107,10 +107,46 @@ register(
 
 
 def _clusters(b):
+    """Customers, and their clusters by the winner of the sweep."""
     people = settle(b.customer_frame)
-    feats = settle(M.mixed_features(people))
-    ids = M.cluster_ids(feats, M.fit_prototypes(feats, 4)[0]).select("customer_id", "cluster_id")
-    return people, ids
+    rows = M.encoded(settle(M.mixed_features(people)))
+    return people, settle(M.cluster_ids(rows, M.k_sweep(rows)[1]))
+
+
+def _prototypes(b):
+    rows = M.encoded(features_of(b))
+    fit = prototypes.fit_all(rows, [(4, SEED, 0)], P.CLUSTER_ROUNDS)[0]
+    out = [(i, n, v, None) for i, p in enumerate(prototypes.prototypes_of(rows, fit)) for n, v in p["num"].items()]
+    out += [(i, n, None, v) for i, p in enumerate(prototypes.prototypes_of(rows, fit)) for n, v in p["cat"].items()]
+    return b.spark.createDataFrame(out, "cluster int, feature string, number double, category string")
+
+
+def _prototype_sql(k: int = 4, rounds: int = P.CLUSTER_ROUNDS) -> str:
+    """The same rounds one after another, from the same starting rows."""
+    nums, cats = [f"z_{c}" for c in M.CLUSTER_NUMERIC], [f"c_{c}" for c in M.CLUSTER_CATEGORIES]
+    z = [f"round_even(coalesce((CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ())/stddev_pop(CAST({c} AS DOUBLE)) OVER (), 0)*1e6, 0) AS z_{c}" for c in M.CLUSTER_NUMERIC]
+    v = [f"coalesce(CAST({c} AS VARCHAR), 'none') AS c_{c}" for c in M.CLUSTER_CATEGORIES]
+    steps = [f"x AS MATERIALIZED (SELECT customer_id, {', '.join(z + v)} FROM cust_frame)",
+             "c AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT customer_id, '{c}' AS j, {c} AS v FROM x" for c in cats) + ")",
+             f"""p0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5('{SEED}-' || customer_id), customer_id) - 1 AS p, * EXCLUDE (customer_id)
+             FROM x ORDER BY md5('{SEED}-' || customer_id), customer_id LIMIT {k})"""]
+    cost = " + ".join(f"(x.{c}-p.{c})*(x.{c}-p.{c})" for c in nums)
+    miss = " + ".join(f"CAST(x.{c} <> p.{c} AS INT)" for c in cats)
+    for r in range(rounds):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT customer_id, p FROM (SELECT customer_id, p, row_number() OVER (PARTITION BY customer_id ORDER BY cost, p) AS r
+          FROM (SELECT customer_id, p.p, {cost} + 0.5e0*1e12*({miss}) AS cost FROM x, p{r} p)) WHERE r = 1)""")
+        steps.append(f"m{r} AS (SELECT p, " + ", ".join(f"round_even(CAST(sum(CAST({c} AS BIGINT)) AS DOUBLE)/count(*), 0) AS {c}" for c in nums) + f" FROM a{r} JOIN x USING (customer_id) GROUP BY 1)")
+        steps.append(f"""t{r} AS (SELECT p, {', '.join(f"max(v) FILTER (WHERE j = '{c}') AS {c}" for c in cats)} FROM (
+          SELECT p, j, v, row_number() OVER (PARTITION BY p, j ORDER BY n DESC, v) AS r FROM (SELECT p, j, v, count(*) AS n FROM a{r} JOIN c USING (customer_id) GROUP BY 1, 2, 3)) WHERE r = 1 GROUP BY 1)""")
+        steps.append(f"p{r + 1} AS MATERIALIZED (SELECT p, {', '.join(f'coalesce(m.{c}, p.{c}) AS {c}' for c in nums)}, {', '.join(f'coalesce(t.{c}, p.{c}) AS {c}' for c in cats)} "
+                     f"FROM p{r} p LEFT JOIN m{r} m USING (p) LEFT JOIN t{r} t USING (p))")
+    last = [f"SELECT CAST(p AS INT) AS cluster, '{c}' AS feature, {c}/1e6 AS number, CAST(NULL AS VARCHAR) AS category FROM p{rounds}" for c in nums]
+    last += [f"SELECT CAST(p AS INT), '{c}', CAST(NULL AS DOUBLE), {c} FROM p{rounds}" for c in cats]
+    return f"SELECT * FROM (WITH {', '.join(steps)} {' UNION ALL '.join(last)})"
+
+
+SEED = 20260603
+register("m05_prototypes_of_four", _prototypes, "cust_frame", _prototype_sql())
 
 
 def _mixed_clusters(b):
@@ -122,7 +158,15 @@ def _mixed_clusters(b):
 
 
 register("m05_mixed_clusters", _mixed_clusters)
-register("m06_cluster_count_sweep", lambda b: M.k_sweep(features_of(b), [4, 5, 6], 6)[0])
+
+
+def _sweep(b):
+    judged, winner = M.k_sweep(M.encoded(features_of(b)))
+    rows = [(f.k, round(s, 6), f.cost / prototypes.UNIT, f.rounds, f.k == winner.k) for f, s in judged]
+    return b.spark.createDataFrame(rows, "k int, silhouette double, cost double, rounds int, chosen boolean")
+
+
+register("m06_cluster_count_sweep", _sweep)
 
 
 def _cluster_profile(b):
@@ -276,7 +320,7 @@ def _tree_stability(b):
 
 
 register("m22_tree_stability", _tree_stability)
-register("m22_cluster_stability", lambda b: M.cluster_stability(features_of(b), 4, 2, 5))
+register("m22_cluster_stability", lambda b: M.cluster_stability(features_of(b), 4, P.CLUSTER_REFITS, P.REFIT_ROUNDS))
 
 
 def _folds(b):

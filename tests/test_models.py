@@ -65,15 +65,72 @@ def test_leaves_merge_to_the_limit(spark):
     assert [numbers[float(i)] for i in range(8)] == sorted(numbers[float(i)] for i in range(8))
 
 
-def test_prototypes_separate_two_clear_groups(spark):
+def brute_prototypes(x, c, w, centre, modes, rounds, gamma=0.5):
+    import numpy as np
+
+    centre, modes = centre.copy(), modes.copy()
+    for _ in range(rounds):
+        cost = ((x[:, None, :] - centre) ** 2).sum(2) + gamma * 1e12 * (c[:, None, :] != modes).sum(2)
+        pick = cost.argmin(1)
+        for p in range(len(centre)):
+            own = pick == p
+            if w[own].sum():
+                centre[p] = np.rint((x[own] * w[own, None]).sum(0) / w[own].sum())
+                modes[p] = [np.bincount(c[own, j], w[own]).argmax() for j in range(c.shape[1])]
+    return centre, modes, pick
+
+
+def clustered(spark, n=240):
     rng = random.Random(2)
-    rows = [(i, (-3 if i % 2 else 3) + rng.random(), "x" if i % 2 else "y") for i in range(60)]
-    df = spark.createDataFrame(rows, "customer_id int, z_a double, c_b string")
-    prototypes, cost = M.fit_prototypes(df, 2, 10)
-    out = M.cluster_ids(df, prototypes).withColumn("truth", F.col("customer_id") % 2)
+    rows = [(i, (-3 if i % 3 else 3) + rng.random(), rng.gauss(0, 1), "x" if i % 3 else "y", rng.choice("abc")) for i in range(n)]
+    return spark.createDataFrame(rows, "customer_id int, z_a double, z_b double, c_a string, c_b string").repartition(5)
+
+
+def test_prototypes_of_many_fits_equal_brute_force(spark):
+    import numpy as np
+
+    from ledgerscope.operators import prototypes
+
+    rows = M.encoded(clustered(spark), [M.poisson_row_weight("customer_id", b, 5) for b in range(2)])
+    wanted = [(2, 1, 0), (3, 1, 0), (3, 2, 0), (3, 1, 1), (3, 1, 2)]
+    fits = prototypes.fit_all(rows, wanted, 30)
+    data = rows.data.orderBy("key").collect()
+    x, c, w = (np.array([r[n] for r in data]) for n in ("x", "c", "w"))
+    first = dict(zip((1, 2), prototypes.starts(rows, 3, [1, 2])))
+    picks = {r["customer_id"]: r["clusters"] for r in prototypes.assigned(rows, fits).collect()}
+    for i, ((k, seed, weight), fit) in enumerate(zip(wanted, fits)):
+        centre, modes, pick = brute_prototypes(x, c, w[:, weight], first[seed][0][:k], first[seed][1][:k], 30)
+        assert not fit.moving and fit.rounds < 30 and (fit.centre == centre).all() and (fit.modes == modes).all()
+        assert [picks[r["key"]][i] for r in data] == pick.tolist()
+    # the silhouette by all pairs of rows
+    flags = np.column_stack([x / 1e6, *[c[:, [j]] == v for j in range(2) for v in np.unique(c[:, j])]]).astype(float)
+    far = ((flags[:, None, :] - flags) ** 2).sum(2)
+    for i, got in enumerate(prototypes.silhouettes(rows, fits[:3])):
+        pick = np.array([picks[r["key"]][i] for r in data])
+        s = []
+        for r in range(len(x)):
+            mean = {q: far[r, pick == q].sum() / max((pick == q).sum() - (q == pick[r]), 1) for q in set(pick)}
+            own, other = mean[pick[r]], min(v for q, v in mean.items() if q != pick[r])
+            s.append((other - own) / max(own, other) if (pick == pick[r]).sum() > 1 else 0)
+        assert got == pytest.approx(np.mean(s), abs=1e-5)
+
+
+def test_sweep_takes_the_clear_split_and_odd_rows_have_a_cluster(spark):
+    from ledgerscope.operators import prototypes
+
+    rows = M.encoded(clustered(spark))
+    judged, winner = M.k_sweep(rows, [2, 3, 4])
+    assert winner.k == 2 and judged[0][1] == max(s for _, s in judged)
+    out = M.cluster_ids(rows, winner).withColumn("truth", (F.col("customer_id") % 3 == 0).cast("int"))
     assert adjusted_rand_index(out, "truth", "cluster_id").first()["ari"] == 1.0
-    sizes = sorted(r["count"] for r in out.groupBy("cluster_id").count().collect())
-    assert sum(sizes) == 60 and cost >= 0
+    stable = M.cluster_stability(clustered(spark), 2, 3).collect()
+    assert sorted(r["replicate"] for r in stable) == [0, 1, 2] and all(r["ari"] > 0.9 for r in stable)
+    odd = prototypes.encode(spark.createDataFrame([(1, None, None), (2, 1.0, "a"), (2, 1.0, "a")], "customer_id int, z_a double, c_a string"), "customer_id", ["z_a"], {"c_a": ["a"]})
+    fits = prototypes.fit_all(odd, [(5, 1, 0)])
+    assert len(fits[0].centre) == 3 and prototypes.assigned(odd, fits).count() == 3
+    empty = prototypes.encode(clustered(spark).limit(0), "customer_id", ["z_a"], {"c_a": []})
+    fits = prototypes.fit_all(empty, [(2, 1, 0)])
+    assert prototypes.assigned(empty, fits).count() == 0 and prototypes.silhouettes(empty, fits) == [0.0]
 
 
 def test_columns_of_many_categories_are_refused(spark, monkeypatch):
