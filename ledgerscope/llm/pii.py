@@ -4,8 +4,9 @@ Base spans (email, ip, card, phone) come from fixed patterns and always stay. Lo
 phone numbers, short cards, IBANs, social security numbers, spelled-out addresses and titled names. Labelers vote on every
 span, base or candidate: strictness of the pattern (regex), check digits, gazetteers, words before it (context), and personal
 data nearby; each says yes, no or nothing. Expectation-maximisation over the counts of vote patterns - all spans of all texts, at most
-3^5 patterns - estimates how often each labeler is right. The posteriors of a bounded sample of spans train the span classifier, a
-logistic regression on the span's form, and it decides on the candidates.
+3^5 patterns - estimates how often each labeler is right. The posteriors train the span classifier, a logistic regression on the span's
+form, and it decides on the candidates. It learns from distinct spans (equal votes and form) with their counts as weights; of a kind with
+more than its share of SAMPLE_SPANS, those of the smallest hashes stand for all of the kind, with its whole weight.
 
 Defined results: null and empty texts have no spans; repeated rows have equal spans; without candidates nothing is trained. Offsets
 are code points, ends exclusive. Only the id and text columns are read.
@@ -25,7 +26,7 @@ from ledgerscope.llm.common import settle
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "address", "iban", "name", "short_card", "ssn", "national_phone")
-#: Bound of the sample of spans that trains the classifier.
+#: Bound of the distinct spans that train the classifier, in equal shares for the kinds.
 SAMPLE_SPANS = 20_000
 ACCEPT, ROUNDS = 0.5, 50
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -188,33 +189,44 @@ def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS
     return prior, table, post
 
 
-def train(features: np.ndarray, target: np.ndarray, rounds: int = 300) -> np.ndarray:
+def train(features: np.ndarray, target: np.ndarray, weight: np.ndarray | None = None, rounds: int = 300) -> np.ndarray:
     """Logistic regression on soft targets, with a small ridge."""
     w = np.zeros(features.shape[1])
+    share = np.full(len(target), 1 / len(target)) if weight is None else weight / weight.sum()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-features @ w))
-        hess = (features * (p * (1 - p))[:, None]).T @ features / len(target) + 1e-3 * np.eye(len(w))
-        step = np.linalg.solve(hess, features.T @ (p - target) / len(target) + 1e-3 * w)
+        hess = (features * (p * (1 - p) * share)[:, None]).T @ features + 1e-3 * np.eye(len(w))
+        step = np.linalg.solve(hess, features.T @ ((p - target) * share) + 1e-3 * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
+def sample(distinct: DataFrame, most: int = SAMPLE_SPANS) -> pd.DataFrame:
+    """distinct: (kind, votes, features, n). At most most // len(KINDS) rows of each kind, by hash, with the weight of the whole kind."""
+    turn, picked = F.xxhash64("votes", "features"), None
+    for k in KINDS:
+        one = distinct.filter(F.col("kind") == k).orderBy(turn, "votes", "features").limit(most // len(KINDS))
+        picked = one if picked is None else picked.unionAll(one)
+    rows = picked.toPandas()
+    whole = dict(distinct.groupBy("kind").agg(F.sum("n")).collect())  # a row per kind
+    rows["weight"] = rows["n"] * rows["kind"].map(whole) / rows.groupby("kind")["n"].transform("sum")
+    rows["k"] = rows["votes"].map(tuple)
+    return rows.assign(f=rows["features"].map(tuple)).sort_values(["kind", "k", "f"], ignore_index=True)
+
+
 def fit(found: DataFrame) -> np.ndarray | None:
     """Weights of the span classifier, from the votes on all spans."""
-    spans = found.select(F.explode("spans").alias("s"))
-    seen = spans.groupBy("s.votes").count().toPandas()  # at most 3^5 rows
+    distinct = settle(found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.features").agg(F.count(F.lit(1)).alias("n")))
+    seen = distinct.groupBy("votes").agg(F.sum("n").alias("n")).toPandas()  # at most 3^5 rows
     if seen.empty:
         return None
     seen = seen.assign(k=seen["votes"].map(tuple)).sort_values("k")
-    _, _, post = reliabilities(np.array(seen["k"].tolist()), seen["count"].to_numpy(float))
+    _, _, post = reliabilities(np.array(seen["k"].tolist()), seen["n"].to_numpy(float))
     belief = dict(zip(seen["k"], post, strict=True))
-    turn = F.xxhash64("s.kind", "s.start", "s.stop", "s.features")
-    # both kinds of spans teach, the candidates first: base spans alone would outnumber them
-    sample = spans.select("s.votes", "s.features", "s.base", turn.alias("turn")).orderBy("base", "turn").limit(SAMPLE_SPANS).toPandas()
-    sample = sample.assign(k=sample["votes"].map(tuple)).sort_values(["turn", "k"])
-    return train(np.array(sample["features"].tolist()), sample["k"].map(belief).to_numpy())
+    taught = sample(distinct)
+    return train(np.array(taught["features"].tolist()), taught["k"].map(belief).to_numpy(), taught["weight"].to_numpy(float))
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

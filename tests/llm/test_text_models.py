@@ -200,6 +200,31 @@ def test_personal_data(documents, odd):
     assert pii.personal_data(odd.limit(0)).count() == 0
 
 
+def test_the_span_sample_keeps_the_weight_of_each_kind(spark, documents):
+    def kind_of(i):
+        return "email" if i % 10 else "name" if i % 20 else "ssn"
+
+    rows = [(kind_of(i), [i % 3 - 1] * 5, [float(i % 40), 1.0], i % 7 + 1) for i in range(400)]
+    distinct = spark.createDataFrame(rows, "kind string, votes array<int>, features array<double>, n long").groupBy("kind", "votes", "features").agg(F.sum("n").alias("n"))
+    every, few = pii.sample(distinct), pii.sample(distinct.repartition(5), 40)
+    assert (every["weight"] == every["n"]).all() and len(every) == distinct.count()
+    assert few.groupby("kind").size().max() == 4 and set(few["kind"]) == {"email", "name", "ssn"}
+    assert few.groupby("kind")["weight"].sum().to_dict() == pytest.approx(every.groupby("kind")["weight"].sum().to_dict())
+    # repeated rows change weights only: a weighted fit is the fit of the repeated rows
+    x, y, n = np.array(every["features"].tolist()) / 40, (every["n"] % 2).to_numpy(float), every["n"].to_numpy()
+    assert pii.train(x, y, n.astype(float)) == pytest.approx(pii.train(np.repeat(x, n, 0), np.repeat(y, n)), abs=1e-9)
+
+
+def test_spans_follow_one_rule_on_both_sides_of_the_bound(spark, documents, monkeypatch):
+    texts = [f"write to a{i}@b{i % 9}.de or call 555-{100 + i % 800}-{1000 + i % 9000}, ssn 123-{10 + i % 80}-{2000 + i % 999}, invoice 555-{200 + i % 300}-{3000 + i}" for i in range(400)]
+    docs = documents(*enumerate(texts))
+    whole = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs).collect()}
+    monkeypatch.setattr(pii.sample, "__defaults__", (len(pii.KINDS) * 20,))
+    bounded = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs).collect()}
+    same = sum(whole[i] == bounded[i] for i in whole)
+    assert same >= 0.99 * len(texts)
+
+
 def test_reliabilities_recover_labelers():
     rng = np.random.default_rng(4)
     y = rng.random(20_000) < 0.3
