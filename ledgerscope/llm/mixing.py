@@ -8,8 +8,8 @@ blocks and a random mix of sources. A shard then owns a run of each source's per
 others, and is shuffled locally.
 
 A hot source never meets in one task: its order is cut into buckets of about BUCKET_ROWS rows by hash, whose sums are
-prefixed in a table of buckets. Sources are grouped for the tree (GROUP_SOURCES a group): the groups' quotas are split first, then
-each group deals its sources within its part of every shard, so no draw holds more than a group.
+prefixed in a table of buckets. The tree splits the quotas of all sources of a group at once; of more than
+GROUP_SOURCES sources, groups are dealt first and each group's tree keeps to its part of every shard, so no draw holds more than a group.
 
 Defined results: a null source is a source of its own, last in order; null and empty texts have size 0 and are never
 taken; repeated rows are taken alike on average, each row by its place in the order; an empty table gives an empty mix.
@@ -53,13 +53,23 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int =
     return t.withColumn("target", F.least(F.lit(float(limit)) * F.col("source_size"), F.col("weight") * scale))
 
 
-def deal(quota: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """(shards, kinds): quota of each kind dealt to shards of near-equal totals by recursive halving."""
-    if shards == 1:
+def even(total: int, shards: int) -> np.ndarray:
+    """Shard totals that differ by one at most."""
+    return np.diff(total * np.arange(shards + 1) // shards)
+
+
+def split(quota: np.ndarray, totals: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """(shards, kinds): quota of each kind dealt to shards of the given totals; a node of the tree draws what its left half gets of every kind."""
+    if len(totals) == 1:
         return quota[None, :]
-    total, half = int(quota.sum()), shards // 2
-    left = rng.multivariate_hypergeometric(quota, total * half // shards, method="marginals")
-    return np.concatenate([deal(left, half, rng), deal(quota - left, shards - half, rng)])
+    half = len(totals) // 2
+    left = rng.multivariate_hypergeometric(quota, int(totals[:half].sum()), method="marginals")
+    return np.concatenate([split(left, totals[:half], rng), split(quota - left, totals[half:], rng)])
+
+
+def deal(quota: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
+    """split among shards of near-equal totals."""
+    return split(quota, even(int(quota.sum()), shards), rng)
 
 
 def plan(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -68,19 +78,15 @@ def plan(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
     groups = max(1, -(-n // GROUP_SOURCES))
     named = quotas.withColumn("_group", F.pmod(F.xxhash64("source"), F.lit(groups)).cast("int"))
     sums = dict(named.groupBy("_group").agg(F.sum("blocks")).collect())  # one number per GROUP_SOURCES sources
-    quota = np.array([sums.get(g, 0) for g in range(groups)], np.int64)
-    dealt = deal(quota, shards, np.random.default_rng(seed))
+    dealt = deal(np.array([sums.get(g, 0) for g in range(groups)], np.int64), shards, np.random.default_rng(seed))
     shared = quotas.sparkSession.sparkContext.broadcast(dealt)
 
     def within(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        left, rng, out = shared.value[:, key[0]].copy(), np.random.default_rng([seed, key[0] + 1]), []
         part = part.sort_values("source", na_position="last")
-        for source, blocks in zip(part["source"], part["blocks"], strict=True):
-            own = rng.multivariate_hypergeometric(left, int(blocks), method="marginals") if blocks else np.zeros(len(left), np.int64)
-            left -= own
-            first = np.cumsum(own) - own
-            out += [(source, s, int(f), int(o)) for s, (f, o) in enumerate(zip(first, own, strict=True)) if o]
-        return pd.DataFrame(out, columns=["source", "shard", "first", "blocks"]).astype({"shard": "int32", "first": "int64", "blocks": "int64"})
+        own = split(part["blocks"].to_numpy(np.int64), shared.value[:, key[0]], np.random.default_rng([seed, key[0] + 1]))
+        first = np.cumsum(own, 0) - own
+        shard, kind = np.nonzero(own)
+        return pd.DataFrame({"source": part["source"].to_numpy()[kind], "shard": shard.astype(np.int32), "first": first[shard, kind], "blocks": own[shard, kind]})
 
     kind = quotas.schema["source"].dataType.simpleString()
     return named.groupBy("_group").applyInPandas(within, f"source {kind}, shard int, first bigint, blocks bigint")
@@ -136,9 +142,10 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, key: str = "doc
     place = F.struct("shard", F.xxhash64(F.lit(seed + 1), "_key", "_c").alias("position"), F.col("_c").alias("copy"))
     places = owned.groupBy("_key", "_start").agg(F.sort_array(F.collect_set(place)).alias("places"))
     out = rows.join(places, ["_key", "_start"], "left")
+    drawn = F.coalesce("places", F.array().cast("array<struct<shard:int,position:bigint,copy:int>>"))
     return out.select(
-        F.col("id").alias(key), "_key", F.col("source").alias(source), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies",
-        F.coalesce("places", F.array().cast("array<struct<shard:int,position:bigint,copy:int>>")).alias("places"),
+        F.col("id").alias(key), "_key", F.col("source").alias(source), "size", "source_size", "target",
+        (F.col("size") * F.size(drawn)).cast("long").alias("taken"), F.size(drawn).alias("copies"), drawn.alias("places"),
     )
 
 

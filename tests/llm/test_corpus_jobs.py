@@ -280,6 +280,34 @@ def test_splitting_tree_is_exact():
     assert (dealt.sum(0) == quota).all() and dealt.sum(1).max() - dealt.sum(1).min() <= 2
 
 
+def test_the_tree_splits_the_quotas_of_all_sources(spark, monkeypatch):
+    seen = []
+    draw = mixing.split
+    monkeypatch.setattr(mixing, "split", lambda quota, totals, rng: seen.append(len(quota)) or draw(quota, totals, rng))
+    totals = mixing.even(170, 6)
+    assert totals.sum() == 170 and totals.max() - totals.min() <= 1
+    held = mixing.split(np.array([40, 0, 100, 30]), totals, np.random.default_rng(3))
+    assert (held.sum(1) == totals).all() and (held.sum(0) == [40, 0, 100, 30]).all() and seen[0] == 4
+    # shares of a source in a shard are those of draws without replacement
+    rng, first = np.random.default_rng(8), []
+    for _ in range(2000):
+        first.append(draw(np.array([60, 40]), mixing.even(100, 4), rng)[1, 0])
+    assert abs(np.mean(first) - 15) < 0.2 and abs(np.var(first) - 25 * 0.6 * 0.4 * 75 / 99) < 0.5
+    quotas = [(None, 7), ("a", 50), ("b", 0), *[(f"s{i}", i) for i in range(30)]]
+    for most in (1000, 8):  # one group, and several
+        monkeypatch.setattr(mixing, "GROUP_SOURCES", most)
+        df = spark.createDataFrame(quotas, "source string, blocks long").repartition(4)
+        runs = mixing.plan(df, 6).collect()
+        assert sorted(map(tuple, runs), key=str) == sorted(map(tuple, mixing.plan(df.repartition(2), 6).collect()), key=str)
+        for source, blocks in quotas:
+            own = sorted((r["first"], r["blocks"]) for r in runs if r["source"] == source)
+            assert sum(n for _, n in own) == blocks and [f for f, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+        per = collections.Counter()
+        for r in runs:
+            per[r["shard"]] += r["blocks"]
+        assert len(per) == 6 and max(per.values()) - min(per.values()) <= 1
+
+
 def test_mixing_odd_rows(odd):
     got = mixing.mix(odd.withColumn("size", F.lit("clash"))).collect()
     assert len(got) == 9 and sum(r.taken for r in got) > 0 and all(r.taken == 0 for r in got if r.size == 0)
