@@ -119,3 +119,37 @@ def test_nulls_one_class_and_empty_tables(spark):
     assert one.base > 5
     none = B.boost(some.limit(0), F.col("loan_id"), features=FEATURES, signs={}, trees=2)[0]
     assert none.base == 0 and M.predict_boosted(none, some, "p").filter("p != 0.5").count() == 0
+
+
+@pytest.mark.parametrize("n_leaves", [1, 2, 15, 40, 90])
+def test_packed_trees_find_the_same_leaves(n_leaves):
+    """Trees side by side in words, and one of more leaves than a word has bits, against the walk from the root."""
+    rng = np.random.default_rng(n_leaves)
+    bins = rng.integers(0, B.WIDTH, (500, 3))
+    trees = []
+    for _ in range(7):
+        tree = B.BoostedTree()
+        while tree.left.count(-1) < n_leaves:
+            at = int(rng.choice(tree.ends()))
+            tree.split(at, B.Found(1.0, int(rng.integers(3)), int(rng.integers(B.WIDTH - 1)), *rng.normal(size=2)), 0)
+        tree.depth = n_leaves
+        trees.append(tree)
+    if n_leaves <= 64:
+        assert (next(B.Word(trees[:1]).nodes(bins)) == trees[0].node_of(bins)).all()
+    total = np.zeros(500)
+    for tree in trees:
+        total += tree.value_of(bins)
+    assert (B.summed_values(trees, bins) == total).all()
+
+
+def test_rows_are_blocks_and_only_smaller_children_are_summed(spark, monkeypatch):
+    """With blocks of a few rows the trees stay; a split sends the sums of one child."""
+    x, y = rows_of(700, 3)
+    df = frame(spark, x, y)
+    how = dict(features=FEATURES, signs=SIGNS, trees=2, rate=0.5, leaves=4, min_leaf=30, row_share=1, column_share=1)
+    whole = B.boost(df, F.col("loan_id"), **how)[0]
+    sent, sums = [], B.level_sums
+    monkeypatch.setattr(B, "level_sums", lambda *a: sent.append(a[4]) or sums(*a))
+    monkeypatch.setattr(B, "BLOCK", 64)
+    assert B.boost(df, F.col("loan_id"), **how)[0].trees == whole.trees
+    assert all(len(nodes) <= max(1, 2 ** level // 2) for level, of in zip([0, 1, 0, 1], sent) for nodes in of.values())
