@@ -138,3 +138,17 @@ def test_bootstrap_interval_covers_the_point_estimate(spark, data):
     r = scoring.bootstrap_auc(df, "s", "y", ["id"], 60).first()
     assert r["replicates"] == 60 and r["lo"] < brute_auc(data) < r["hi"]
     assert r == scoring.bootstrap_auc(df.repartition(7), "s", "y", ["id"], 60).first()
+
+
+def test_many_quantiles_meet_each_row_once(spark):
+    """64 quantiles, overlapping brackets, a hot value: a row has one place among the brackets and is not paired with each."""
+    rng = np.random.default_rng(11)
+    x = np.where(rng.random(20_000) < 0.3, 7.0, rng.normal(5, 9, 20_000))
+    df = spark.createDataFrame(pd.DataFrame({"g": np.arange(20_000) % 2, "x": x})).repartition(5)
+    probs = [i / 64 for i in range(1, 65)]
+    for r in ranks.quantiles(df, F.col("x"), probs, ["g"], 400).collect():
+        assert np.allclose(list(r)[1:], np.quantile(x[r["g"] :: 2], probs), atol=1e-12)
+    edges = sorted(set(x[:64]))
+    marked = spark.createDataFrame([(float(v), [float(e) for e in edges]) for v in x[:200]], "x double, edges array<double>")
+    got = marked.select("x", ranks._places("edges", len(edges), F.col("x")).alias("n")).collect()
+    assert [r["n"] for r in got] == [int(np.searchsorted(edges, r["x"], side="right")) for r in got]
