@@ -225,3 +225,23 @@ def test_rand_index_of_many_assignments(spark):
     df = spark.createDataFrame(rows, "r int, a int, b int")
     got = {x["r"]: x["ari"] for x in adjusted_rand_by(df, "r", "a", "b").collect()}
     assert got[0] == 1.0 and all(got[r] == adjusted_rand_index(df.filter(f"r = {r}"), "a", "b").first()["ari"] for r in range(3))
+
+
+def test_equal_rows_are_written_once_and_bins_counted_together(spark, monkeypatch):
+    """A fit on many equal rows scans the distinct ones; counts of several bin sets equal those of each alone."""
+    rows = [(i, float(i % 4), float(i % 3), int(i % 5 == 0 or i % 4 == 3)) for i in range(600)]
+    df = spark.createDataFrame(rows, "i long, u double, v double, label int")
+    written, write = [], M.settle
+    monkeypatch.setattr(M, "settle", lambda d: written.append(write(d)) or written[-1])
+    M.newton_logistic(df.select(F.array("u", "v").alias("x"), F.col("label").cast("double").alias("y")), 2)
+    assert written[0].count() == 12 and written[0].agg(F.sum("n"), F.sum("bad")).first()[:] == (600.0, float(sum(r[3] for r in rows)))
+    skips = [F.col("i") % 2 == 0, F.lit(False)]
+    sets = [{"u": M.Bins(False, [1.0, 2.0]), "v": M.Bins(True, [0.0, 1.0, 2.0])}, {"u": M.Bins(False, [2.0]), "v": M.Bins(True, [0.0, 1.0, 2.0])}]
+    got = sorted(tuple(r) for r in M.bin_counts_without(df, skips, sets).collect())
+    want = [(p, *r) for p, (skip, own) in enumerate(zip(skips, sets)) for r in M.bin_counts(df.filter(~skip), own).collect()]
+    assert got == sorted(want)
+    for part, feature, b, n, bad, mean_x in got:
+        cuts = sets[part][feature]
+        at = {"u": 1, "v": 2}[feature]
+        own = [r for r in rows if (part == 1 or r[0] % 2) and (int(r[at]) if cuts.by_value else sum(r[at] >= c for c in cuts.points)) == b]
+        assert (n, bad) == (len(own), sum(r[3] for r in own)) and abs(mean_x - sum(r[at] for r in own) / n) < 1e-6
