@@ -46,7 +46,7 @@ register("v19_product_cell_frame", lambda b: frames.product_cell_frame(b.loan_fr
 register(
     "v20_conservation_checks",
     lambda b: frames.conservation_checks(
-        b.loans, b.stored_frame, frames.customer_frame(b.customers, b.stored_frame, b.behaviour), frames.product_cell_frame(b.stored_frame)),
+        b.stored_loans, b.stored_frame, frames.customer_frame(b.customers, b.stored_frame, b.behaviour_means), frames.product_cell_frame(b.stored_frame)),
     "frame",
     f"""SELECT *, abs(expected - measured) < 0.01 AS passed FROM (
   SELECT 'clv_equals_value' AS "check", {S.total('value_proxy')} AS expected, (SELECT {S.total('clv')} FROM (SELECT sum(value_proxy) AS clv FROM frame GROUP BY customer_id)) AS measured FROM loans
