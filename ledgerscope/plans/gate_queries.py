@@ -15,6 +15,7 @@ from ledgerscope.sources.scratch import settle
 
 
 def everything(b):
+    b.repayments = b.stored_repayments  # loans are valued from the stored panel, which is walked once
     return G.all_checks(b.customers, b.stored_loans, b.stored_repayments, b.behaviour, b.latent_risk, VOLUMES)
 
 
@@ -63,7 +64,7 @@ STRUCTURAL = {
     "S6": q(gap("n", P.REPEAT_LOAN_SPLIT), "(SELECT count(*) AS n FROM loans GROUP BY customer_id)"),
     "S7": f"greatest(abs({q('count(*)', 'repayments')}/{VOLUMES['repayments']}e0 - 1), abs({q('count(*)', 'behaviour')}/{VOLUMES['behaviour']}e0 - 1))",
 }
-register("q02_structural", lambda b: G.results(G.structural(b.customers, b.originations, b.stored_repayments, b.behaviour, VOLUMES)),
+register("q02_structural", lambda b: G.results(G.structural(b.customers, b.originations, b.stored_facts, b.behaviour, VOLUMES)),
          "customers loans repayments behaviour", rows_sql(STRUCTURAL))
 
 
@@ -126,7 +127,14 @@ RELATIONSHIP = {
              "FROM repayments JOIN loans USING (loan_id) WHERE period_index <= 3 GROUP BY 1))"),
     "R11": q(f"{_val['A']} - {_val['E']}", "profile"), "R12": _auc,
 }
-register("q06_relationships", lambda b: G.results(G.relationships(b.customers, b.stored_loans, b.stored_repayments, b.behaviour, b.latent_risk)),
+
+
+def related(b):
+    b.repayments = b.stored_repayments
+    return G.relationships(b.customers, b.stored_loans, b.repayments, b.behaviour, b.latent_risk, b.stored_facts)
+
+
+register("q06_relationships", lambda b: G.results(related(b)),
          "customers loans repayments profile lead21 risk20", rows_sql(RELATIONSHIP))
 S.view("curve", "loan_events", f"""
 SELECT mob, new_defaults, cumulative, at_risk, {S.he(S.ratio('new_defaults', 'at_risk'), 6)} AS hazard FROM (
@@ -144,7 +152,7 @@ VINTAGE = {
     "V7": q("greatest(" + ", ".join(f"abs({_pre[p]} - {S.lit(t)})" for p, t in G.PREPAYMENT.items()) + ")",
             "loans JOIN (SELECT loan_id, max(prepayment_flag) AS pp FROM repayments GROUP BY 1) USING (loan_id)"),
 }
-register("q07_vintage_panel", lambda b: G.results(G.vintage_panel(b.stored_loans, b.stored_repayments)), "loans repayments curve", rows_sql(VINTAGE))
+register("q07_vintage_panel", lambda b: G.results(G.vintage_panel(b.stored_loans, b.stored_facts)), "loans repayments curve", rows_sql(VINTAGE))
 VALUE = {
     "VP1": q(f"max(abs(value_proxy - ({S.MARGIN} - cac_charged)))", "loans"),
     "VP2": q(f"least({S.rate('value_proxy > 0')}, {S.rate('value_proxy < 0')})", "loans"),

@@ -5,14 +5,14 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerscope.operators import panel, warning
+from ledgerscope.operators import gates, panel, warning
 from ledgerscope.plans import catalog, pipeline
 from ledgerscope.sources import views
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["v20_conservation_checks", "m05_mixed_clusters", "sg06_cluster_profile"])
+@pytest.mark.parametrize("name", ["v20_conservation_checks", "q09_verdict", "q01_all_checks", "m05_mixed_clusters", "sg06_cluster_profile"])
 def test_the_panel_is_measured_once_and_walked_once(spark, tmp_path, monkeypatch, name):
     log, plain = str(tmp_path / "rows"), views.Book.table
 
@@ -63,3 +63,19 @@ def test_keys_are_counted_only_where_a_bucket_is_large(spark, monkeypatch):
     two = panel.sequence_number(df, "k", ["i"], "n", 10)
     assert ["k"] in grouped and two.schema["n"].metadata[panel.LONGEST] == 5
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+@pytest.mark.parametrize("chunk", [2, 100])
+def test_facts_of_a_loan_are_those_of_the_single_checks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(panel, "CHUNK", chunk)
+    rows = [(1, 1, 0), (1, 2, 30), (1, 3, 0), (2, 1, 60), (2, 2, 90), (2, 3, 120), (2, 4, 180), (2, 5, 200), (3, 1, 0), (3, 3, 0), (4, 2, 30), (4, 2, 30), (None, 1, 0)]
+    df = spark.createDataFrame([(k, p, d, 4 + p, int(d == 0), p) for k, p, d in rows],
+                               "loan_id long, period_index long, dpd int, obs_month int, prepayment_flag int, missed_payments_cum long")
+    df = df.withMetadata("period_index", {panel.LONGEST: 5})
+    facts = {r["loan_id"]: r.asDict() for r in gates.loan_facts(df).collect()}
+    assert set(facts) == {1, 2, 3, 4, None}
+    for one in (gates.contiguity(df), gates.cured_loans(df), warning.loan_events(df), warning.default_month(df)):
+        for r in one.collect():
+            assert {k: facts[r["loan_id"]][k] for k in r.asDict()} == r.asDict()
+    assert [facts[k]["n_rows"] - facts[k]["n_distinct"] for k in (1, 2, 3, 4)] == [0, 0, 0, 1]
+    assert (facts[2]["w"], facts[2]["L"], facts[2]["n_early"], facts[2]["n_early_late"]) == (4, 5, 3, 3)
