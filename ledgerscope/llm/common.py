@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import re
 from collections.abc import Callable, Iterator
@@ -42,11 +43,19 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     @functools.wraps(run)
     def whole(batches: Iterator) -> Iterator:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return whole
 
 
+def give_back() -> None:
+    """Freed memory of Arrow's pool and, where the C library can, of the heap goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: computed once, with short lineage."""
     return scratch.settle(df)

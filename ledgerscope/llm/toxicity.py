@@ -103,11 +103,11 @@ class Network:
         """Gate inputs of all words, some at a time: the n-grams of a word take far more room than its gates."""
         rows, grams, offsets = coded
         ends = np.append(offsets, len(grams))
-        parts = [
-            self.gates(self.inputs((rows[lo : lo + at_once], grams[ends[lo] : ends[min(len(rows), lo + at_once)]], offsets[lo : lo + at_once] - ends[lo])))
-            for lo in range(0, len(rows), at_once)
-        ]
-        return np.concatenate(parts)
+        out = np.empty((len(rows), 6 * HIDDEN), self.p["bin"].dtype)
+        for lo in range(0, len(rows), at_once):
+            hi = min(len(rows), lo + at_once)
+            out[lo:hi] = self.gates(self.inputs((rows[lo:hi], grams[ends[lo] : ends[hi]], offsets[lo:hi] - ends[lo])))
+        return out
 
     @staticmethod
     def _run(x: np.ndarray, u: np.ndarray, mask: np.ndarray, back: bool, keep: list | None) -> np.ndarray:
@@ -368,6 +368,7 @@ def fit_in_task(sample: DataFrame) -> Network | float:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
         rows = pd.concat(parts).sort_values(["turn", "window"], ignore_index=True) if parts else pd.DataFrame({"label": []})
+        parts.clear()
         model = fit(rows)
         data = io.BytesIO()
         if isinstance(model, Network):
@@ -387,18 +388,27 @@ def fit(sample: pd.DataFrame) -> Network | float:
     """The trained network, or the share of toxic windows where only one kind of label is there."""
     if sample.empty or sample["label"].nunique() < 2:
         return float(sample["label"].mean()) if len(sample) else 0.0
-    split = [w.split(" ") for w in sample["window"]]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in split for w in s))}
-    windows = [np.fromiter((vocabulary[w] for w in s), np.int64, len(s)) for s in split]
-    del split
-    names = list(vocabulary)
-    parts = [encode(names[lo : lo + 10_000]) for lo in range(0, len(names), 10_000)]
-    shifts = np.cumsum([0, *(len(p[1]) for p in parts)])
-    coded = (np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(np.int32) for p in parts]),
-             np.concatenate([p[2] + s for p, s in zip(parts, shifts, strict=False)]))
+    coded, windows = coded_windows(sample["window"])
     return Network().train(coded, windows, sample["label"].to_numpy(), pd.factorize(sample["turn"])[0])
 
 
+def coded_windows(texts: pd.Series) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]:
+    """The coded distinct words, in order of appearance, and each window's rows. A window's words are held one window at a time."""
+    vocabulary: dict[str, int] = {}
+    windows = []
+    for text in texts:
+        words = text.split(" ")
+        windows.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
+    names = list(vocabulary)
+    del vocabulary
+    parts, shift = [], 0
+    for lo in range(0, len(names), 10_000):
+        rows, grams, offsets = encode(names[lo : lo + 10_000])
+        parts.append((rows.astype(np.int32), grams.astype(np.int32), offsets + shift))
+        shift += len(grams)
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(3)), windows
+
+
 def score_texts(docs: DataFrame, model: Network | float, text: str = "text") -> DataFrame:
     """docs with the columns score and predicted."""
     kept = [c for c in docs.columns if c not in ("score", "predicted")]

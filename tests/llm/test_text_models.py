@@ -1,9 +1,14 @@
+import ctypes
+import re
+import tracemalloc
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import language, pii, quality, secret_scan, toxicity
+from ledgerscope.llm import common, language, pii, quality, secret_scan, toxicity
 
 
 def windows(texts, labels):
@@ -241,3 +246,40 @@ def test_secrets(documents, odd):
     assert {r.doc_id for r in got if r.is_secret} == set(range(30)) and len(got) == 60
     assert secret_scan.secrets(odd.withColumn("candidate", F.lit(1))).count() == 0
     assert secret_scan.secrets(odd.limit(0)).count() == 0
+
+
+def test_the_toxicity_fit_holds_the_words_of_one_window_at_a_time():
+    texts = pd.Series([" ".join(f"word{(i * 31 + k) % 211}" for k in range(48)) for i in range(4000)])
+    tracemalloc.start()
+    coded, windows = toxicity.coded_windows(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(windows) == 4000 and len(coded[0]) == len(coded[2]) == 211
+    assert peak < 4_000_000  # of the words of all windows it would be over 10 MB
+
+
+def test_gates_of_all_words_are_made_in_place():
+    coded = toxicity.encode([f"w{i}" for i in range(30_000)])
+    network = toxicity.Network()
+    tracemalloc.start()
+    gates = network.all_gates(coded, 1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(gates[12_000:13_000], network.all_gates(toxicity.encode([f"w{i}" for i in range(12_000, 13_000)])))
+    assert peak < 1.5 * gates.nbytes
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="C library without malloc_trim")
+def test_a_finished_partition_gives_its_heap_back():
+    resident = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+    pins = []
+
+    def run(batches):
+        for _ in batches:
+            held = [np.ones(2500) for _ in range(10_000)]  # 200 MB in small pieces, below one that stays
+            pins.append(np.ones(2500))
+            yield len(held)
+
+    before = resident()
+    assert list(common.released(run)(iter([1]))) == [10_000]
+    assert resident() - before < 60
