@@ -56,6 +56,41 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def united(edges):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for x, y in edges:
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    return {x: find(x) for x in list(root)}
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_components_of_random_edges_and_chains(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "is_small", lambda df: small)
+    rng = np.random.default_rng(17)
+    chain = rng.permutation(40).tolist()
+    edges = [(100 + x, 200 + y) for x, y in rng.integers(0, 60, (50, 2)).tolist()] + list(zip(chain, chain[1:], strict=False)) + [(300, 300 + k) for k in range(1, 30)]
+    assert dict(graph.components(spark.createDataFrame(edges, "a long, b long")).collect()) == united(edges)
+
+
+def test_components_take_few_jobs(spark):
+    edges = [(k * 100, k * 100 + i) for k in range(5) for i in range(1, 60)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    spark.sparkContext.setJobGroup("few-jobs", "components")
+    try:
+        assert dict(graph.components(table).collect()) == united(edges)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) <= 14  # 24 with joins
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard.bands_for()
     assert 1 - (1 - jaccard.THRESHOLD**rows) ** bands >= jaccard.RECALL and bands * rows <= jaccard.MOST_HASHES
