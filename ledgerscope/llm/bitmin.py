@@ -4,6 +4,7 @@ A text's set is its distinct N-word shingles, words being lower-cased in A-Z onl
 their bands give candidates, and of every minimum only the low BITS bits are kept, packed as BITS planes of one bit per minimum. Two
 planes' differing bits are counted by bit counts; the share of equal places, corrected for chance collisions, estimates the similarity.
 Pairs whose estimate is too low for a pair at the threshold (at the error MISS) are out; all others are held against each other on their full sets.
+Signatures go first: the sets of nodes that no estimate allows are not moved.
 
 Pairs of a bucket are never listed. Classes grow in rounds:
 
@@ -23,7 +24,7 @@ text are read. An empty table gives no rows. Very long texts are one set like ot
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import bound_batches, dealt_join, released, settle
+from ledgerscope.llm.common import bound_batches, dealt_join, released, settle, small_or_shuffled
 from ledgerscope.llm.graph import components
 from ledgerscope.llm.jaccard import Signer, bands_for
 
@@ -76,7 +77,7 @@ class BitSigner(Signer):
 
     def equal_places(self, one: np.ndarray, many: np.ndarray) -> np.ndarray:
         """In how many places all low bits of one signature equal those of each of many."""
-        differ = np.bitwise_or.reduce(many ^ one[None], axis=1)
+        differ = np.bitwise_or.reduce(many ^ one, axis=1)
         return self.size - np.bitwise_count(differ).sum(1, dtype=np.int64)
 
     def similarity(self, equal: np.ndarray) -> np.ndarray:
@@ -154,6 +155,22 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return settle(spoken.mapInPandas(read, SET).dropDuplicates(["node"]))
 
 
+def close_pairs(pairs: DataFrame, signatures: DataFrame, signer: BitSigner, threshold: float) -> DataFrame:
+    """Those pairs (node, head) whose estimate allows the threshold, by the signatures (node, signature) alone: no set moves for the others."""
+    both = dealt_join(pairs, signatures, "node")
+    both = dealt_join(both, signatures.select(F.col("node").alias("head"), F.col("signature").alias("other")), "head")
+    least = signer.least_estimate(threshold)
+
+    @released
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                equal = signer.equal_places(signer.unpacked(list(b["other"])), signer.unpacked(list(b["signature"])))
+                yield b.loc[signer.similarity(equal) >= least, ["node", "head"]]
+
+    return settle(both.select("node", "head", "signature", "other").mapInPandas(keep, "node bigint, head bigint"))
+
+
 def check_stars(pairs: DataFrame, sets: DataFrame, signer: BitSigner, threshold: float) -> DataFrame:
     """(node, head) of those pairs (node, head) that are linked. Nodes of one head are dealt into slices, each with the head's set."""
     slices = pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
@@ -206,8 +223,11 @@ def open_buckets(buckets: DataFrame, classes: DataFrame | None = None) -> DataFr
     return settle(dealt_join(own, ends.drop("_n"), "band", counts=ends.select("band", "_n")))
 
 
-def check_rest(left: DataFrame, sets: DataFrame, signer: BitSigner, threshold: float) -> DataFrame:
-    """(node, head): links that join what buckets of several classes hold; left has (band, node, class, low)."""
+def check_rest(left: DataFrame, signatures: DataFrame, sets: DataFrame, signer: BitSigner, threshold: float) -> DataFrame:
+    """(node, head): links that join what buckets of several classes hold; left has (band, node, class, low).
+
+    Blocks meet twice: by signatures, which leaves the nodes with a partner of another class that the estimate allows, then by the sets of these.
+    """
     near = left.select(F.col("class").alias("a"), F.col("low.class").alias("b")).filter("a != b").distinct()
     groups = components(near).withColumnsRenamed({"node": "class", "root": "grp"})
     nodes = dealt_join(left.select("node", "class").distinct(), groups, "class")
@@ -223,9 +243,20 @@ def check_rest(left: DataFrame, sets: DataFrame, signer: BitSigner, threshold: f
     meet = blocks.join(other, (F.col("grp") == F.col("g")) & (F.col("block") <= F.col("other")) & F.coalesce(F.col("owner") != F.col("o"), F.lit(True)))
     meet = meet.select("grp", F.col("block").alias("i"), F.col("other").alias("j"))
     calls = meet.select("grp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    rows = dealt.join(calls, ["grp", "block"]).join(sets, "node").select("grp", "i", "j", "block", "node", "class", "signature", "grams")
+    rows = settle(dealt.join(calls, ["grp", "block"]).select("grp", "i", "j", "block", "node", "class"))
     least = signer.least_estimate(threshold)
 
+    def close(held: list[tuple]) -> list[tuple[int]]:
+        side, cls = np.array([h[0] for h in held]), np.array([h[2] for h in held])
+        planes, found = signer.unpacked([h[3] for h in held]), np.zeros(len(held), bool)
+        for x in range(len(held)):
+            later = np.arange(x + 1, len(held))
+            later = later[(cls[later] != cls[x]) & ((side[later] != side[x]) if side.any() else True)]
+            later = later[signer.similarity(signer.equal_places(planes[x], planes[later])) >= least]
+            found[later] = True
+            found[x] |= len(later) > 0
+        return [(held[k][1],) for k in np.flatnonzero(found)]
+
     def joined(held: list[tuple]) -> list[tuple[int, int]]:
         side = np.array([h[0] for h in held])
         planes, grams = signer.unpacked([h[3] for h in held]), [np.frombuffer(h[4], np.uint64) for h in held]
@@ -249,21 +280,27 @@ def check_rest(left: DataFrame, sets: DataFrame, signer: BitSigner, threshold: f
                     out.append((held[x][1], held[y][1]))
         return out
 
-    @released
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held = None, []
-        for b in batches:
-            for grp, i, j, own, node, cls, s, g in b.itertuples(index=False, name=None):
-                if (grp, i, j) != at:
-                    if len(held) > 1:
-                        yield pd.DataFrame(joined(held), columns=["node", "head"], dtype="int64")
-                    at, held = (grp, i, j), []
-                held.append((int(own != i), node, cls, s, g))
-        if len(held) > 1:
-            yield pd.DataFrame(joined(held), columns=["node", "head"], dtype="int64")
-
-    tasks = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node")
-    return settle(tasks.mapInPandas(check, "node bigint, head bigint"))
+    def each_call(rows: DataFrame, run: Callable[[list[tuple]], list[tuple]], columns: list[str]) -> DataFrame:
+        @released
+        def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, held = None, []
+            for b in batches:
+                for grp, i, j, own, *of_node in b.itertuples(index=False, name=None):
+                    if (grp, i, j) != at:
+                        if len(held) > 1:
+                            yield pd.DataFrame(run(held), columns=columns, dtype="int64")
+                        at, held = (grp, i, j), []
+                    held.append((int(own != i), *of_node))
+            if len(held) > 1:
+                yield pd.DataFrame(run(held), columns=columns, dtype="int64")
+
+        tasks = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node")
+        return tasks.mapInPandas(check, ", ".join(f"{c} bigint" for c in columns))
+
+    signed = dealt_join(rows, signatures, "node").select(*rows.columns, "signature")
+    live = small_or_shuffled(settle(each_call(signed, close, ["node"]).distinct()))
+    whole = rows.join(live, "node", "left_semi").join(sets.join(live, "node", "left_semi"), "node")
+    return settle(each_call(whole.select(*rows.columns, "signature", "grams"), joined, ["node", "head"]))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -278,16 +315,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     nodes = settle(one.select("set_hash", "s.*").withColumn("node", F.monotonically_increasing_id()))
     left = open_buckets(nodes.select("node", F.explode("bands").alias("band")))
     wanted = settle(left.select("node").distinct())
-    sets = sets_of(filled, settle(nodes.select("text_hash", "node", "signature").join(wanted, "node", "left_semi")))
+    signatures = settle(nodes.select("text_hash", "node", "signature").join(wanted, "node", "left_semi"))
+    sets, signatures = sets_of(filled, signatures), signatures.select("node", "signature")
     links, classes = None, wanted.withColumn("class", F.col("node"))
     for turn in range(STAR_ROUNDS + 1):
         if left.isEmpty():
             break
         if turn < STAR_ROUNDS:
             head = F.when(F.col("class") == F.col("low.class"), F.col("high.node")).otherwise(F.col("low.node"))
-            found = check_stars(settle(left.groupBy("node").agg(F.min(head).alias("head"))), sets, signer, threshold)
+            near = close_pairs(settle(left.groupBy("node").agg(F.min(head).alias("head"))), signatures, signer, threshold)
+            met = near.select("node").unionByName(near.select(F.col("head").alias("node"))).distinct()
+            found = check_stars(near, sets.join(small_or_shuffled(settle(met)), "node", "left_semi"), signer, threshold)
         else:
-            found = check_rest(left, sets, signer, threshold)
+            found = check_rest(left, signatures, sets, signer, threshold)
         links = found if links is None else links.unionByName(found)
         classes = classes_of(wanted, links)
         if turn < STAR_ROUNDS:

@@ -58,6 +58,19 @@ def test_bbit_components_against_brute_force(documents, monkeypatch, rounds, siz
     assert got == brute_components(rows)
 
 
+def test_sets_of_strangers_do_not_move(documents, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = " ".join(f"{w}{i}" for i, w in enumerate(prose(200, rng).split()))
+    rows = [(i, edited(base, 25, rng)) for i in range(30)]  # they share bands, at a similarity of about 0.4
+    moved, met = [], []
+    real_stars, real_buckets = bitmin.check_stars, bitmin.open_buckets
+    monkeypatch.setattr(bitmin, "check_stars", lambda pairs, sets, *a: moved.append(sets.count()) or real_stars(pairs, sets, *a))
+    monkeypatch.setattr(bitmin, "open_buckets", lambda *a: (out := real_buckets(*a), met.append(out.count()))[0])
+    got = {r.doc_id: r.component_id for r in bitmin.near_duplicates(documents(*rows)).collect()}
+    assert got == {d: c for d, (_, c) in brute_components(rows).items()}
+    assert met[0] > 20 and sum(moved) == 0
+
+
 def test_bbit_estimate(monkeypatch):
     signer = bitmin.BitSigner(*bitmin.bands_for())
     rng = np.random.default_rng(1)
