@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.operators import boosting as B
 from ledgerscope.operators import models as M
+from ledgerscope.operators import trees as T
 
 FEATURES, SIGNS = ["u", "v", "w"], {"u": 1, "v": -1}
 
@@ -153,3 +154,45 @@ def test_rows_are_blocks_and_only_smaller_children_are_summed(spark, monkeypatch
     monkeypatch.setattr(B, "BLOCK", 64)
     assert B.boost(df, F.col("loan_id"), **how)[0].trees == whole.trees
     assert all(len(nodes) <= max(1, 2 ** level // 2) for level, of in zip([0, 1, 0, 1], sent) for nodes in of.values())
+
+
+@pytest.mark.parametrize("how", [dict(column_share=1), dict(patience=4, valid=True), dict(row_share=0.7)])
+def test_a_task_per_model_grows_the_trees_of_shared_scans(spark, monkeypatch, how):
+    x, y = rows_of(900, 11)
+    df = frame(spark, x, y).withColumn("part", F.col("loan_id") % 3)
+    how = dict(features=FEATURES, signs=SIGNS, part="part", n_parts=2, trees=7, rate=0.4, leaves=9, min_leaf=15) | how
+    if how.get("valid"):
+        how["valid"] = F.col("loan_id") % 10 == 0
+    own = B.boost(df, F.col("loan_id"), **how)
+    for name, value in (("MOST", 100), ("LEAST", 1), ("BLOCK", 40), ("KEPT", 2), ("FEW_TASKS", 3)):
+        monkeypatch.setattr(B, name, value)
+    shared = B.boost(df, F.col("loan_id"), **how)
+    assert [m.trees for m in shared] == [m.trees for m in own] and [m.losses for m in shared] == [m.losses for m in own]
+    assert len(own) == 3 and all(m.trees for m in own) and bool(own[0].losses) == ("patience" in how)
+
+
+def test_equal_rows_are_one_vector(spark, monkeypatch):
+    """Three copies of the rows: as many vectors, three times their rows, and the trees of single rows."""
+    x, y = rows_of(600, 13)
+    x[:, 1] = x[:, 1].round(1)
+    df = frame(spark, x, y)
+    three = df.union(df).union(df)
+    seen, blocks = [], B.in_blocks
+    monkeypatch.setattr(B, "in_blocks", lambda vectors, n, *a: seen.append((n, vectors.agg(F.sum("n0")).first()[0])) or blocks(vectors, n, *a))
+    how = dict(features=FEATURES, signs=SIGNS, trees=4, rate=0.5, leaves=4, min_leaf=30, column_share=1)
+    one, model = (B.boost(d, F.col("loan_id"), **how)[0] for d in (df, three))
+    n = len(np.unique(x, axis=0))
+    assert n < 600 and seen == [(n, 600), (n, 1800)]
+    copies = np.tile(x, (3, 1))
+    bins = model.bins_of(copies)
+    assert model.base + model.added(bins) == pytest.approx(brute_force(bins, np.tile(y, 3), [1, -1, 0], 4, 0.5, 4, 30), abs=1e-9)
+    steps = [{r["feature"]: tuple(r)[2:] for r in B.steps_against(d, one, SIGNS).collect()} for d in (df, three)]
+    assert {f: tuple(3 * v for v in c) for f, c in steps[0].items()} == steps[1]
+
+
+def test_cuts_count_the_rows_of_a_vector(spark):
+    rows = [(float(v % 7), float(v), None if v % 3 else float(v), 1 + v % 4) for v in range(211)]
+    vectors = spark.createDataFrame(rows, "x0 double, x1 double, x2 double, n long").select(*[F.coalesce(f"x{i}", F.lit(float("nan"))).alias(f"x{i}") for i in range(3)], "n")
+    single = vectors.select(F.array("x0", "x1", "x2").alias("x"), F.explode(F.sequence(F.lit(1), "n")))
+    assert B.cuts_of(vectors, 3) == T.fit_cuts(single, "x", 3)
+    assert B.cuts_of(vectors.limit(0), 3) == [[], [], []]
