@@ -1,5 +1,6 @@
 """Monotone boosting against brute force on single rows, its constraints, stopping and folds."""
 
+import inspect
 import math
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerscope.operators import boosting as B
 from ledgerscope.operators import models as M
 from ledgerscope.operators import trees as T
+from ledgerscope.plans import pipeline
 
 FEATURES, SIGNS = ["u", "v", "w"], {"u": 1, "v": -1}
 
@@ -196,3 +198,14 @@ def test_cuts_count_the_rows_of_a_vector(spark):
     single = vectors.select(F.array("x0", "x1", "x2").alias("x"), F.explode(F.sequence(F.lit(1), "n")))
     assert B.cuts_of(vectors, 3) == T.fit_cuts(single, "x", 3)
     assert B.cuts_of(vectors.limit(0), 3) == [[], [], []]
+
+
+def test_the_registered_challenger_is_whole(spark, monkeypatch):
+    """All trees of all leaves on all rows: nothing shortens the fit of the queries."""
+    asked = []
+    monkeypatch.setattr(pipeline.models, "calibrate_boosted", lambda train, *a, **how: asked.append((a, how)) or (None, None, None))
+    pipeline.Pipeline(spark, "/root/testdata/sf0.001").boosted
+    pipeline._challengers.popitem()
+    default = {n: p.default for n, p in inspect.signature(B.boost).parameters.items()}
+    assert asked == [((), {})]
+    assert {n: default[n] for n in ("trees", "rate", "leaves", "min_leaf", "row_share", "patience")} == dict(trees=400, rate=0.03, leaves=31, min_leaf=200, row_share=1.0, patience=None)
