@@ -245,3 +245,41 @@ def test_equal_rows_are_written_once_and_bins_counted_together(spark, monkeypatc
         at = {"u": 1, "v": 2}[feature]
         own = [r for r in rows if (part == 1 or r[0] % 2) and (int(r[at]) if cuts.by_value else sum(r[at] >= c for c in cuts.points)) == b]
         assert (n, bad) == (len(own), sum(r[3] for r in own)) and abs(mean_x - sum(r[at] for r in own) / n) < 1e-6
+
+
+def test_the_scorecard_is_calibrated_on_vectors(spark, monkeypatch):
+    """Rows of equal features are one: the fits and the out-of-fold scores equal those on the rows of each fold, and copies of the loans add no vectors."""
+    from ledgerscope import params as P
+
+    rng = random.Random(7)
+    rows = [(i // 4, int(rng.random() < 0.2 + 0.1 * (i % 3)), float(i % 3), float(rng.randrange(20)), rng.randrange(3)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "loan_id long, label int, a double, b double, c int")
+    df = df.select("loan_id", "label", *[F.col({0: "a", 1: "b"}.get(i, "c")).alias(f) for i, f in enumerate(P.FEATURES)])
+    written, write = [], M.settle
+    monkeypatch.setattr(M, "settle", lambda d: written.append(write(d)) or written[-1])
+    card, iso, summed = M.calibrate_scorecard(df)
+    n = len({r[2:] for r in rows})
+    assert n < 200 and any(w.count() == n and set(P.FEATURES) < set(w.columns) for w in written) and all(w.count() < 1200 for w in written)
+    alone = M.fit_scorecard(df)
+    assert card.betas == pytest.approx(alone.betas, abs=1e-6) and card.woe == alone.woe and {f: b.points for f, b in card.bins.items()} == {f: b.points for f, b in alone.bins.items()}
+    dealt = df.join(M.grouped_folds(df, "loan_id"), "loan_id").cache()
+    want = {}
+    for k in range(5):
+        fold = M.fit_scorecard(dealt.filter(F.col("_fold") != k))
+        for r in M.predict_scorecard(fold, dealt.filter(F.col("_fold") == k), "p").select("p", "label").collect():
+            want.setdefault(round(r["p"], 4), []).append(r["label"])
+    got = {}
+    for r in summed.collect():
+        events, weight = got.get(round(r["_raw"], 4), (0, 0))
+        got[round(r["_raw"], 4)] = events + r["_y"] * r["_w"], weight + r["_w"]
+    assert sum(w for _, w in got.values()) == 1200 and sum(e for e, _ in got.values()) == pytest.approx(sum(r[1] for r in rows))
+    assert sum(got.get(p, (0, 0))[1] == len(y) for p, y in want.items()) > 0.95 * len(want)  # a score may round across
+    twice = M.calibrate_scorecard(df.union(df.withColumn("loan_id", F.col("loan_id") + 300)))[0]
+    assert {f: b.points for f, b in twice.bins.items() if b.by_value} == {f: b.points for f, b in card.bins.items() if b.by_value}
+
+
+def test_the_value_of_a_bin(spark):
+    values = spark.createDataFrame([(x,) for x in (-1.0, 1.0, 1.5, 2.0, 9.0, float("nan"), None)], "x double")
+    for b in (M.Bins(True, [1.0, 2.0, 3.0]), M.Bins(False, [1.0, 2.0]), M.Bins(True, [1.0]), M.Bins(False, [])):
+        picked = values.select(b.index(F.col("x")).alias("i"), b.pick(F.col("x"), [0.5, 1.5, 2.5, 3.5]).alias("v")).collect()
+        assert all(r["v"] == r["i"] + 0.5 for r in picked)
