@@ -209,3 +209,26 @@ def test_the_registered_challenger_is_whole(spark, monkeypatch):
     default = {n: p.default for n, p in inspect.signature(B.boost).parameters.items()}
     assert asked == [((), {})]
     assert {n: default[n] for n in ("trees", "rate", "leaves", "min_leaf", "row_share", "patience")} == dict(trees=400, rate=0.03, leaves=31, min_leaf=200, row_share=1.0, patience=None)
+
+
+def test_rows_of_one_vector_are_scored_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    cuts = [list(range(1, 5)), list(range(1, 9)), [1.0]]
+    model = B.Boosted(FEATURES, cuts, -0.3, 0.1)
+    for _ in range(40):
+        tree = B.BoostedTree()
+        for _ in range(9):
+            tree.split(int(rng.choice(tree.ends())), B.Found(1.0, f := int(rng.integers(3)), int(rng.integers(len(cuts[f]))), *rng.normal(size=2)), 0)
+        tree.depth = 9
+        model.trees.append(tree)
+    x = rng.integers(0, 10, (4000, 3)).astype(float)
+    x[::50, 1] = np.nan
+    want = 1 / (1 + np.exp(-(model.base + model.added(model.bins_of(x)))))
+    met, of = [], B.Sums.of
+    monkeypatch.setattr(B.Sums, "of", lambda self, bins: met.append(len(bins)) or of(self, bins))
+    score = B.SeenVectors(model)
+    assert (np.concatenate([score(part) for part in np.split(x, 8)]) == want).all()
+    assert sum(met) == len(np.unique(model.bins_of(x), axis=0)) == len(score.seen) < 100
+    monkeypatch.setattr(B, "MOST", 10)
+    assert (np.concatenate([score(part) for part in np.split(x, 8)]) == want).all()
+    assert len(score(x[:0])) == 0 and len(score.seen) < 100
